@@ -21,6 +21,16 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_IN_PARTITION = (1 << 33) - 1
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of an input that comes in fewer splits than there are cores.
+
+    A file of one row group is one task, whatever is computed from it. Inputs of cluster size have
+    more splits than cores and are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def carried(totals: DataFrame, group: Sequence[str], chunk: str, total: str, out: str) -> DataFrame:
     """Sum of the chunks before each chunk. ``totals`` has one narrow row per chunk."""
     earlier = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)

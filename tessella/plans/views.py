@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import collapse, words
+from tessella.operators.ordering import spread
 from tessella.operators.exams import eval_requests, exam_prompts
 from tessella.operators.paragraphs import explode_sentences, segment
 
@@ -22,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"), "doc_id")
 
 
 def _chunk() -> Column:
@@ -158,7 +159,7 @@ def teacher_responses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "conversations")
+    return spread(table(spark, folder, "conversations"), "conv_id", "turn")
 
 
 def tool_turns(spark: SparkSession, folder: str) -> DataFrame:
