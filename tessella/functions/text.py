@@ -36,7 +36,7 @@ def collapse(text: Column, drop_bad_bytes: bool = False) -> Column:
     """
     if drop_bad_bytes:
         text = F.replace(text, F.lit("�"), F.lit(""))
-    return F.btrim(F.regexp_replace(text, f"[{WHITESPACE_CLASS}]+", " "))
+    return F.array_join(words(text), " ")
 
 
 def tokens(text: Column) -> Column:
@@ -47,14 +47,10 @@ def count_tokens(text: Column) -> Column:
     return F.size(tokens(text)).cast("long")
 
 
-def words(collapsed: Column) -> Column:
-    """White-space tokens of a text that went through ``collapse``."""
-    return F.when(collapsed == "", F.array().cast("array<string>")).otherwise(F.split(collapsed, " "))
-
-
-def count_words(collapsed: Column) -> Column:
-    spaces = F.length(collapsed) - F.length(F.replace(collapsed, F.lit(" "), F.lit("")))
-    return F.when(collapsed == "", F.lit(0)).otherwise(spaces + 1).cast("long")
+def words(text: Column) -> Column:
+    """White-space tokens. Mapping all white space to spaces first is faster than one wide pattern."""
+    spaced = F.translate(text, WHITESPACE, " " * len(WHITESPACE))
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
 def fill(template: str, placeholder: str, value: Column) -> Column:

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import SPECIAL_TOKEN, collapse, count_words, right_strip, strip, words
+from tessella.functions.columns import compute_once
+from tessella.functions.text import SPECIAL_TOKEN, right_strip, strip, words
 from tessella.operators.ordering import before_by_integer, join_checked, rank_rows
 
 ROWS_PER_SHARD = 50_000
@@ -21,6 +22,10 @@ def read_texts(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("key"), "text").filter(F.col("text").isNotNull())
 
 
+def _listed_words(texts: DataFrame) -> DataFrame:
+    return compute_once(texts.select("key", "text"), "words", words(F.col("text")))
+
+
 def token_blocks(texts: DataFrame, length: int) -> DataFrame:
     """Blocks of ``length`` tokens over all texts joined in key order; the short tail is dropped.
 
@@ -28,11 +33,12 @@ def token_blocks(texts: DataFrame, length: int) -> DataFrame:
     itself at the block limits it crosses, and only these slices meet again, per block. No task
     ever holds more than its texts and ``length`` tokens per block.
     """
-    body = texts.select("key", collapse(F.col("text")).alias("body"))
-    counted = body.withColumn("n", count_words(F.col("body")))
+    counted = _listed_words(texts).select(
+        "key", F.size("words").cast("long").alias("n"), F.array_join("words", " ").alias("body")
+    )
     placed = before_by_integer(counted, "key", "n", "start").filter(F.col("n") > 0)
     start, end = F.col("start"), F.col("start") + F.col("n")
-    listed = placed.select(start.alias("start"), end.alias("end"), words(F.col("body")).alias("words"))
+    listed = compute_once(placed.select(start.alias("start"), end.alias("end"), "body"), "words", F.split("body", " "))
     size = F.lit(length).cast("long")
 
     def piece(block: Column) -> Column:
@@ -46,7 +52,8 @@ def token_blocks(texts: DataFrame, length: int) -> DataFrame:
 
     first = F.floor(F.col("start") / size).cast("long")
     last = F.floor((F.col("end") - 1) / size).cast("long")
-    pieces = listed.select(F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("p.*")
+    cut = compute_once(listed, "_pieces", F.transform(F.sequence(first, last), piece))
+    pieces = cut.select(F.explode("_pieces").alias("p")).select("p.*")
     joined = pieces.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("low", "part"))).alias("_parts"))
     tokens = F.flatten(F.transform("_parts", lambda x: x["part"]))
     return joined.select("block_id", tokens.alias("tokens")).filter(F.size("tokens") == length)
@@ -75,14 +82,14 @@ def preview_blocks(blocks: DataFrame, n: int = 3, max_chars: int = 400, show_ids
 
 def build_vocabulary(texts: DataFrame) -> DataFrame:
     """Distinct white-space tokens with ids from 0 in token order."""
-    found = texts.select(F.explode(words(collapse(F.col("text")))).alias("token")).distinct()
+    found = _listed_words(texts).select(F.explode("words").alias("token")).distinct()
     return rank_rows(found, ["token"], "_ord").select((F.col("_ord") - 1).alias("id"), "token")
 
 
 def encode(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Texts as id lists. The vocabulary is broadcast after its size was measured; a larger one is
     joined with salted keys, because frequent tokens are hot."""
-    exploded = texts.select("key", F.posexplode(words(collapse(F.col("text")))).alias("pos", "token"))
+    exploded = _listed_words(texts).select("key", F.posexplode("words").alias("pos", "token"))
     found = join_checked(exploded, vocabulary, ["token"], ["key", "pos"])
     return found.groupBy("key").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids")
@@ -91,7 +98,7 @@ def encode(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def decode(ids: DataFrame, vocabulary: DataFrame, skip_special: bool = False) -> DataFrame:
     """Id lists as stripped texts. A list of lists is decoded row by row after ``as_rows``."""
-    exploded = ids.select("key", F.posexplode("ids").alias("pos", "id"))
+    exploded = compute_once(ids, "ids", F.col("ids")).select("key", F.posexplode("ids").alias("pos", "id"))
     found = join_checked(exploded, vocabulary, ["id"], ["key", "pos"])
     if skip_special:
         found = found.filter(~F.col("token").rlike(SPECIAL_TOKEN))

@@ -7,12 +7,12 @@ only narrow per-chunk facts are carried from one to the next.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import compute_once
 from tessella.functions.text import WHITESPACE_CLASS, is_blank, strip
 from tessella.functions.wording import ORTHOGRAPHY_POLICY
-from tessella.operators.ordering import running_total
 
 # A label opens a paragraph; the space after the dot may be missing.
 LABEL = rf"(?Us)^[{WHITESPACE_CLASS}]*(\d+)\.[{WHITESPACE_CLASS}]*(.*)$"
@@ -20,74 +20,103 @@ SENTENCE = r"[^.!?]+[.!?]*"
 GREEK = r"\p{IsGreek}+(?:\s+\p{IsGreek}+)*"
 
 
+def _in_chunk() -> WindowSpec:
+    return Window.partitionBy("file", "chunk").orderBy("pos")
+
+
 def record_id(number: Column, prefix: str = "rec", width: int = 4) -> Column:
     return F.format_string(f"{prefix}%0{width}d", number.cast("long"))
 
 
-def _assemble(numbered: DataFrame, keys: list[str]) -> DataFrame:
-    """Join the lines of each paragraph by newline, first within a chunk, then across chunks.
+def _chunk_facts(lines: DataFrame, numbered: bool | None) -> DataFrame:
+    """One narrow row per file and chunk: how its file is cut and how many paragraphs came before.
 
-    The first step needs no shuffle (the rows are already together by file and chunk) and leaves
-    one row per paragraph and chunk for the second.
+    ``numbered`` fixes the way of cutting; None settles it per file: by numbers if there is a label
+    with text after it, in its own line or in a later line that is no label.
     """
-    fragments = numbered.groupBy("file", "chunk", *keys).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_lines"), F.max("_label").alias("_label")
+    opened, filled = F.col("value").rlike(LABEL), ~is_blank(F.col("value"))
+    tail = F.when(opened, F.regexp_extract("value", LABEL, 2))
+    narrow = lines.select(
+        "file", "chunk", "pos", opened.alias("opened"), filled.alias("filled"), (tail != "").alias("inline")
+    )
+    counted = narrow.withColumn("start", F.col("filled") & ~F.coalesce(F.lag("filled").over(_in_chunk()), F.lit(False)))
+    facts = counted.groupBy("file", "chunk").agg(
+        F.count_if("opened").alias("labels"),
+        F.count_if("start").alias("starts"),
+        F.min_by("filled", "pos").alias("first_filled"),
+        F.max_by("filled", "pos").alias("last_filled"),
+        F.min(F.when(F.col("opened"), F.struct("chunk", "pos"))).alias("label_at"),
+        F.max(F.when(F.col("filled") & ~F.col("opened"), F.struct("chunk", "pos"))).alias("body_at"),
+        F.bool_or("inline").alias("inline"),
     )
-    fragments = fragments.withColumn("_text", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n"))
-    joined = fragments.groupBy("file", *keys).agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "_text"))).alias("_parts"), F.max("_label").alias("label")
+    whole = Window.partitionBy("file")
+    earlier = whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    follows = F.max(F.col("body_at")).over(whole) > F.min(F.col("label_at")).over(whole)
+    by_number = (
+        F.coalesce(F.bool_or("inline").over(whole) | follows, F.lit(False)) if numbered is None else F.lit(numbered)
+    )
+    # A chunk that begins in the middle of a paragraph does not start a new one.
+    running_on = (F.col("first_filled") & F.lag("last_filled").over(whole.orderBy("chunk"))).cast("long")
+    merged = facts.withColumn("merged", F.coalesce(running_on, F.lit(0)))
+    starts = F.coalesce(F.sum(F.col("starts") - F.col("merged")).over(earlier), F.lit(0)) - F.col("merged")
+    labels = F.coalesce(F.sum("labels").over(earlier), F.lit(0))
+    by_file = merged.withColumn("_numbered", by_number)
+    return by_file.select(
+        "file", "chunk", "_numbered", F.when(F.col("_numbered"), labels).otherwise(starts).alias("_before")
     )
-    text = strip(F.array_join(F.transform("_parts", lambda x: x["_text"]), "\n"))
-    return joined.select("file", *keys, "label", text.alias("text")).filter(F.col("text") != "")
 
 
-def numbered_paragraphs(lines: DataFrame) -> DataFrame:
-    """Paragraphs opened by a numbered line; lines before the first label are dropped.
+def _paragraphs(lines: DataFrame, numbered: bool | None) -> DataFrame:
+    """``file, ordinal, label, id, text``: one scan for the chunk facts, one for the texts.
 
-    Labels may repeat, so the key is (file, ordinal) and the id repeats with the label.
+    The lines are shuffled once by file and chunk, which serves the join, the window and the first
+    grouping; one row per paragraph and chunk is left for the second grouping.
     """
-    label = F.regexp_extract("value", LABEL, 1)
-    tail = F.regexp_extract("value", LABEL, 2)
-    opened = F.col("value").rlike(LABEL)
-    marked = lines.withColumn("_open", opened)
-    grouped = running_total(marked, F.col("_open").cast("long"), "ordinal", ["file"], "chunk", ["pos"])
-    grouped = grouped.filter(F.col("ordinal") > 0)
+    joined = lines.join(_chunk_facts(lines, numbered), ["file", "chunk"])
+    seen = joined.withColumn("_open", F.col("value").rlike(LABEL)).withColumn("_filled", ~is_blank(F.col("value")))
+    first = F.col("_filled") & ~F.coalesce(F.lag("_filled").over(_in_chunk()), F.lit(False))
+    started = seen.withColumn("_start", F.when(F.col("_numbered"), F.col("_open")).otherwise(first).cast("long"))
+    total = F.sum("_start").over(_in_chunk().rowsBetween(Window.unboundedPreceding, 0))
+    placed = started.withColumn("ordinal", F.col("_before") + total)
+    kept = placed.filter(F.when(F.col("_numbered"), F.col("ordinal") > 0).otherwise(F.col("_filled")))
+    is_label = F.col("_numbered") & F.col("_open")
     # The label is removed. A bare label leaves an empty first line, which the strip takes away.
-    body = grouped.withColumn("_label", F.when(F.col("_open"), label.try_cast("long"))).withColumn(
-        "value", F.when(F.col("_open"), tail).otherwise(F.col("value"))
+    line = F.when(is_label, F.regexp_extract("value", LABEL, 2)).otherwise(F.col("value"))
+    number = F.when(is_label, F.regexp_extract("value", LABEL, 1).try_cast("long"))
+    fragments = (
+        kept.select("file", "chunk", "ordinal", "pos", "_numbered", line.alias("value"), number.alias("label"))
+        .groupBy("file", "chunk", "ordinal", "_numbered")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_lines"), F.max("label").alias("label"))
+        .withColumn("_part", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n"))
+    )
+    whole = fragments.groupBy("file", "ordinal", "_numbered").agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "_part"))).alias("_parts"), F.max("label").alias("label")
+    )
+    text = strip(F.array_join(F.transform("_parts", lambda x: x["_part"]), "\n"))
+    named = F.when(F.col("_numbered"), F.col("label")).otherwise(F.col("ordinal"))
+    return (
+        compute_once(whole, "text", text)
+        .filter(F.col("text") != "")
+        .select("file", "ordinal", "label", record_id(named).alias("id"), "text")
     )
-    kept = _assemble(body, ["ordinal"])
-    return kept.select("file", "ordinal", "label", record_id(F.col("label")).alias("id"), "text")
 
 
-def blank_line_paragraphs(lines: DataFrame) -> DataFrame:
-    """Paragraphs set apart by blank lines, numbered from 1 in each file.
+def numbered_paragraphs(lines: DataFrame) -> DataFrame:
+    """Paragraphs opened by a numbered line; lines before the first label are dropped.
 
-    A line starts a paragraph if it has text and the line before it has none. For the first line of
-    a chunk that needs the last line of the chunk before, which is carried as one flag per chunk.
+    Labels may repeat, so the key is (file, ordinal) and the id repeats with the label.
     """
-    filled = lines.withColumn("_has", ~is_blank(F.col("value")))
-    inner = Window.partitionBy("file", "chunk").orderBy("pos")
-    looked = filled.withColumn("_prev", F.lag("_has").over(inner))
-    ends = (
-        filled.groupBy("file", "chunk")
-        .agg(F.max_by("_has", "pos").alias("_last"))
-        .select("file", "chunk", F.lag("_last").over(Window.partitionBy("file").orderBy("chunk")).alias("_carry"))
-    )
-    started = looked.join(ends, ["file", "chunk"]).withColumn(
-        "_start", F.col("_has") & ~F.coalesce("_prev", "_carry", F.lit(False))
-    )
-    numbered = running_total(started, F.col("_start").cast("long"), "ordinal", ["file"], "chunk", ["pos"])
-    body = numbered.filter(F.col("_has")).withColumn("_label", F.lit(None).cast("long"))
-    kept = _assemble(body, ["ordinal"])
-    return kept.select("file", "ordinal", record_id(F.col("ordinal")).alias("id"), "text")
+    return _paragraphs(lines, True)
+
+
+def blank_line_paragraphs(lines: DataFrame) -> DataFrame:
+    """Paragraphs set apart by blank lines, numbered from 1 in each file."""
+    return _paragraphs(lines, False).drop("label")
 
 
 def text_paragraphs(lines: DataFrame) -> DataFrame:
     """Numbered paragraphs; blank-line paragraphs for the files that have none of those."""
-    numbered = numbered_paragraphs(lines).select("file", "ordinal", "id", "text")
-    blank = blank_line_paragraphs(lines)
-    return numbered.unionByName(blank.join(numbered.select("file").distinct(), "file", "left_anti"))
+    return _paragraphs(lines, None).drop("label")
 
 
 def sentence_list(text: Column) -> Column:
@@ -108,14 +137,19 @@ def foreign_list(text: Column) -> Column:
 
 def segment(paragraphs: DataFrame) -> DataFrame:
     """Rule-based segments with the fields of a teacher segmentation. No spelling is changed."""
-    marked = mark_foreign(F.col("text"))
-    return paragraphs.select(
+    found = compute_once(
+        paragraphs,
+        "_found",
+        F.struct(mark_foreign(F.col("text")).alias("marked"), foreign_list(F.col("text")).alias("spans")),
+    )
+    cut = compute_once(found.drop("text"), "sentences", sentence_list(F.col("_found.marked")))
+    return cut.select(
         "id",
         "paragraph_index",
         F.lit(ORTHOGRAPHY_POLICY).alias("orthography_policy"),
-        marked.alias("normalized_paragraph"),
-        sentence_list(marked).alias("sentences"),
-        foreign_list(F.col("text")).alias("foreign_spans"),
+        F.col("_found.marked").alias("normalized_paragraph"),
+        "sentences",
+        F.col("_found.spans").alias("foreign_spans"),
     )
 
 

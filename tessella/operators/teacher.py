@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import wording
+from tessella.functions.columns import compute_once
 from tessella.functions.text import fill, strip
 
 SEGMENTATION_SCHEMA = (
@@ -59,11 +60,9 @@ def _present(item: Column, *names: str) -> Column:
 
 
 def with_pack(df: DataFrame, schema: str) -> DataFrame:
-    """Parse ``body`` once per row. The one-element explode keeps the optimizer from copying the
-    parse into every later use of ``pack``; a plain column would be parsed a dozen times."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_json("body", f"{schema}, {CORRUPT} STRING", options)
-    return df.select("*", F.explode(F.array(parsed)).alias("pack"))
+    return compute_once(df, "pack", parsed)
 
 
 def _parsed(requests: DataFrame, responses: DataFrame, keys: Sequence[str], schema: str) -> DataFrame:
@@ -197,9 +196,8 @@ def fan_out_items(packs: DataFrame, max_transforms: int = 3, tasks: Sequence[str
         ),
     }
     wanted = [builders[t]() for t in TASKS if t in tasks]
-    exploded = packs.select(
-        "paragraph_index", "sentence_index", F.explode(F.concat(*wanted)).alias("item")
-    )
+    built = compute_once(packs, "_items", F.concat(*wanted))
+    exploded = built.select("paragraph_index", "sentence_index", F.explode("_items").alias("item"))
     stem = F.format_string("p%04d.s%02d.", F.col("paragraph_index").cast("long"), F.col("sentence_index").cast("long"))
     return exploded.select(
         F.concat(stem, F.col("item.suffix")).alias("id"),

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.text import collapse, words
+from tessella.functions.columns import compute_once
+from tessella.functions.text import words
 from tessella.operators.ordering import spread
 from tessella.operators.exams import eval_requests, exam_prompts
 from tessella.operators.paragraphs import explode_sentences, segment
@@ -26,8 +27,15 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents"), "doc_id")
 
 
-def _chunk() -> Column:
-    return F.floor(F.col("doc_id") / CHUNK_DOCUMENTS).cast("long")
+def _lines(docs: DataFrame, extension: str, values: Column) -> DataFrame:
+    """A line table with one file per source; 512 neighbouring documents make a chunk."""
+    split = compute_once(docs, "_values", values).select(
+        F.concat("source", F.lit(extension)).alias("file"),
+        F.floor(F.col("doc_id") / CHUNK_DOCUMENTS).cast("long").alias("chunk"),
+        "doc_id",
+        F.posexplode("_values").alias("piece", "value"),
+    )
+    return split.select("file", "chunk", F.struct("doc_id", "piece").alias("pos"), "value")
 
 
 def corpus_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,25 +44,13 @@ def corpus_lines(spark: SparkSession, folder: str) -> DataFrame:
     labelled = F.when(F.col("doc_id") % 7 == 3, F.col("text")).otherwise(
         F.concat((F.col("doc_id") % 40 + 1).cast("string"), F.lit(". "), F.col("text"))
     )
-    split = documents(spark, folder).select(
-        F.concat("source", F.lit(".txt")).alias("file"),
-        _chunk().alias("chunk"),
-        "doc_id",
-        F.posexplode(F.split(labelled, "\n")).alias("piece", "value"),
-    )
-    return split.select("file", "chunk", F.struct("doc_id", "piece").alias("pos"), "value")
+    return _lines(documents(spark, folder), ".txt", F.split(labelled, "\n"))
 
 
 def blank_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of files without labels: two blank lines after every document."""
     text = F.concat(F.col("text"), F.lit("\n \n"))
-    split = documents(spark, folder).select(
-        F.concat("source", F.lit("_blank.TXT")).alias("file"),
-        _chunk().alias("chunk"),
-        "doc_id",
-        F.posexplode(F.split(text, "\n")).alias("piece", "value"),
-    )
-    return split.select("file", "chunk", F.struct("doc_id", "piece").alias("pos"), "value")
+    return _lines(documents(spark, folder), "_blank.TXT", F.split(text, "\n"))
 
 
 def json_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,11 +64,7 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.to_json(F.struct("text", F.lit("x").alias("a"))))
     )
     rows = F.when(kind == 4, F.array(body, F.lit("  "))).otherwise(F.array(body))
-    split = documents(spark, folder).select(
-        F.concat("source", F.lit(".jsonl")).alias("file"), _chunk().alias("chunk"), "doc_id",
-        F.posexplode(rows).alias("piece", "value"),
-    )
-    return split.select("file", "chunk", F.struct("doc_id", "piece").alias("pos"), "value")
+    return _lines(documents(spark, folder), ".jsonl", rows)
 
 
 def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,7 +127,7 @@ def with_teacher_bodies(sents: DataFrame) -> DataFrame:
             F.concat(F.lit(" "), i.cast("string"), F.lit(": "), text, F.lit(" ")).alias("target_latin"),
         )
 
-    prepared = sents.withColumn("w", words(collapse(text)))
+    prepared = compute_once(sents, "w", words(text))
     empty = F.array().cast("array<string>")
     pack = F.struct(
         F.struct(
@@ -233,7 +225,7 @@ def exam(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "benchmark").select(
         F.lit("items").alias("exam_name"), F.concat(F.lit("b"), "item_id").alias("id"), F.col("item_id").alias("n"), "text"
     )
-    both = docs.unionByName(items).withColumn("w", words(collapse(F.col("text")))).filter(F.size("w") >= 4)
+    both = compute_once(docs.unionByName(items), "w", words(F.col("text"))).filter(F.size("w") >= 4)
     options = F.map_from_arrays(F.array(*[F.lit(x) for x in "abcd"]), F.slice("w", 1, 4))
     return both.select(
         "exam_name",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import compute_once
 from tessella.functions.text import is_blank
 from tessella.operators.paragraphs import record_id, text_paragraphs
 from tessella.sources.lines import number_lines, number_scanned, scan_lines
@@ -29,7 +30,7 @@ def json_records(numbered: DataFrame, on_error: str = "fail") -> DataFrame:
     A line without any string is an error; with ``on_error='quarantine'`` the row is kept with a
     ``reason`` and no text instead.
     """
-    fields = numbered.filter(~is_blank(F.col("value"))).withColumn("_o", F.from_json("value", JSON_OBJECT))
+    fields = compute_once(numbered.filter(~is_blank(F.col("value"))), "_o", F.from_json("value", JSON_OBJECT))
     own = F.when(F.map_contains_key("_o", "id"), F.try_element_at("_o", F.lit("id")).cast("string"))
     rows = fields.select(
         "file",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import compute_once
 from tessella.functions.text import is_blank, strip
 from tessella.operators.paragraphs import record_id
 from tessella.sources.corpus import JSON_OBJECT
@@ -45,7 +46,7 @@ def _as_text(value: Column) -> Column:
 
 
 def _judged(numbered: DataFrame) -> DataFrame:
-    rows = numbered.filter(~is_blank(F.col("value"))).withColumn("_o", F.from_json("value", JSON_OBJECT))
+    rows = compute_once(numbered.filter(~is_blank(F.col("value"))), "_o", F.from_json("value", JSON_OBJECT))
     has = {k: F.map_contains_key("_o", k) for k in ("prompt", "target", "id")}
     field = {k: F.try_element_at("_o", F.lit(k)) for k in ("prompt", "target", "id", "task")}
     nested = [F.when(has[k], _as_text(field[k]).isNull()).otherwise(F.lit(False)) for k in ("prompt", "target")]
