@@ -49,6 +49,11 @@ def fallback_token_counts(turns: DataFrame) -> DataFrame:
     return usable_turns(turns).groupBy("conv_id").agg(F.sum(block).cast("long").alias("num_tokens"))
 
 
+def rendered_token_counts(rendered: DataFrame) -> DataFrame:
+    """Token counts of conversations rendered in any format."""
+    return rendered.select("conv_id", count_tokens(F.col("text")).alias("num_tokens"))
+
+
 def length_table(counts: DataFrame, key: str = "conv_id") -> DataFrame:
     """Zero-based index in key order and the length of each example."""
     numbered = ordinals(counts.select(key, "num_tokens"), key)

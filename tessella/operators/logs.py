@@ -42,6 +42,7 @@ def moving_average(
     given to the next one as context, so no window is longer than a block and none is cut short.
     """
     reach = max(k - 1, 0)
+    block_rows = max(block_rows, k)
     ranked = rank_rows(series, ["run", "series", *order], "_g")
     at = F.col("_g") - 1
     block = F.floor(at / block_rows)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tessella.storage import cut_lineage
 
-CHUNK_BITS = 12
+CHUNK_BITS = 10
+TOP_ROWS = 10_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_IN_PARTITION = (1 << 33) - 1
 
@@ -63,8 +64,8 @@ def before_by_integer(
     """Sum of ``weight`` over all smaller keys of the group.
 
     ``key`` is a unique, non-negative and fairly dense integer (``rank_rows`` makes one from any
-    other order). A chunk is 4,096 neighbouring keys, so it cannot hold more rows than that; the
-    chunk totals are chunked again, which leaves one row per 16.7 million keys for the last window.
+    other order). A chunk is 1,024 neighbouring keys, so it cannot hold more rows than that; the
+    chunk totals are chunked again, which leaves one row per million keys for the last window.
     """
     if levels == 0:
         earlier = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
@@ -115,7 +116,15 @@ def ordinals(df: DataFrame, key: str, out: str = "ordinal") -> DataFrame:
 
 
 def take_slice(df: DataFrame, n: int, key: str) -> DataFrame:
-    """``rows[:n]`` of a list: a negative ``n`` leaves out that many rows at the end."""
+    """``rows[:n]`` of a list in key order: a negative ``n`` leaves out that many rows at the end.
+
+    Few rows at either end are a distributed top-k. More than that takes positions.
+    """
+    if 0 <= n <= TOP_ROWS:
+        return df.orderBy(key).limit(n)
+    if -TOP_ROWS <= n < 0:
+        left_out = df.select(key).orderBy(F.col(key).desc()).limit(-n).agg(F.min(key).alias("k")).first()
+        return df if left_out.k is None else df.filter(F.col(key) < F.lit(left_out.k))
     if n < 0:
         n = max(0, df.count() + n)
     return ordinals(df, key, "_ord").filter(F.col("_ord") <= n).drop("_ord")

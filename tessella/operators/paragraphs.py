@@ -69,15 +69,20 @@ def _chunk_facts(lines: DataFrame, numbered: bool | None) -> DataFrame:
 def _paragraphs(lines: DataFrame, numbered: bool | None) -> DataFrame:
     """``file, ordinal, label, id, text``: one scan for the chunk facts, one for the texts.
 
-    The lines are shuffled once by file and chunk, which serves the join, the window and the first
-    grouping; one row per paragraph and chunk is left for the second grouping.
+    The lines are shuffled and sorted once by file and chunk, which serves the window, the join and
+    the first grouping; one row per paragraph and chunk is left for the second grouping.
     """
-    joined = lines.join(_chunk_facts(lines, numbered), ["file", "chunk"])
-    seen = joined.withColumn("_open", F.col("value").rlike(LABEL)).withColumn("_filled", ~is_blank(F.col("value")))
+    seen = lines.withColumn("_open", F.col("value").rlike(LABEL)).withColumn("_filled", ~is_blank(F.col("value")))
     first = F.col("_filled") & ~F.coalesce(F.lag("_filled").over(_in_chunk()), F.lit(False))
-    started = seen.withColumn("_start", F.when(F.col("_numbered"), F.col("_open")).otherwise(first).cast("long"))
-    total = F.sum("_start").over(_in_chunk().rowsBetween(Window.unboundedPreceding, 0))
-    placed = started.withColumn("ordinal", F.col("_before") + total)
+    so_far = _in_chunk().rowsBetween(Window.unboundedPreceding, 0)
+    counted = seen.withColumn("_start", first).select(
+        "*",
+        F.sum(F.col("_open").cast("long")).over(so_far).alias("_labels"),
+        F.sum(F.col("_start").cast("long")).over(so_far).alias("_starts"),
+    )
+    placed = counted.join(_chunk_facts(lines, numbered), ["file", "chunk"]).withColumn(
+        "ordinal", F.col("_before") + F.when(F.col("_numbered"), F.col("_labels")).otherwise(F.col("_starts"))
+    )
     kept = placed.filter(F.when(F.col("_numbered"), F.col("ordinal") > 0).otherwise(F.col("_filled")))
     is_label = F.col("_numbered") & F.col("_open")
     # The label is removed. A bare label leaves an empty first line, which the strip takes away.

@@ -402,8 +402,10 @@ counts AS (SELECT conv_id, {toks("text")}::BIGINT AS num_tokens FROM rendered)
 """
 SQL["token_counts"] = f"WITH {COUNTS} SELECT conv_id, num_tokens, assistant_tokens FROM counts JOIN mine USING (conv_id)"
 SQL["token_counts_fallback"] = f"WITH {FALLBACK} SELECT conv_id, {toks('text')}::BIGINT AS num_tokens FROM rendered"
+SQL["token_counts_chatml"] = f"WITH {CHATML} SELECT conv_id, {toks('text')}::BIGINT AS num_tokens FROM rendered"
 SQL["length_table"] = f"""WITH {COUNTS} SELECT row_number() OVER (ORDER BY conv_id) - 1 AS "index", num_tokens FROM counts"""
-SQL["lengths_csv"] = SQL["length_table"]
+SQL["lengths_csv"] = SQL["token_counts_chatml"] = f"WITH {CHATML} SELECT conv_id, {toks('text')}::BIGINT AS num_tokens FROM rendered"
+SQL["length_table"]
 
 
 def summary_sql(ctes: str, source: str) -> str:

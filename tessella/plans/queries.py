@@ -473,6 +473,11 @@ def token_counts_fallback(spark, sf):
     return K.fallback_token_counts(V.conversations(spark, sf))
 
 
+@query
+def token_counts_chatml(spark, sf):
+    return K.rendered_token_counts(C.rendered(_assembled(spark, sf), render.chatml(F.col("messages"))))
+
+
 @query
 def length_table(spark, sf):
     return K.length_table(token_counts(spark, sf))

@@ -16,6 +16,7 @@ from tessella.operators.paragraphs import explode_sentences, segment
 
 GREEK_TAIL = " λόγος τοῦ θεοῦ et ἀρχή."
 CHUNK_DOCUMENTS = 512
+LINES_PER_DOCUMENT = 1 << 24
 SWEEP_ROOT = "results"
 
 
@@ -35,7 +36,8 @@ def _lines(docs: DataFrame, extension: str, values: Column) -> DataFrame:
         "doc_id",
         F.posexplode("_values").alias("piece", "value"),
     )
-    return split.select("file", "chunk", F.struct("doc_id", "piece").alias("pos"), "value")
+    pos = F.col("doc_id") * LINES_PER_DOCUMENT + F.col("piece")
+    return split.select("file", "chunk", pos.alias("pos"), "value")
 
 
 def corpus_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -75,14 +75,14 @@ def items_from_lines(
     ``on_error='fail'`` stops at a bad line, ``'quarantine'`` leaves it to ``item_rejects``.
     """
     judged = _judged(numbered)
-    if on_error == "fail":
-        stop = F.raise_error(F.concat(F.lit("line "), F.col("line_no"), F.lit(": "), F.col("reason"))).cast("string")
-        judged = judged.withColumn("prompt", F.when(F.col("reason").isNull(), F.col("prompt")).otherwise(stop))
-    else:
-        judged = judged.filter(F.col("reason").isNull())
+    wanted = (F.col("prompt") != "") & (F.col("target") != "")
     if tasks is not None:
-        judged = judged.filter(F.col("task").isin(*tasks))
-    kept = judged.filter((F.col("prompt") != "") & (F.col("target") != ""))
+        wanted = F.coalesce(F.col("task").isin(*tasks), F.lit(False)) & wanted
+    bad = F.lit(False)
+    if on_error == "fail":
+        # One condition, so that no part of it can drop a bad line before it is reported.
+        bad = F.raise_error(F.concat(F.lit("line "), F.col("line_no"), F.lit(": "), F.col("reason"))).cast("boolean")
+    kept = judged.filter(F.when(F.col("reason").isNull(), wanted).otherwise(bad))
     return kept.select("prompt", "target", *(["id"] if keep_id else []))
 
 
