@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,6 +125,7 @@ def pack_sequences(lengths: DataFrame, max_length: int, rows_per_shard: int = RO
     shards = max(1, -(-lengths.count() // rows_per_shard))
     prepared = lengths.select(
         "key",
+        F.col("num_tokens").cast("long").alias("num_tokens"),
         F.least("num_tokens", F.lit(max_length)).cast("long").alias("packed_tokens"),
         F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"),
     )
@@ -139,22 +138,22 @@ def pack_sequences(lengths: DataFrame, max_length: int, rows_per_shard: int = RO
                 current, used = current + 1, 0
             used += n
             bins.append(current)
-        return ordered.assign(bin=bins)[["key", "packed_tokens", "shard", "bin"]]
+        return ordered.assign(bin=bins)[["key", "num_tokens", "packed_tokens", "shard", "bin"]]
 
     return prepared.groupBy("shard").applyInPandas(
-        fill_bins, "key long, packed_tokens long, shard long, bin long"
+        fill_bins, "key long, num_tokens long, packed_tokens long, shard long, bin long"
     )
 
 
-def packing_stats(packed: DataFrame, lengths: DataFrame, max_length: int) -> DataFrame:
-    bins = packed.groupBy("shard", "bin").agg(F.sum("packed_tokens").alias("used"), F.count("*").alias("rows"))
-    fills = bins.agg(
+def packing_stats(packed: DataFrame, max_length: int) -> DataFrame:
+    bins = packed.groupBy("shard", "bin").agg(
+        F.sum("packed_tokens").alias("used"), F.sum("num_tokens").alias("whole"), F.count("*").alias("rows")
+    )
+    return bins.agg(
         F.count("*").alias("bins"),
         F.sum("rows").cast("long").alias("sequences"),
         F.max("used").cast("long").alias("fullest_bin"),
         F.sum("used").cast("long").alias("packed_tokens"),
         F.round(F.sum("used") / (F.count("*") * max_length), 6).alias("fill"),
+        F.sum(F.col("whole") - F.col("used")).cast("long").alias("truncated_tokens"),
     )
-    cut = F.greatest(F.col("num_tokens") - max_length, F.lit(0))
-    lost = lengths.agg(F.sum(cut).cast("long").alias("truncated_tokens"))
-    return fills.withColumn("_one", F.lit(1)).join(lost.withColumn("_one", F.lit(1)), "_one").drop("_one")

@@ -66,7 +66,9 @@ def match_answers(predictions: DataFrame, verdicts: DataFrame | None = None) ->
     stripped = predictions.withColumn("predicted_raw", strip(F.col("raw")))
     if verdicts is None:
         return stripped.withColumn("predicted_answer", first_char(F.col("raw"))).drop("raw")
-    judged = stripped.join(verdicts.withColumnRenamed("raw", "_verdict"), ["run", "exam_name", "id"], "left")
+    # One verdict per prediction: both sides are large, so neither may be broadcast on an estimate.
+    named = verdicts.withColumnRenamed("raw", "_verdict").hint("merge")
+    judged = stripped.join(named, ["run", "exam_name", "id"], "left")
     return judged.withColumn("predicted_answer", verdict(F.col("_verdict"))).drop("raw", "_verdict")
 
 

@@ -15,6 +15,7 @@ from tessella.functions import render
 from tessella.functions.text import count_tokens, strip
 from tessella.operators.conversations import usable_turns
 from tessella.operators.ordering import ordinals
+from tessella.storage import cut_lineage
 
 SUMMARY_PERCENTILES = {"p50": 50.0, "p90": 90.0, "p95": 95.0, "p99": 99.0, "p995": 99.5}
 ALTERNATIVE_PERCENTILES = (98.0, 99.0, 99.5, 99.9)
@@ -49,14 +50,17 @@ def fallback_token_counts(turns: DataFrame) -> DataFrame:
     return usable_turns(turns).groupBy("conv_id").agg(F.sum(block).cast("long").alias("num_tokens"))
 
 
-def rendered_token_counts(rendered: DataFrame) -> DataFrame:
+def rendered_token_counts(rendered: DataFrame, key: str = "conv_id") -> DataFrame:
     """Token counts of conversations rendered in any format."""
-    return rendered.select("conv_id", count_tokens(F.col("text")).alias("num_tokens"))
+    return rendered.select(key, count_tokens(F.col("text")).alias("num_tokens"))
 
 
 def length_table(counts: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Zero-based index in key order and the length of each example."""
-    numbered = ordinals(counts.select(key, "num_tokens"), key)
+    """Zero-based index in key order and the length of each example.
+
+    Counting reads all texts, so its narrow result is kept on disk before it is numbered.
+    """
+    numbered = ordinals(cut_lineage(counts.select(key, "num_tokens")), key)
     return numbered.select((F.col("ordinal") - 1).alias("index"), "num_tokens")
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.storage import cut_lineage
+
 # Share of the whole set aside first, then share of that which is validation.
 # A preset without a second share has two parts.
 SPLIT_PRESETS: dict[str, tuple[float, float | None, str]] = {
@@ -26,18 +28,28 @@ def digest(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def _bound_for_rank(digests: DataFrame, rank: int, prefix: str, below: int, inside: int) -> str:
-    """Text ``b`` such that exactly ``rank`` digests are smaller than ``b``.
+def _histogram(digests: DataFrame, width: int) -> list[tuple[str, int]]:
+    """Rows per digest prefix, in order. At most 4,096 more prefixes than at the width before."""
+    rows = digests.groupBy(F.substring("d", 1, width).alias("p")).count().orderBy("p").collect()
+    return [(r["p"], r["count"]) for r in rows]
 
-    ``below`` digests are smaller than all with this prefix and ``inside`` have it. Each step
-    narrows the prefix by a histogram of at most 4,096 rows; the last few rows are read directly.
-    """
+
+def _locate(histogram: Sequence[tuple[str, int]], rank: int, below: int = 0) -> tuple[str, int, int]:
+    """Prefix that holds the row of this rank, rows below the prefix, and rows with it."""
+    for prefix, count in histogram:
+        if below + count >= rank:
+            return prefix, below, count
+        below += count
+    raise AssertionError("rank beyond the table")
+
+
+def _bound(digests: DataFrame, rank: int, prefix: str, below: int, inside: int) -> str:
+    """Text ``b`` such that exactly ``rank`` digests are smaller, narrowing the prefix step by step;
+    the last few rows are read directly. "g" is larger than every hex digit."""
     wanted = rank - below
-    if wanted == 0:
-        return prefix
     if wanted == inside:
         return prefix + "g"
-    here = digests.filter(F.col("d").startswith(prefix)) if prefix else digests
+    here = digests.filter(F.col("d").startswith(prefix))
     if inside <= COLLECT_ROWS:
         rows = [r.d for r in here.orderBy("d").limit(wanted + 1).collect()]
         if rows[wanted - 1] == rows[wanted]:
@@ -46,17 +58,25 @@ def _bound_for_rank(digests: DataFrame, rank: int, prefix: str, below: int, insi
     width = len(prefix) + PREFIX_STEP
     if width > DIGEST_LENGTH:
         raise ValueError("split key is not unique: too many rows share a digest at the cut")
-    histogram = here.groupBy(F.substring("d", 1, width).alias("p")).count().orderBy("p").collect()
-    for row in histogram:
-        if below + row["count"] >= rank:
-            return _bound_for_rank(digests, rank, row.p, below, row["count"])
-        below += row["count"]
-    raise AssertionError("rank beyond the table")
+    return _bound(digests, rank, *_locate(_histogram(here, width), rank, below))
+
 
+def rank_bounds(digests: DataFrame, ranks_of: Callable[[int], list[int]]) -> list[str]:
+    """Bounds for the ranks that ``ranks_of`` names for the number of rows.
 
-def rank_bounds(df: DataFrame, keys: Sequence[str], seed: int, ranks: Sequence[int], total: int) -> list[str]:
-    digests = df.select(digest(keys, seed).alias("d"))
-    return [_bound_for_rank(digests, rank, "", 0, total) for rank in ranks]
+    The table is read twice: for the first histogram, which also counts it, and for the digests of
+    the few prefixes the cuts fall into. These are kept on disk if more steps are needed.
+    """
+    first = _histogram(digests, PREFIX_STEP)
+    ranks = ranks_of(sum(count for _, count in first))
+    places = {rank: _locate(first, rank) for rank in ranks if rank > 0}
+    open_places = {r: p for r, p in places.items() if r - p[1] != p[2]}
+    if open_places:
+        prefixes = sorted({p[0] for p in open_places.values()})
+        digests = digests.filter(F.substring("d", 1, PREFIX_STEP).isin(prefixes))
+        if max(p[2] for p in open_places.values()) > COLLECT_ROWS:
+            digests = cut_lineage(digests)
+    return [_bound(digests, rank, *places[rank]) if rank > 0 else "" for rank in ranks]
 
 
 def hash_split(
@@ -74,10 +94,12 @@ def hash_split(
     ``ceil(second * m)`` are the second part. The two cut points are found as digest texts, so the
     result is a plain projection of ``df``: no sort, no shuffle, no join. Keys must be unique.
     """
-    total = df.count()
-    aside = math.ceil(first * total)
-    inner = math.ceil(second * aside) if second is not None else 0
-    low, high = rank_bounds(df, keys, seed, [inner, aside], total)
+
+    def ranks(total: int) -> list[int]:
+        aside = math.ceil(first * total)
+        return [math.ceil(second * aside) if second is not None else 0, aside]
+
+    low, high = rank_bounds(df.select(digest(keys, seed).alias("d")), ranks)
     d = digest(keys, seed)
     return df.withColumn(
         "split", F.when(d < low, F.lit(second_name)).when(d < high, F.lit(first_name)).otherwise(F.lit("train"))

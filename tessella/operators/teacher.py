@@ -66,7 +66,9 @@ def with_pack(df: DataFrame, schema: str) -> DataFrame:
 
 
 def _parsed(requests: DataFrame, responses: DataFrame, keys: Sequence[str], schema: str) -> DataFrame:
-    return with_pack(requests.join(responses, list(keys), "left"), schema)
+    # Both sides grow with the corpus. Without the hint a small-looking estimate for the response
+    # side (it is unnested text) could make the optimizer broadcast all bodies.
+    return with_pack(requests.join(responses.hint("merge"), list(keys), "left"), schema)
 
 
 def _split_valid(parsed: DataFrame, keys: Sequence[str], valid: Column) -> tuple[DataFrame, DataFrame]:

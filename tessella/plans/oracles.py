@@ -403,6 +403,19 @@ counts AS (SELECT conv_id, {toks("text")}::BIGINT AS num_tokens FROM rendered)
 SQL["token_counts"] = f"WITH {COUNTS} SELECT conv_id, num_tokens, assistant_tokens FROM counts JOIN mine USING (conv_id)"
 SQL["token_counts_fallback"] = f"WITH {FALLBACK} SELECT conv_id, {toks('text')}::BIGINT AS num_tokens FROM rendered"
 SQL["token_counts_chatml"] = f"WITH {CHATML} SELECT conv_id, {toks('text')}::BIGINT AS num_tokens FROM rendered"
+ITEM_CHATS = f"""
+{ITEM_LINES},
+chats AS (
+  SELECT line_no, id, {LLAMA_HEAD} || {q(render.LLAMA_EOT)} || {HEADER.format(role=q("user"))} || prompt || {q(render.LLAMA_EOT)} AS asked,
+    {HEADER.format(role=q("assistant"))} || target || {q(render.LLAMA_EOT)} AS answer
+  FROM valid WHERE prompt <> '' AND target <> '')
+"""
+SQL["item_length_table"] = f"""WITH {ITEM_CHATS}
+SELECT row_number() OVER (ORDER BY line_no) - 1 AS "index", {toks("asked || answer")}::BIGINT AS num_tokens FROM chats"""
+SQL["training_rows"] = f"""WITH {ITEM_CHATS},
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || id)) AS r, count(*) OVER () AS total FROM chats)
+SELECT id, CASE WHEN r <= ceil(0.5::DOUBLE * ceil(0.1::DOUBLE * total)) THEN 'val' WHEN r <= ceil(0.1::DOUBLE * total) THEN 'test' ELSE 'train' END AS split,
+  asked || answer AS text, {toks("asked || answer")}::BIGINT AS n, {toks("answer")}::BIGINT AS trained FROM ranked"""
 SQL["length_table"] = f"""WITH {COUNTS} SELECT row_number() OVER (ORDER BY conv_id) - 1 AS "index", num_tokens FROM counts"""
 SQL["lengths_csv"] = SQL["token_counts_chatml"] = f"WITH {CHATML} SELECT conv_id, {toks('text')}::BIGINT AS num_tokens FROM rendered"
 SQL["length_table"]
@@ -483,7 +496,7 @@ packed AS (
     CASE WHEN p.used + o.pt > {PACK_LENGTH} THEN o.pt ELSE p.used + o.pt END
   FROM packed p JOIN ordered o ON o.rn = p.rn + 1)
 """
-SQL["packed_sequences"] = f"WITH RECURSIVE {PACKED} SELECT key, pt AS packed_tokens, 0::BIGINT AS shard, bin FROM packed"
+SQL["packed_sequences"] = f"WITH RECURSIVE {PACKED} SELECT key, num_tokens, pt AS packed_tokens, 0::BIGINT AS shard, bin FROM packed JOIN doc_lengths USING (key)"
 SQL["packing_stats"] = f"""WITH RECURSIVE {PACKED},
 bins AS (SELECT bin, sum(pt) AS used FROM packed GROUP BY bin)
 SELECT count(*) AS bins, (SELECT count(*) FROM packed) AS sequences, max(used)::BIGINT AS fullest_bin, sum(used)::BIGINT AS packed_tokens,

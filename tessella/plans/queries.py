@@ -483,6 +483,27 @@ def length_table(spark, sf):
     return K.length_table(token_counts(spark, sf))
 
 
+@query
+def item_length_table(spark, sf):
+    """Lengths of training items in file order: prompt and completion joined, then rendered."""
+    numbered = lines.number_lines(V.item_lines(spark, sf))
+    pairs = C.to_prompt_completion(items.items_from_lines(numbered, None, True, "quarantine", keep_position=True))
+    chats = pairs.select("line_no", F.concat("prompt", "completion").alias("messages"))
+    counts = K.rendered_token_counts(C.rendered(chats, render.llama(F.col("messages"))), "line_no")
+    return K.length_table(counts, "line_no")
+
+
+@query
+def training_rows(spark, sf):
+    """Items as a training set: split, chat format, loss mask."""
+    numbered = lines.number_lines(V.item_lines(spark, sf))
+    split = D.preset_split(items.items_from_lines(numbered, None, True, "quarantine"), ["id"], "local")
+    chats = C.format_for_training(split, local=True)
+    made = C.loss_mask(C.rendered(chats, render.llama(F.col("messages"))))
+    trained = F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long")
+    return made.select("id", "split", "text", F.size("mask").cast("long").alias("n"), trained.alias("trained"))
+
+
 def _profile(spark, sf):
     return K.length_profile(K.llama_token_counts(V.conversations(spark, sf)))
 
@@ -576,8 +597,7 @@ def packed_sequences(spark, sf):
 
 @query
 def packing_stats(spark, sf):
-    lengths = _document_lengths(spark, sf)
-    return B.packing_stats(B.pack_sequences(lengths, PACK_LENGTH), lengths, PACK_LENGTH)
+    return B.packing_stats(packed_sequences(spark, sf), PACK_LENGTH)
 
 
 # --- evaluation and sweep ranking ----------------------------------------------------------

@@ -184,7 +184,7 @@ def item_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
     names = F.array(*[F.lit(n) for n in TASK_CYCLE])
     key = F.col("conv_id") * 100 + F.col("turn")
-    return asked.join(answered, ["conv_id", "turn"]).select(
+    return asked.join(answered.hint("merge"), ["conv_id", "turn"]).select(
         key.alias("id"), "conv_id", F.get(names, (key % len(TASK_CYCLE)).cast("int")).alias("task"), "prompt", "target"
     )
 

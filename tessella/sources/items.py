@@ -55,24 +55,28 @@ def _judged(numbered: DataFrame) -> DataFrame:
         .when(~(has["prompt"] & has["target"]), "missing 'prompt' or 'target' field")
         .when(nested[0] | nested[1], "list or object as text")
     )
-    return rows.select(
-        "file",
-        "line_no",
+    fields = F.struct(
         reason.alias("reason"),
         F.when(has["id"], _as_text(field["id"])).otherwise(record_id(F.col("line_no"), "item", 6)).alias("id"),
         field["task"].cast("string").alias("task"),
         strip(_as_text(field["prompt"])).alias("prompt"),
         strip(_as_text(field["target"])).alias("target"),
     )
+    return compute_once(rows, "_fields", fields).select("file", "line_no", "_fields.*")
 
 
 def items_from_lines(
-    numbered: DataFrame, tasks: Sequence[str] | None = None, keep_id: bool = False, on_error: str = "fail"
+    numbered: DataFrame,
+    tasks: Sequence[str] | None = None,
+    keep_id: bool = False,
+    on_error: str = "fail",
+    keep_position: bool = False,
 ) -> DataFrame:
     """Valid items of numbered JSON lines.
 
     Required fields are checked before the task filter; items empty after stripping are dropped.
     ``on_error='fail'`` stops at a bad line, ``'quarantine'`` leaves it to ``item_rejects``.
+    ``keep_position`` keeps file and line number, the order of the items.
     """
     judged = _judged(numbered)
     wanted = (F.col("prompt") != "") & (F.col("target") != "")
@@ -83,7 +87,8 @@ def items_from_lines(
         # One condition, so that no part of it can drop a bad line before it is reported.
         bad = F.raise_error(F.concat(F.lit("line "), F.col("line_no"), F.lit(": "), F.col("reason"))).cast("boolean")
     kept = judged.filter(F.when(F.col("reason").isNull(), wanted).otherwise(bad))
-    return kept.select("prompt", "target", *(["id"] if keep_id else []))
+    place = ["file", "line_no"] if keep_position else []
+    return kept.select(*place, "prompt", "target", *(["id"] if keep_id else []))
 
 
 def item_rejects(numbered: DataFrame) -> DataFrame:
