@@ -52,7 +52,7 @@ def token_blocks(texts: DataFrame, length: int) -> DataFrame:
     last = F.floor((F.col("end") - 1) / size).cast("long")
     cut = compute_once(listed, "_pieces", F.transform(F.sequence(first, last), piece))
     pieces = cut.select(F.explode("_pieces").alias("p")).select("p.*")
-    joined = pieces.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("low", "part"))).alias("_parts"))
+    joined = pieces.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("low", "part"))).alias("_parts"))
     tokens = F.flatten(F.transform("_parts", lambda x: x["part"]))
     return joined.select("block_id", tokens.alias("tokens")).filter(F.size("tokens") == length)
 
@@ -90,7 +90,7 @@ def encode(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     exploded = _listed_words(texts).select("key", F.posexplode("words").alias("pos", "token"))
     found = join_checked(exploded, vocabulary, ["token"], ["key", "pos"])
     return found.groupBy("key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids")
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids")
     )
 
 
@@ -100,7 +100,7 @@ def decode(ids: DataFrame, vocabulary: DataFrame, skip_special: bool = False) ->
     found = join_checked(exploded, vocabulary, ["id"], ["key", "pos"])
     if skip_special:
         found = found.filter(~F.col("token").rlike(SPECIAL_TOKEN))
-    listed = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
+    listed = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_t"))
     return listed.select("key", strip(F.array_join(F.transform("_t", lambda x: x["token"]), " ")).alias("text"))
 
 

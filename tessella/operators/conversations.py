@@ -56,7 +56,7 @@ def assemble(turns: DataFrame, system: str | None = None, extra: tuple[str, ...]
     Counting does not need it: see ``lengths.llama_token_counts`` for sums without the list.
     """
     message = F.struct("turn", "role", F.col("text").alias("content"), *extra)
-    listed = usable_turns(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("_m"))
+    listed = usable_turns(turns).groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("_m"))
     fields = ["role", "content", *extra]
     messages = F.transform("_m", lambda m: F.struct(*[m[f].alias(f) for f in fields]))
     if system is not None:

@@ -18,6 +18,7 @@ from tessella.storage import cut_lineage
 
 CHUNK_BITS = 10
 TOP_ROWS = 10_000
+HOT_SHARE = 1000
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_IN_PARTITION = (1 << 33) - 1
 
@@ -45,14 +46,15 @@ def running_total(
 
     A group may hold any share of the table: its rows are spread over its chunks, and only the
     chunk totals (one row each) meet in one window. Callers give chunks of bounded size, such as
-    file blocks. The join reuses the partitioning of the window, so the rows move once.
+    file blocks. The join is a merge on the partitioning and order the window needs anyway, so the
+    rows move and are sorted once, and nothing is broadcast that grows with the table.
     """
     weighed = df.withColumn("_w", weight.cast("long"))
     totals = weighed.groupBy(*group, chunk).agg(F.sum("_w").alias("_t"))
     inner = Window.partitionBy(*group, chunk).orderBy(*position).rowsBetween(Window.unboundedPreceding, 0)
     return (
         weighed.withColumn("_inner", F.sum("_w").over(inner))
-        .join(carried(totals, group, chunk, "_t", "_before"), [*group, chunk])
+        .join(carried(totals, group, chunk, "_t", "_before").hint("merge"), [*group, chunk])
         .withColumn(out, F.col("_inner") + F.col("_before"))
         .drop("_w", "_inner", "_before")
     )
@@ -77,7 +79,7 @@ def before_by_integer(
     inner = Window.partitionBy(*group, chunk).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (
         chunked.withColumn("_inner", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
-        .join(carry, [*group, chunk])
+        .join(carry.hint("merge"), [*group, chunk])
         .withColumn(out, (F.col("_inner") + F.col(f"_carry{levels}")).cast("long"))
         .drop("_inner", f"_carry{levels}", chunk)
     )
@@ -135,6 +137,13 @@ def table_bytes(df: DataFrame) -> int:
     return row.b or 0
 
 
+def _hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys that hold more than a thousandth of the rows each; there are fewer than a thousand."""
+    counts = df.groupBy(*on).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows").alias("n")).first().n or 0
+    return cut_lineage(counts.filter(F.col("_rows") > total // HOT_SHARE).select(*on, F.lit(True).alias("_hot")))
+
+
 def join_checked(
     big: DataFrame,
     small: DataFrame,
@@ -146,12 +155,19 @@ def join_checked(
 ) -> DataFrame:
     """Join with a side that is usually small, after measuring it.
 
-    Within ``limit`` bytes it is broadcast. Beyond, both sides shuffle, with the rows of one join
-    key spread over ``salts`` tasks (by the ``spread`` columns), so that a key holding a third of
-    ``big`` does not end in one task; ``small`` is repeated once per salt.
+    Within ``limit`` bytes it is broadcast. Beyond, both sides shuffle and merge. Keys that hold a
+    noticeable share of ``big`` are then salted: their rows go to ``salts`` tasks by the ``spread``
+    columns and the few matching rows of ``small`` are repeated; all other rows move once, as they are.
     """
     if table_bytes(small) <= limit:
         return big.join(F.broadcast(small), list(on), how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    hot = F.broadcast(_hot_keys(big, on))
+    last = F.lit(salts - 1).cast("long")
+    none = F.lit(0).cast("long")
+    salted = big.join(hot, list(on), "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), last + 1)).otherwise(none)
+    )
+    repeated = small.join(hot, list(on), "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(none, last)).otherwise(F.array(none)))
+    )
+    return salted.drop("_hot").join(repeated.drop("_hot").hint("merge"), [*on, "_salt"], how).drop("_salt")

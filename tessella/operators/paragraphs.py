@@ -80,7 +80,7 @@ def _paragraphs(lines: DataFrame, numbered: bool | None) -> DataFrame:
         F.sum(F.col("_open").cast("long")).over(so_far).alias("_labels"),
         F.sum(F.col("_start").cast("long")).over(so_far).alias("_starts"),
     )
-    placed = counted.join(_chunk_facts(lines, numbered), ["file", "chunk"]).withColumn(
+    placed = counted.join(_chunk_facts(lines, numbered).hint("merge"), ["file", "chunk"]).withColumn(
         "ordinal", F.col("_before") + F.when(F.col("_numbered"), F.col("_labels")).otherwise(F.col("_starts"))
     )
     kept = placed.filter(F.when(F.col("_numbered"), F.col("ordinal") > 0).otherwise(F.col("_filled")))
@@ -91,11 +91,11 @@ def _paragraphs(lines: DataFrame, numbered: bool | None) -> DataFrame:
     fragments = (
         kept.select("file", "chunk", "ordinal", "pos", "_numbered", line.alias("value"), number.alias("label"))
         .groupBy("file", "chunk", "ordinal", "_numbered")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_lines"), F.max("label").alias("label"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_lines"), F.max("label").alias("label"))
         .withColumn("_part", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n"))
     )
     whole = fragments.groupBy("file", "ordinal", "_numbered").agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "_part"))).alias("_parts"), F.max("label").alias("label")
+        F.sort_array(F.collect_list(F.struct("chunk", "_part"))).alias("_parts"), F.max("label").alias("label")
     )
     text = strip(F.array_join(F.transform("_parts", lambda x: x["_part"]), "\n"))
     named = F.when(F.col("_numbered"), F.col("label")).otherwise(F.col("ordinal"))

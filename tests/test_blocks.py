@@ -90,6 +90,7 @@ def test_checked_join_spreads_a_hot_key(spark):
     small = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     narrow = O.join_checked(big, small, ["k"], ["id"], limit=0)
     assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
+    assert [r.k for r in O._hot_keys(big, ["k"]).collect()] == [7]
     left = O.join_checked(big, small.filter("k = 7"), ["k"], ["id"], how="left", limit=0)
     assert left.count() == 3000 and left.filter("v = 14").count() == 1001
 
