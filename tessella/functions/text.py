@@ -28,14 +28,18 @@ def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
 
-def collapse(text: Column, drop_bad_bytes: bool = False) -> Column:
-    """Every run of white space becomes one space and the ends are stripped.
+def drop_bad_bytes(text: Column) -> Column:
+    """Leave out bytes that are no UTF-8, as a decoder that ignores errors does.
 
-    ``drop_bad_bytes`` is for text decoded from files: Spark decodes an undecodable byte to
-    U+FFFD, where a decoder that ignores errors leaves nothing.
+    Text files are scanned without a check, so such bytes sit in the strings. A replacement
+    character that was in the file itself goes only if its line has bad bytes, too.
     """
-    if drop_bad_bytes:
-        text = F.replace(text, F.lit("�"), F.lit(""))
+    cleaned = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).otherwise(cleaned)
+
+
+def collapse(text: Column) -> Column:
+    """Every run of white space becomes one space and the ends are stripped."""
     return F.array_join(words(text), " ")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import render
+from tessella.functions.columns import compute_once
 from tessella.functions.text import count_tokens, is_blank, strip
 
 
@@ -68,10 +69,8 @@ def assemble(turns: DataFrame, system: str | None = None, extra: tuple[str, ...]
 
 
 def rendered(conversations: DataFrame, segments: Column) -> DataFrame:
-    kept = [c for c in conversations.columns if c != "messages"]
-    return conversations.select(*kept, segments.alias("segments")).withColumn(
-        "text", render.text_of(F.col("segments"))
-    )
+    made = compute_once(conversations, "segments", segments).drop("messages")
+    return made.withColumn("text", render.text_of(F.col("segments")))
 
 
 def generation_requests(conversations: DataFrame, style: str = "llama") -> DataFrame:

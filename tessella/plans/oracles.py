@@ -113,7 +113,7 @@ SQL["corpus_files"] = f"""WITH {LINES}, {numbered("lines", "num", "regexp_replac
 SELECT file AS part, printf('rec%04d', label) AS id, text FROM num"""
 SQL["line_numbers"] = f"""WITH {LINES}
 SELECT file, row_number() OVER (PARTITION BY file ORDER BY doc_id, piece) AS line_no, value FROM lines"""
-SQL["text_collapse"] = f"SELECT doc_id, {collapse('replace(text, chr(65533), chr(0))').replace('chr(0)', q(''))} AS text FROM documents"
+SQL["text_collapse"] = f"SELECT doc_id, {collapse('text')} AS text FROM documents"
 
 # --- items ---------------------------------------------------------------------------------
 
@@ -476,6 +476,13 @@ VOCAB = f"""
 vocab AS (SELECT row_number() OVER (ORDER BY token) - 1 AS id, token FROM (SELECT DISTINCT token FROM tok))
 """
 SQL["token_blocks"] = f"WITH {BLOCKS} SELECT block_id, tokens FROM blocks"
+SQL["token_blocks_files"] = f"""WITH {LINES},
+tok AS (
+  SELECT part, doc_id, piece, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM (
+    SELECT regexp_replace(file, '.txt$', '') || '-' || (doc_id // 512) AS part, doc_id, piece,
+      string_split(body, ' ') AS l FROM (SELECT *, {collapse("value")} AS body FROM lines) WHERE body <> '')),
+placed AS (SELECT token, row_number() OVER (ORDER BY part, doc_id, piece, i) - 1 AS g FROM tok)
+SELECT g // {BLOCK_LENGTH} AS block_id, string_agg(token, ' ' ORDER BY g) AS tokens FROM placed GROUP BY 1 HAVING count(*) = {BLOCK_LENGTH}"""
 SQL["blocks_masked"] = f"WITH {BLOCKS} SELECT block_id, n, n AS attended FROM blocks"
 SQL["block_preview"] = f"""WITH {BLOCKS},
 plain AS (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import render
-from tessella.functions.text import collapse, count_tokens
+from tessella.functions.text import collapse, count_tokens, drop_bad_bytes
 from tessella.operators import blocks as B
 from tessella.operators import conversations as C
 from tessella.operators import exams as E
@@ -68,16 +68,21 @@ def corpus_mixed(spark, sf):
     return corpus.records_from_lines(every).select("file", "id", "text")
 
 
-@query
-def corpus_files(spark, sf):
-    """The text reader on real files: one per source and chunk, written and scanned again."""
+def _text_files(spark, sf):
+    """The corpus lines as real files, one per source and chunk."""
     folder = new_folder(spark, "corpus")
     every = V.corpus_lines(spark, sf).withColumn(
         "part", F.concat(F.regexp_extract("file", r"^(.*)\.txt$", 1), F.lit("-"), F.col("chunk").cast("string"))
     )
     ordered = every.repartition("part").sortWithinPartitions("part", "pos")
     ordered.select("part", "value").write.partitionBy("part").text(folder)
-    found = corpus.read_corpus_text(spark, folder)
+    return folder
+
+
+@query
+def corpus_files(spark, sf):
+    """The text reader on files: written and scanned again."""
+    found = corpus.read_corpus_text(spark, _text_files(spark, sf))
     return found.select(F.regexp_extract("file", r"part=([^/]+)/", 1).alias("part"), "id", "text")
 
 
@@ -111,7 +116,7 @@ def sft_items_rejects(spark, sf):
 
 @query
 def text_collapse(spark, sf):
-    return V.documents(spark, sf).select("doc_id", collapse(F.col("text"), drop_bad_bytes=True).alias("text"))
+    return V.documents(spark, sf).select("doc_id", collapse(drop_bad_bytes(F.col("text"))).alias("text"))
 
 
 @query
@@ -556,6 +561,13 @@ def token_blocks(spark, sf):
     return _blocks(spark, sf).select("block_id", F.array_join("tokens", " ").alias("tokens"))
 
 
+@query
+def token_blocks_files(spark, sf):
+    """Blocks over plain text files in path order."""
+    made = B.token_blocks(corpus.read_plain_text(spark, _text_files(spark, sf)), BLOCK_LENGTH)
+    return made.select("block_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @query
 def blocks_masked(spark, sf):
     made = B.with_attention_mask(_blocks(spark, sf), BLOCK_LENGTH)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import compute_once
-from tessella.functions.text import is_blank
+from tessella.functions.text import drop_bad_bytes, is_blank
 from tessella.operators.paragraphs import record_id, text_paragraphs
 from tessella.sources.lines import number_lines, number_scanned, scan_lines
 
@@ -67,6 +67,16 @@ def read_corpus_text(spark: SparkSession, path: str) -> DataFrame:
     return text_paragraphs(scan_lines(spark, path))
 
 
+def read_plain_text(spark: SparkSession, path: str) -> DataFrame:
+    """Text files as they are, for token blocks: one row per line, ``key`` running over all files.
+
+    Bytes that cannot be decoded are left out. White space does not matter to the blocks, so lines
+    need not be joined again.
+    """
+    numbered = number_scanned(scan_lines(spark, path), within=())
+    return numbered.select((F.col("line_no") - 1).alias("key"), drop_bad_bytes(F.col("value")).alias("text"))
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A file or a folder of ``.jsonl`` and ``.txt`` files; any other extension is an error."""
     return records_from_lines(scan_lines(spark, path))

@@ -22,12 +22,14 @@ def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def number_scanned(lines: DataFrame) -> DataFrame:
+def number_scanned(lines: DataFrame, within: Sequence[str] = ("file",)) -> DataFrame:
     """Line numbers for ``scan_lines``: ``pos`` counts up by one within a block, so the number of a
     line follows from its block's first ``pos`` and the lines of the blocks before it. The texts
-    are not shuffled as long as the table of blocks is small enough to broadcast."""
+    are not shuffled as long as the table of blocks is small enough to broadcast.
+
+    With an empty ``within`` the count runs on over all files in path order."""
     blocks = lines.groupBy("file", "chunk").agg(F.count("*").alias("_n"), F.min("pos").alias("_first"))
-    earlier = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*within).orderBy("file", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     starts = cut_lineage(blocks.select("file", "chunk", "_first", before))
     numbered = join_checked(lines, starts, ["file", "chunk"], ["pos"])

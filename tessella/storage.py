@@ -23,7 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
+        # Held by the context, and removed with the process like Spark's own local folders.
+        context._tessella_folder = tempfile.TemporaryDirectory(prefix="tessella-", ignore_cleanup_errors=True)
+        context.setCheckpointDir(context._tessella_folder.name)
     return context.getCheckpointDir().rstrip("/")
 
 

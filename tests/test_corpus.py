@@ -118,6 +118,16 @@ def test_line_numbers_over_file_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_plain_text_blocks(spark, tmp_path):
+    from tessella.operators import blocks
+
+    (tmp_path / "a.txt").write_bytes(b"one  two\r\n\n three\xff")
+    (tmp_path / "b.txt").write_bytes("four \u3000 five\n".encode())
+    source = corpus.read_plain_text(spark, str(tmp_path))
+    made = blocks.token_blocks(source, 2).orderBy("block_id").collect()
+    assert [r.tokens for r in made] == [["one", "two"], ["three", "four"]]
+
+
 ITEMS = [
     '{"task":"transform","prompt":" p ","target":"t","id":"own"}',
     "",
