@@ -11,8 +11,22 @@ from tessella.operators.ordering import join_checked, running_total
 from tessella.storage import cut_lineage
 
 
+SPLIT_SETTING = "spark.sql.files.minPartitionNum"
+
+
+def _pin_file_blocks(spark: SparkSession) -> None:
+    """Keep file blocks the same in every scan of this session.
+
+    By default the block size of small inputs follows the number of executors at that moment. Line
+    tables are scanned twice, for chunk facts and for texts, and executors may come or go in between.
+    """
+    if spark.conf.get(SPLIT_SETTING, None) is None:
+        spark.conf.set(SPLIT_SETTING, str(spark.sparkContext.defaultParallelism))
+
+
 def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lines of text files: ``file``, ``chunk`` (start of the file block), ``pos``, ``value``."""
+    _pin_file_blocks(spark)
     scan = spark.read.text(paths if isinstance(paths, str) else list(paths))
     return scan.select(
         F.col("_metadata.file_path").alias("file"),
@@ -32,10 +46,10 @@ def number_scanned(lines: DataFrame, within: Sequence[str] = ("file",)) -> DataF
     earlier = Window.partitionBy(*within).orderBy("file", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     starts = cut_lineage(blocks.select("file", "chunk", "_first", before))
-    numbered = join_checked(lines, starts, ["file", "chunk"], ["pos"])
-    return numbered.withColumn("line_no", F.col("pos") - F.col("_first") + F.col("_before") + 1).drop(
-        "_first", "_before"
-    )
+    numbered = join_checked(lines, starts, ["file", "chunk"], ["pos"], how="left")
+    unknown = F.raise_error(F.concat(F.lit("file changed while it was read: "), F.col("file"))).cast("long")
+    number = F.coalesce(F.col("pos") - F.col("_first") + F.col("_before") + 1, unknown)
+    return numbered.withColumn("line_no", number).drop("_first", "_before")
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
