@@ -64,7 +64,3 @@ def fill(template: str, placeholder: str, value: Column) -> Column:
     for part in parts[1:]:
         pieces += [value, F.lit(part)]
     return F.concat(*pieces)
-
-
-def join_texts(items: Column, separator: str = "") -> Column:
-    return F.array_join(items, separator)

@@ -97,6 +97,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "B.TXT").write_bytes("1. first\r\nmore\r\n\r\n2. second\r\n".encode())
     found = {(r.id, r.text) for r in corpus.read_corpus(spark, str(tmp_path)).collect()}
     assert found == {("rec0002", "one"), ("k", "two"), ("rec0001", "first\nmore"), ("rec0002", "second")}
+    assert corpus.read_corpus_jsonl(spark, str(tmp_path / "a.jsonl")).count() == 2
     (tmp_path / "c.csv").write_text("x\n", encoding="utf-8")
     with pytest.raises(Exception, match="unsupported input format"):
         corpus.read_corpus(spark, str(tmp_path)).collect()
