@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut_lineage, new_folder
-from . import byte_pairs, chat, languages, sharding, token_counts
+from . import byte_pairs, chat, languages, sharding, simhash, token_counts
 from .common import held_out, table
 
 
+def op2_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("simhash")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     added = spark.range(2).select(
@@ -70,6 +75,7 @@ def op10_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pivot_simhash": op2_pivot_simhash,
     "op4_reply_trees": op4_reply_trees,
     "op5_transducer_counts": op5_transducer_counts,
     "op7_tree_bpe": op7_tree_bpe,
