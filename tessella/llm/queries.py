@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut_lineage, new_folder
-from . import byte_pairs, chat, languages, sharding, simhash, token_counts
+from . import byte_pairs, chat, languages, quality, sharding, simhash, token_counts
 from .common import held_out, table
 
 
@@ -16,6 +16,10 @@ def op2_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("simhash")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     added = spark.range(2).select(
@@ -76,6 +80,7 @@ def op10_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pivot_simhash": op2_pivot_simhash,
+    "op3_divergence_rules": op3_divergence_rules,
     "op4_reply_trees": op4_reply_trees,
     "op5_transducer_counts": op5_transducer_counts,
     "op7_tree_bpe": op7_tree_bpe,

@@ -66,10 +66,10 @@ def rebalance(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     A shard keeps its slots, largest first, up to the share (total bytes / shards). What is over
     goes to the lightest shards, so a new shard only receives and no slot moves between two full ones.
     """
-    total = sizes.agg(F.sum("bytes").alias("total"))
+    total = sizes.agg(F.sum("bytes")).scalar()
     upto = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
-    stays = (F.col("shard") < shards) & (F.sum("bytes").over(upto) <= F.ceil(F.col("total") / shards))
-    sized = slot_map.join(F.broadcast(sizes), "virtual_slot").crossJoin(F.broadcast(total))  # one row
+    stays = (F.col("shard") < shards) & (F.sum("bytes").over(upto) <= F.ceil(total / shards))
+    sized = slot_map.join(F.broadcast(sizes), "virtual_slot")
     return _placed(sized.withColumn("shard", F.when(stays, F.col("shard"))).select("virtual_slot", "bytes", "shard"), shards)
 
 
