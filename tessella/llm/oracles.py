@@ -27,4 +27,31 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-SQL = {"op4_reply_trees": _CHAT}
+# Chunks as tessella.llm.line_chunks makes them: long lines alone, short ones by a rolling hash.
+_LINES = r"""
+WITH pieces AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM pieces),
+counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
+hashed AS (SELECT *, CASE WHEN words < 8 THEN CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) END AS h FROM counted),
+beside AS (
+    SELECT *, lag(h) OVER w AS h1, lag(h, 2) OVER w AS h2 FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+begun AS (
+    SELECT *, sum(CASE WHEN i = 0 OR h IS NULL OR h1 IS NULL OR (coalesce(h2, 0) * 31 + h1) % 4 = 0 THEN 1 ELSE 0 END)
+              OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos
+    FROM beside
+),
+chunks AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk, sum(words) AS words FROM begun GROUP BY doc_id, pos),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) AS copy FROM chunks),
+later AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM ranked WHERE copy > 1),
+gone AS (SELECT doc_id, pos FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS total FROM later) WHERE total >= 20),
+cut AS (
+    SELECT c.doc_id, count(*) AS n_chunks, count(g.pos) AS n_removed,
+           coalesce(string_agg(c.chunk, chr(10) ORDER BY c.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+    FROM chunks c LEFT JOIN gone g USING (doc_id, pos) GROUP BY c.doc_id
+)
+SELECT d.doc_id, c.text, coalesce(c.n_chunks, 0) AS n_chunks, coalesce(c.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN cut c USING (doc_id)
+"""
+
+SQL = {"op1_line_chunks": _LINES, "op4_reply_trees": _CHAT}

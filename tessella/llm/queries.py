@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut_lineage, new_folder
-from . import byte_pairs, chat, languages, quality, sharding, simhash, token_counts
+from . import byte_pairs, chat, languages, line_chunks, quality, sharding, simhash, token_counts
 from .common import held_out, table
 
 
+def op1_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("simhash")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -79,6 +83,7 @@ def op10_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_chunks": op1_line_chunks,
     "op2_pivot_simhash": op2_pivot_simhash,
     "op3_divergence_rules": op3_divergence_rules,
     "op4_reply_trees": op4_reply_trees,
