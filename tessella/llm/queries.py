@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut_lineage, new_folder
-from . import byte_pairs, chat, languages, line_chunks, quality, sharding, simhash, token_counts
+from . import byte_pairs, chat, languages, line_chunks, quality, sharding, simhash, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -76,6 +76,12 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str, shards: int = 8) -> Data
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
 
 
+def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    return toxicity.score(docs, field).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
 def op10_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = held_out(F.col("doc_id"))
@@ -90,5 +96,6 @@ QUERIES = {
     "op5_transducer_counts": op5_transducer_counts,
     "op7_tree_bpe": op7_tree_bpe,
     "op8_virtual_slots": op8_virtual_slots,
+    "op9_toxic_spans": op9_toxic_spans,
     "op10_context_trees": op10_context_trees,
 }
