@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import compute_once
-from .common import WORD, free_name, row_key
+from ..storage import cut_lineage
+from .common import WORD, free_name
 
 LONG = 8
 DIVISOR = 4
@@ -31,12 +32,10 @@ def _line_hash(line: Column) -> Column:
 
 def with_chunks(df: DataFrame, text: str, into: str) -> DataFrame:
     """Add the chunks of each text: array of (words, text), in order. Null text: no chunk."""
-    lines, facts, starts = (free_name(df, name) for name in ("lines", "facts", "starts"))
+    lines, counts, facts, starts = (free_name(df, name) for name in ("lines", "counts", "facts", "starts"))
     df = compute_once(df, lines, F.coalesce(F.split(text, "\n"), F.array().cast("array<string>")))
-    words = lambda line: F.regexp_count(line, F.lit(WORD))
-    df = compute_once(
-        df, facts, F.transform(lines, lambda line: F.struct(words(line).alias("words"), F.when(words(line) < LONG, _line_hash(line)).alias("hash")))
-    )
+    df = compute_once(df, counts, F.transform(lines, lambda line: F.regexp_count(line, F.lit(WORD))))
+    df = compute_once(df, facts, F.zip_with(lines, counts, lambda line, n: F.struct(n.alias("words"), F.when(n < LONG, _line_hash(line)).alias("hash"))))
     hash_at = lambda i: F.get(facts, i)["hash"]  # null: a long line
     # A boundary before line i: beside a long line, or where the two lines before it say so.
     begins = lambda i: (
@@ -52,7 +51,7 @@ def with_chunks(df: DataFrame, text: str, into: str) -> DataFrame:
         F.aggregate(F.slice(facts, s + 1, size(s, k)), F.lit(0), lambda n, f: n + f["words"]).alias("words"),
         F.array_join(F.slice(lines, s + 1, size(s, k)), "\n").alias("text"),
     )
-    return compute_once(df, into, F.transform(starts, chunk)).drop(lines, facts, starts)
+    return compute_once(df, into, F.transform(starts, chunk)).drop(lines, counts, facts, starts)
 
 
 def repeated_hashes(chunks: DataFrame) -> DataFrame:
@@ -66,31 +65,41 @@ def repeated_hashes(chunks: DataFrame) -> DataFrame:
     return hashes.filter((F.col("n") > 1) & (F.col("texts") == 1)).select("hash")
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", n_chunks: str = "n_chunks", n_removed: str = "n_removed") -> DataFrame:
-    """``df`` with repeated chunks taken out of its texts, and the number of chunks and removed chunks."""
-    doc, chunk = "\x01doc", "\x01chunk"
-    own = with_chunks(df.select(F.col(key).alias("id"), row_key(key, text).alias("doc"), F.col(text).alias("text")), "text", "chunks").drop("text")
+def _doc(key: str, text: str) -> list[Column]:
+    """What tells documents apart: the id and a hash of it and the text."""
+    return [F.col(key).alias("id"), F.xxhash64(key, text).alias("doc")]
+
+
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", n_removed: str = "n_removed") -> DataFrame:
+    """``df`` with repeated chunks taken out of its texts, and the number of chunks that went.
+
+    Texts are read three times: to group the chunks' bytes, for the places of the chunks (numbers
+    only, kept in the checkpoint folder), and to cut.
+    """
+    own = with_chunks(df.select(*_doc(key, text), F.col(text).alias("text")), "text", "chunks").drop("text")
     chunks = own.select("id", "doc", F.posexplode("chunks").alias("at", "c")).select(
         "id", "doc", "at", F.col("c.words").alias("words"), F.col("c.text").alias("text"), F.xxhash64("c.text").alias("hash")
     )
-    found = chunks.drop("text").join(repeated_hashes(chunks.select("hash", "text")), "hash")
-    firsts = found.groupBy("hash").agg(F.min(F.struct("id", "doc", "at")).alias("first")).select("hash", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
-    later = found.join(firsts, "hash").filter((F.col("doc") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
+    repeated = repeated_hashes(chunks.select("hash", "text"))
+    found = cut_lineage(chunks.drop("text").join(repeated, "hash"))
+    firsts = found.groupBy("hash").agg(F.min(F.struct("id", "doc", "at")).alias("first"))
+    later = found.join(firsts, "hash").filter(F.struct("id", "doc", "at") != F.col("first"))  # null ids are equal here
 
     # Repeated rows bring the same chunk several times; consecutive chunks of a text are one run.
-    per_doc = Window.partitionBy("doc")
-    runs = later.select("doc", "at", "words").distinct().withColumn("run", F.col("at") - F.row_number().over(per_doc.orderBy("at")))
-    long = runs.groupBy("doc", "run").agg(F.sum("words").alias("words"), F.collect_list("at").alias("ats")).filter(F.col("words") >= MIN_WORDS)
-    removed = long.groupBy("doc").agg(F.flatten(F.collect_list("ats")).alias("removed")).withColumnRenamed("doc", doc)
-
-    whole = df.withColumn(doc, row_key(key, text)).join(removed, doc, "left")
-    cut = with_chunks(whole, text, chunk)
+    places = Window.partitionBy("doc", "id").orderBy("at")
+    runs = later.select("id", "doc", "at", "words").distinct().withColumn("run", F.col("at") - F.row_number().over(places))
+    long = runs.groupBy("doc", "id", "run").agg(F.sum("words").alias("words"), F.collect_list("at").alias("ats")).filter(F.col("words") >= MIN_WORDS)
+    gone, doc, same, cut_text, chunk = (free_name(df, name) for name in ("gone", "doc", "same_id", "cut_text", "chunk"))
+    removed = long.groupBy("doc", "id").agg(F.flatten(F.collect_list("ats")).alias(gone)).select(F.col("doc").alias(doc), F.col("id").alias(same), gone)
+
+    keyed = df.withColumn(doc, F.xxhash64(key, text))
+    whole = keyed.join(removed.withColumnRenamed(doc, f"{doc}_"), (F.col(doc) == F.col(f"{doc}_")) & F.col(f"`{key}`").eqNullSafe(F.col(same)), "left")
+    cut = with_chunks(whole.withColumn(cut_text, F.when(F.col(gone).isNotNull(), F.col(text))), cut_text, chunk)
     every = F.when(F.size(chunk) > 0, F.sequence(F.lit(0), F.size(chunk) - 1)).otherwise(F.array().cast("array<int>"))
-    stay = F.array_sort(F.array_except(every, F.coalesce("removed", F.array().cast("array<int>"))))
+    stay = F.array_sort(F.array_except(every, gone))
     left = F.array_join(F.transform(stay, lambda i: F.get(chunk, i)["text"]), "\n")
     columns = {
-        text: F.when(F.col("removed").isNull(), F.col(text)).otherwise(left),
-        n_chunks: F.size(chunk).cast("bigint"),
-        n_removed: F.coalesce(F.size("removed"), F.lit(0)).cast("bigint"),
+        text: F.when(F.col(gone).isNull(), F.col(text)).otherwise(left),
+        n_removed: F.coalesce(F.size(gone), F.lit(0)).cast("bigint"),
     }
     return cut.select(*[columns.pop(c, F.col(f"`{c}`")).alias(c) for c in df.columns], *[v.alias(c) for c, v in columns.items()])

@@ -46,11 +46,11 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos)
 later AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM ranked WHERE copy > 1),
 gone AS (SELECT doc_id, pos FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS total FROM later) WHERE total >= 20),
 cut AS (
-    SELECT c.doc_id, count(*) AS n_chunks, count(g.pos) AS n_removed,
+    SELECT c.doc_id, count(g.pos) AS n_removed,
            coalesce(string_agg(c.chunk, chr(10) ORDER BY c.pos) FILTER (WHERE g.pos IS NULL), '') AS text
     FROM chunks c LEFT JOIN gone g USING (doc_id, pos) GROUP BY c.doc_id
 )
-SELECT d.doc_id, c.text, coalesce(c.n_chunks, 0) AS n_chunks, coalesce(c.n_removed, 0) AS n_removed
+SELECT d.doc_id, c.text, coalesce(c.n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN cut c USING (doc_id)
 """
 
