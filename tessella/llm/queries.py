@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut_lineage, new_folder
-from . import byte_pairs, chat, languages, line_chunks, quality, sharding, simhash, token_counts, toxicity
+from . import byte_pairs, chat, decontamination, languages, line_chunks, quality, sharding, simhash, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -54,6 +54,12 @@ def op5_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op6_window_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.withColumn("contaminated", F.size("item_ids") > 0)
+
+
 def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_pairs.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -94,6 +100,7 @@ QUERIES = {
     "op3_divergence_rules": op3_divergence_rules,
     "op4_reply_trees": op4_reply_trees,
     "op5_transducer_counts": op5_transducer_counts,
+    "op6_window_simhash": op6_window_simhash,
     "op7_tree_bpe": op7_tree_bpe,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_toxic_spans": op9_toxic_spans,
