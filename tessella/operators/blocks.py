@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import compute_once
 from tessella.functions.text import SPECIAL_TOKEN, right_strip, strip, words
-from tessella.operators.ordering import before_by_integer, join_checked, rank_rows
-
-ROWS_PER_SHARD = 50_000
+from tessella.operators.ordering import before_by_integer, is_dense, join_checked, rank_rows
 
 
 def read_texts(df: DataFrame, key: str) -> DataFrame:
@@ -27,13 +24,16 @@ def _listed_words(texts: DataFrame) -> DataFrame:
 def token_blocks(texts: DataFrame, length: int) -> DataFrame:
     """Blocks of ``length`` tokens over all texts joined in key order; the short tail is dropped.
 
-    ``texts`` has a dense integer ``key``. Each text learns how many tokens come before it, cuts
+    Keys are unique; a null key comes first. Keys that are not dense integers are replaced by their
+    positions, so that no window holds more than a bounded number of rows. Each text learns how many tokens come before it, cuts
     itself at the block limits it crosses, and only these slices meet again, per block. No task
     ever holds more than its texts and ``length`` tokens per block.
     """
     counted = _listed_words(texts).select(
         "key", F.size("words").cast("long").alias("n"), F.array_join("words", " ").alias("body")
     )
+    if not is_dense(texts, "key"):
+        counted = rank_rows(counted, ["key", "body"], "_ord").drop("key").withColumnRenamed("_ord", "key")
     placed = before_by_integer(counted, "key", "n", "start").filter(F.col("n") > 0)
     start, end = F.col("start"), F.col("start") + F.col("n")
     listed = compute_once(placed.select(start.alias("start"), end.alias("end"), "body"), "words", F.split("body", " "))
@@ -84,24 +84,41 @@ def build_vocabulary(texts: DataFrame) -> DataFrame:
     return rank_rows(found, ["token"], "_ord").select((F.col("_ord") - 1).alias("id"), "token")
 
 
-def encode(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Texts as id lists. The vocabulary is broadcast after its size was measured; a larger one is
-    joined with salted keys, because frequent tokens are hot."""
-    exploded = _listed_words(texts).select("key", F.posexplode("words").alias("pos", "token"))
-    found = join_checked(exploded, vocabulary, ["token"], ["key", "pos"])
-    return found.groupBy("key").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids")
-    )
+def encode(texts: DataFrame, vocabulary: DataFrame, unknown: int | None = None) -> DataFrame:
+    """Texts as id lists, one row per text; an empty text has an empty list.
+
+    A token that the vocabulary lacks gets the id ``unknown``; without one it is an error. The
+    vocabulary is broadcast after its size was measured; a larger one is joined with salted keys,
+    because frequent tokens are hot.
+    """
+    exploded = _listed_words(texts).select("key", F.posexplode_outer("words").alias("pos", "token"))
+    found = join_checked(exploded, vocabulary, ["token"], ["key", "pos"], "left")
+    missing = F.raise_error(F.concat(F.lit("token not in the vocabulary: "), "token")).cast("long")
+    coded = F.coalesce("id", F.lit(unknown).cast("long") if unknown is not None else missing)
+    return _gathered(found, ["key"], coded, "ids")
+
+
+def _gathered(found: DataFrame, by: list[str], value: Column, out: str) -> DataFrame:
+    """The values of each group in order of ``pos``; a null ``pos`` stands for an empty list."""
+    part = F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("value")))
+    grouped = found.groupBy(*by).agg(F.sort_array(F.collect_list(part)).alias("_parts"))
+    return grouped.select(*by, F.transform("_parts", lambda x: x["value"]).alias(out))
 
 
-def decode(ids: DataFrame, vocabulary: DataFrame, skip_special: bool = False) -> DataFrame:
-    """Id lists as stripped texts. A list of lists is decoded row by row after ``as_rows``."""
-    exploded = compute_once(ids, "ids", F.col("ids")).select("key", F.posexplode("ids").alias("pos", "id"))
-    found = join_checked(exploded, vocabulary, ["id"], ["key", "pos"])
-    if skip_special:
-        found = found.filter(~F.col("token").rlike(SPECIAL_TOKEN))
-    listed = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_t"))
-    return listed.select("key", strip(F.array_join(F.transform("_t", lambda x: x["token"]), " ")).alias("text"))
+def decode(ids: DataFrame, vocabulary: DataFrame, skip_special: bool = False, unknown: str | None = None) -> DataFrame:
+    """Id lists as stripped texts, one text per row; after ``as_rows`` one text per (key, row).
+
+    An id that the vocabulary lacks becomes the token ``unknown``; without one it is an error. A row
+    without ids, or with special tokens only, is an empty text.
+    """
+    by = [c for c in ("key", "row") if c in ids.columns]
+    exploded = compute_once(ids, "ids", F.col("ids")).select(*by, F.posexplode_outer("ids").alias("pos", "id"))
+    found = join_checked(exploded, vocabulary, ["id"], [*by, "pos"], "left")
+    missing = F.raise_error(F.concat(F.lit("id not in the vocabulary: "), F.col("id").cast("string"))).cast("string")
+    token = F.coalesce("token", F.lit(unknown) if unknown is not None else missing)
+    listed = _gathered(found, by, token, "_t")
+    shown = F.filter("_t", lambda t: ~t.rlike(SPECIAL_TOKEN)) if skip_special else F.col("_t")
+    return listed.select(*by, strip(F.array_join(shown, " ")).alias("text"))
 
 
 def as_rows(df: DataFrame, key: str, ids: str) -> DataFrame:
@@ -115,34 +132,50 @@ def as_rows(df: DataFrame, key: str, ids: str) -> DataFrame:
     raise ValueError(f"ids must be one or two dimensional, got {kind}")
 
 
-def pack_sequences(lengths: DataFrame, max_length: int, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+def pack_sequences(lengths: DataFrame, max_length: int, shards: int = 1) -> DataFrame:
     """Put sequences (``key``, ``num_tokens``) into bins of at most ``max_length`` tokens.
 
-    Longer sequences are truncated to the limit. Bins are filled next-fit, longest first, within
-    shards of the hashed key; the number of shards follows the row count, so a shard stays near
-    ``rows_per_shard`` narrow rows however large the table is.
+    Longer sequences are truncated to the limit. Bins are filled next-fit, longest first, equal
+    lengths in key order; with more than one shard, within shards of the hashed key. The filling
+    follows from how often each length occurs: a walk over this histogram (at most ``max_length`` + 1
+    rows a shard) says in which bin a length starts and how many of its rows still fit there, and
+    a row's bin is arithmetic on its rank within its length.
     """
-    shards = max(1, -(-lengths.count() // rows_per_shard))
     prepared = lengths.select(
         "key",
         F.col("num_tokens").cast("long").alias("num_tokens"),
         F.least("num_tokens", F.lit(max_length)).cast("long").alias("packed_tokens"),
         F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"),
     )
-
-    def fill_bins(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["packed_tokens", "key"], ascending=[False, True], ignore_index=True)
-        bins, current, used = [], 0, 0
-        for n in ordered["packed_tokens"]:
-            if used + n > max_length:
-                current, used = current + 1, 0
-            used += n
-            bins.append(current)
-        return ordered.assign(bin=bins)[["key", "num_tokens", "packed_tokens", "shard", "bin"]]
-
-    return prepared.groupBy("shard").applyInPandas(
-        fill_bins, "key long, num_tokens long, packed_tokens long, shard long, bin long"
+    order = [F.col("shard"), F.col("packed_tokens").desc(), F.col("key")]
+    ranked = rank_rows(prepared, order, "_rank")
+    counts = prepared.groupBy("shard", "packed_tokens").agg(F.count("*").alias("rows"))
+    earlier = Window.orderBy("shard", F.desc("packed_tokens")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).cast("long"))
+    walked = before.groupBy("shard").agg(
+        F.sort_array(F.collect_list(F.struct("packed_tokens", "rows", "before")), asc=False).alias("lengths")
     )
+    limit, zero = F.lit(max_length).cast("long"), F.lit(0).cast("long")
+
+    def step(state: Column, x: Column) -> Column:
+        n, rows = x["packed_tokens"], x["rows"]
+        fit = F.when(n == 0, rows).otherwise(F.least(rows, F.floor((limit - state["used"]) / F.greatest(n, zero + 1))))
+        to_bin = F.greatest(F.floor(limit / F.greatest(n, zero + 1)), zero + 1)
+        rest = rows - fit
+        start = F.struct(n.alias("packed_tokens"), x["before"].alias("before"), state["bin"].alias("first"), fit.alias("fit"), to_bin.alias("to_bin"))
+        return F.struct(
+            F.when(rest > 0, state["bin"] + 1 + F.floor((rest - 1) / to_bin)).otherwise(state["bin"]).alias("bin"),
+            F.when(rest > 0, ((rest - 1) % to_bin + 1) * n).otherwise(state["used"] + rows * n).alias("used"),
+            F.concat(state["starts"], F.array(start)).alias("starts"),
+        )
+
+    none = F.array().cast("array<struct<packed_tokens:bigint,before:bigint,first:bigint,fit:bigint,to_bin:bigint>>")
+    state = F.struct(zero.alias("bin"), zero.alias("used"), none.alias("starts"))
+    starts = walked.select("shard", F.explode(F.aggregate("lengths", state, step, lambda s: s["starts"])).alias("s")).select("shard", "s.*")
+    placed = ranked.join(F.broadcast(starts), ["shard", "packed_tokens"])  # at most max_length + 1 rows a shard
+    rank = F.col("_rank") - 1 - F.col("before")
+    placed_bin = F.when(rank < F.col("fit"), F.col("first")).otherwise(F.col("first") + 1 + F.floor((rank - F.col("fit")) / F.col("to_bin")))
+    return placed.select("key", "num_tokens", "packed_tokens", "shard", placed_bin.alias("bin"))
 
 
 def packing_stats(packed: DataFrame, max_length: int) -> DataFrame:

@@ -73,12 +73,20 @@ def match_answers(predictions: DataFrame, verdicts: DataFrame | None = None) ->
 
 
 def score(exam: DataFrame, matched: DataFrame, carry: Sequence[str] = ("question",)) -> DataFrame:
-    """Result rows. Only the key and the columns of ``carry`` are taken from the exam."""
+    """Result rows: every question of an exam for every run that answered any of it.
+
+    A question without an answer is no match and not correct. Only the key and the columns of
+    ``carry`` are taken from the exam.
+    """
     key = exam.select("exam_name", "id", F.col("correct_answer").alias("correct"), *carry)
-    joined = join_checked(matched, key, ["exam_name", "id"], ["run"])
+    runs = matched.select("run", "exam_name").distinct()
+    asked = join_checked(key, runs, ["exam_name"], ["id"])
+    answers = matched.select("run", "exam_name", "id", "predicted_raw", "predicted_answer").hint("merge")
+    joined = asked.join(answers, ["run", "exam_name", "id"], "left")
+    answer = F.coalesce("predicted_answer", F.lit(NO_MATCH))
     return joined.select(
-        "run", "exam_name", "id", *carry, "predicted_raw", "predicted_answer", "correct",
-        (F.col("predicted_answer") == F.col("correct")).alias("is_correct"),
+        "run", "exam_name", "id", *carry, "predicted_raw", answer.alias("predicted_answer"), "correct",
+        F.coalesce(answer == F.col("correct"), F.lit(False)).alias("is_correct"),
     )
 
 

@@ -107,29 +107,36 @@ def rank_rows(df: DataFrame, order: Sequence[Column | str], out: str = "ordinal"
 
 
 def ordinals(df: DataFrame, key: str, out: str = "ordinal") -> DataFrame:
-    """Positions from 1 by one unique column, by the cheaper of the two ways that is safe."""
-    integer = df.schema[key].dataType.typeName() in {"long", "integer", "short", "byte"}
-    if integer:
-        low, high, rows = df.agg(F.min(key), F.max(key), F.count("*")).first()
-        if not rows or (low >= 0 and high <= 64 * rows):
-            counted = before_by_integer(df.withColumn("_one", F.lit(1)), key, "_one", "_b")
-            return counted.withColumn(out, F.col("_b") + 1).drop("_b", "_one")
+    """Positions from 1 by one unique column; null keys come first.
+
+    A dense integer key is counted in place, any other one is sorted. Both give the same positions.
+    """
+    if is_dense(df, key):
+        counted = before_by_integer(df.withColumn("_one", F.lit(1)), key, "_one", "_b")
+        return counted.withColumn(out, F.col("_b") + 1).drop("_b", "_one")
     return rank_rows(df, [key], out)
 
 
+def is_dense(df: DataFrame, key: str) -> bool:
+    """Whether ``before_by_integer`` may be used: no null, not negative, at most 64 numbers to a row."""
+    if df.schema[key].dataType.typeName() not in {"long", "integer", "short", "byte"}:
+        return False
+    low, high, rows, known = df.agg(F.min(key), F.max(key), F.count("*"), F.count(key)).first()
+    return not rows or (known == rows and low >= 0 and high <= 64 * rows)
+
+
 def take_slice(df: DataFrame, n: int, key: str) -> DataFrame:
     """``rows[:n]`` of a list in key order: a negative ``n`` leaves out that many rows at the end.
 
-    Few rows at either end are a distributed top-k. More than that takes positions.
+    Null keys come first; rows of one key are ordered by a hash of the row, whatever ``n`` is. Few
+    rows are a distributed top-k, more take positions in the same order.
     """
+    order = [F.col(key).asc_nulls_first(), F.xxhash64(*df.columns)]
     if 0 <= n <= TOP_ROWS:
-        return df.orderBy(key).limit(n)
-    if -TOP_ROWS <= n < 0:
-        left_out = df.select(key).orderBy(F.col(key).desc()).limit(-n).agg(F.min(key).alias("k")).first()
-        return df if left_out.k is None else df.filter(F.col(key) < F.lit(left_out.k))
+        return df.orderBy(*order).limit(n)
     if n < 0:
         n = max(0, df.count() + n)
-    return ordinals(df, key, "_ord").filter(F.col("_ord") <= n).drop("_ord")
+    return rank_rows(df, order, "_ord").filter(F.col("_ord") <= n).drop("_ord")
 
 
 def table_bytes(df: DataFrame) -> int:

@@ -19,9 +19,10 @@ def best_artifacts(paths: DataFrame, base: str) -> DataFrame:
 
     ``paths`` has one row per file. Partial maxima are taken before the shuffle.
     """
-    below = F.regexp_extract("path", rf"^{base}/([^/]+)/([^/]+)/", 1)
-    name = F.regexp_extract("path", rf"^{base}/([^/]+)/([^/]+)/", 2)
-    found = paths.select(below.alias("run"), name.alias("artifact")).filter(F.col("run").contains(SWEEP_MARK))
+    inside = paths.filter(F.startswith("path", F.lit(f"{base}/")))
+    parts = F.split(F.substr("path", F.lit(len(base) + 2)), "/")
+    listed = inside.select(F.get(parts, 0).alias("run"), F.get(parts, 1).alias("artifact"), F.get(parts, 2).alias("below"))
+    found = listed.filter(F.col("below").isNotNull() & (F.col("artifact") != "") & F.col("run").contains(SWEEP_MARK))
     step = F.regexp_extract("artifact", CHECKPOINT, 1).try_cast("long")
     usable = found.withColumn("final", F.col("artifact") == FINAL).withColumn("step", step)
     usable = usable.filter(F.col("final") | (F.col("artifact").startswith("checkpoint-") & F.col("step").isNotNull()))
