@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut_lineage
 from .common import arrow_map, map_texts
 
 ORDER = 3
@@ -151,7 +152,8 @@ class ContextTrees:
 
 def learn(df: DataFrame, label: str = "lang", text: str = "text", max_nodes: int = MAX_NODES) -> ContextTrees | None:
     """Trees from all labelled texts; of the counted entries the ``max_nodes`` most frequent stay."""
-    kept = count_contexts(df, label, text).orderBy(F.desc("n"), "label", "code").limit(max_nodes).toPandas()
+    # A table of its own first: collected directly, every task would send the driver as many rows.
+    kept = cut_lineage(count_contexts(df, label, text).orderBy(F.desc("n"), "label", "code").limit(max_nodes)).toPandas()
     if not len(kept):
         return None
     labels = sorted(kept["label"].unique())
