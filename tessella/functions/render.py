@@ -84,7 +84,8 @@ def llama_opening(system: Column, date: str = LLAMA_DATE) -> Column:
 
 
 def llama_turn(role: Column, content: Column) -> Column:
-    return F.concat(llama_header(role), strip(content), F.lit(LLAMA_EOT))
+    """A turn whose content is null is an empty turn."""
+    return F.concat(llama_header(role), F.coalesce(strip(content), F.lit("")), F.lit(LLAMA_EOT))
 
 
 def llama(messages: Column, date: str = LLAMA_DATE, add_generation_prompt: bool = False) -> Column:

@@ -13,13 +13,34 @@ from tessella.sources.lines import number_lines, number_scanned, scan_lines
 JSON_OBJECT = "map<string,variant>"
 
 
+STRICT = {"allowSingleQuotes": "false"}
+
+
+def json_object(line: Column) -> Column:
+    """The fields of a line that is exactly one JSON object, else null.
+
+    The reader ignores what follows a value. Inside a list and as a field of an object it does not,
+    and each of the two finds text that closes the other one; so a line must be read as both. Of a
+    repeated name the last value counts, as the list form keeps all of them in order.
+    """
+    listed = F.from_json(F.concat(F.lit("["), line, F.lit("]")), f"array<{JSON_OBJECT}>", STRICT)
+    named = F.from_json(F.concat(F.lit('{"r":'), line, F.lit("}")), f"r {JSON_OBJECT}, _bad string", {**STRICT, "columnNameOfCorruptRecord": "_bad"})
+    return F.when((F.size(listed) == 1) & named["_bad"].isNull() & named["r"].isNotNull(), F.get(listed, F.lit(0)))
+
+
+def field_of(fields: Column, name: str) -> Column:
+    """The last value under a name; null if there is none."""
+    same = F.filter(F.map_entries(fields), lambda e: e["key"] == name)
+    return F.get(same, F.size(same) - 1)["value"]
+
+
 def is_string(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
 def _first_string(fields: Column) -> Column:
     """``text`` if it is a string, else the first string value in key order."""
-    own = F.try_element_at(fields, F.lit("text"))
+    own = field_of(fields, "text")
     others = F.filter(F.map_values(fields), is_string)
     return F.when(is_string(own), own.cast("string")).otherwise(F.get(others, F.lit(0)).cast("string"))
 
@@ -30,12 +51,13 @@ def json_records(numbered: DataFrame, on_error: str = "fail") -> DataFrame:
     A line without any string is an error; with ``on_error='quarantine'`` the row is kept with a
     ``reason`` and no text instead.
     """
-    fields = compute_once(numbered.filter(~is_blank(F.col("value"))), "_o", F.from_json("value", JSON_OBJECT))
-    own = F.when(F.map_contains_key("_o", "id"), F.try_element_at("_o", F.lit("id")).cast("string"))
+    fields = compute_once(numbered.filter(~is_blank(F.col("value"))), "_o", json_object(F.col("value")))
+    named = F.coalesce(F.map_contains_key("_o", "id"), F.lit(False))
     rows = fields.select(
         "file",
         F.col("line_no").alias("ordinal"),
-        F.coalesce(own, record_id(F.col("line_no"))).alias("id"),
+        # An explicit null stays null.
+        F.when(named, field_of(F.col("_o"), "id").cast("string")).otherwise(record_id(F.col("line_no"))).alias("id"),
         _first_string(F.col("_o")).alias("text"),
     )
     reason = F.concat(F.lit("line "), F.col("ordinal"), F.lit(" has no string field to use as text"))

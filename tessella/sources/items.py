@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.columns import compute_once
 from tessella.functions.text import is_blank, strip
 from tessella.operators.paragraphs import record_id
-from tessella.sources.corpus import JSON_OBJECT
+from tessella.sources.corpus import field_of, json_object
 from tessella.sources.lines import number_scanned, scan_lines
 
 # Task lists of the presets (None takes every task) and whether ids are kept.
@@ -46,9 +46,9 @@ def _as_text(value: Column) -> Column:
 
 
 def _judged(numbered: DataFrame) -> DataFrame:
-    rows = compute_once(numbered.filter(~is_blank(F.col("value"))), "_o", F.from_json("value", JSON_OBJECT))
+    rows = compute_once(numbered.filter(~is_blank(F.col("value"))), "_o", json_object(F.col("value")))
     has = {k: F.map_contains_key("_o", k) for k in ("prompt", "target", "id")}
-    field = {k: F.try_element_at("_o", F.lit(k)) for k in ("prompt", "target", "id", "task")}
+    field = {k: field_of(F.col("_o"), k) for k in ("prompt", "target", "id", "task")}
     nested = [F.when(has[k], _as_text(field[k]).isNull()).otherwise(F.lit(False)) for k in ("prompt", "target")]
     reason = (
         F.when(F.col("_o").isNull(), "invalid JSON")
