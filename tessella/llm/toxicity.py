@@ -34,7 +34,7 @@ MIN_DOCS, MIN_RATIO = 5, 4.0
 REJECT = 0.7
 BITS = 18
 PIECE, CONTEXT = 256, 64
-MAX_WORDS = 600_000
+MAX_WORDS = 300_000
 TOKEN = re.compile(r"[^\W_]+")
 ROUNDS, BATCH, RATE, DECAY = 4, 256, 0.2, 1e-4
 
