@@ -7,6 +7,9 @@ only narrow per-chunk facts are carried from one to the next.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from tessella.functions.wording import ORTHOGRAPHY_POLICY
 
 # A label opens a paragraph; the space after the dot may be missing.
 LABEL = rf"(?Us)^[{WHITESPACE_CLASS}]*(\d+)\.[{WHITESPACE_CLASS}]*(.*)$"
+# The decimal digits of all other scripts; each script has its ten in a row, from zero on.
+DIGITS = "".join(chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd")
 SENTENCE = r"[^.!?]+[.!?]*"
 GREEK = r"\p{IsGreek}+(?:\s+\p{IsGreek}+)*"
 
@@ -28,6 +33,11 @@ def record_id(number: Column, prefix: str = "rec", width: int = 4) -> Column:
     return F.format_string(f"{prefix}%0{width}d", number.cast("long"))
 
 
+def label_number(label: Column) -> Column:
+    """The number of a label as text, of any length, without leading zeros and in ASCII digits."""
+    return F.regexp_replace(F.translate(label, DIGITS, "0123456789" * (len(DIGITS) // 10)), "^0+(?=[0-9])", "")
+
+
 def _chunk_facts(lines: DataFrame, numbered: bool | None) -> DataFrame:
     """One narrow row per file and chunk: how its file is cut and how many paragraphs came before.
 
@@ -87,7 +97,7 @@ def _paragraphs(lines: DataFrame, numbered: bool | None) -> DataFrame:
     is_label = F.col("_numbered") & F.col("_open")
     # The label is removed. A bare label leaves an empty first line, which the strip takes away.
     line = F.when(is_label, F.regexp_extract("value", LABEL, 2)).otherwise(F.col("value"))
-    number = F.when(is_label, F.regexp_extract("value", LABEL, 1).try_cast("long"))
+    number = F.when(is_label, label_number(F.regexp_extract("value", LABEL, 1)))
     fragments = (
         kept.select("file", "chunk", "ordinal", "pos", "_numbered", line.alias("value"), number.alias("label"))
         .groupBy("file", "chunk", "ordinal", "_numbered")
@@ -98,11 +108,12 @@ def _paragraphs(lines: DataFrame, numbered: bool | None) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("chunk", "_part"))).alias("_parts"), F.max("label").alias("label")
     )
     text = strip(F.array_join(F.transform("_parts", lambda x: x["_part"]), "\n"))
-    named = F.when(F.col("_numbered"), F.col("label")).otherwise(F.col("ordinal"))
+    named = F.when(F.col("_numbered"), F.col("label")).otherwise(F.col("ordinal").cast("string"))
+    padded = F.lpad(named, F.greatest(F.length(named), F.lit(4)), F.lit("0"))
     return (
         compute_once(whole, "text", text)
         .filter(F.col("text") != "")
-        .select("file", "ordinal", "label", record_id(named).alias("id"), "text")
+        .select("file", "ordinal", "label", F.concat(F.lit("rec"), padded).alias("id"), "text")
     )
 
 

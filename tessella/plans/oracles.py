@@ -99,7 +99,7 @@ def blanks(lines: str, name: str) -> str:
 
 SQL["corpus_jsonl"] = f"WITH {JSONL} SELECT file, ordinal, id, text FROM json_records"
 SQL["paragraphs_numbered"] = f"""WITH {LINES}, {numbered("lines", "num")}
-SELECT file, label, printf('rec%04d', label) AS id, text FROM num"""
+SELECT file, CAST(label AS VARCHAR) AS label, printf('rec%04d', label) AS id, text FROM num"""
 SQL["paragraphs_blank"] = f"""WITH {BLANK}, {blanks("blank_lines", "bl")}
 SELECT file, ordinal, printf('rec%04d', ordinal) AS id, text FROM bl"""
 SQL["corpus_text"] = f"""WITH {LINES}, {BLANK}, {numbered("lines", "num")}, {blanks("blank_lines", "bl")}
@@ -119,21 +119,23 @@ SQL["text_collapse"] = f"SELECT doc_id, {collapse('text')} AS text FROM document
 
 PAIRS = f"""
 pairs AS (
-  SELECT u.conv_id * 100 + u.turn AS id, u.conv_id, u.text AS prompt, a.text AS target,
+  SELECT u.conv_id || '-' || u.turn AS id, u.conv_id * 100 + u.turn AS n, u.conv_id, u.turn, u.text AS prompt, a.text AS target,
     ([{", ".join(q(t) for t in TASK_CYCLE)}])[(u.conv_id * 100 + u.turn) % {len(TASK_CYCLE)} + 1] AS task
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant')
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'),
+answers AS (SELECT id, prompt, coalesce(target, '') AS answer FROM pairs)
 """
 ITEM_LINES = f"""
 {PAIRS},
-numbered AS (SELECT *, id % 23 AS kind, row_number() OVER (ORDER BY id) AS line_no FROM pairs),
+numbered AS (
+  SELECT *, n % 23 AS kind, row_number() OVER (ORDER BY conv_id, turn) AS line_no,
+    n % 23 = 1 OR n % 23 NOT IN (0, 2, 4, 5) AND target IS NULL AS no_target FROM pairs),
 valid AS (
   SELECT line_no, kind, task,
-    CASE WHEN kind = 2 THEN 'None' WHEN kind = 3 THEN CAST(id AS VARCHAR) ELSE {strip("prompt")} END AS prompt,
+    CASE WHEN kind = 2 THEN 'None' WHEN kind = 3 THEN CAST(n AS VARCHAR) ELSE {strip("prompt")} END AS prompt,
     CASE WHEN kind = 2 THEN 't' WHEN kind = 4 THEN '' ELSE {strip("target")} END AS target,
-    CASE WHEN kind IN (2, 3) THEN printf('item%06d', line_no) WHEN kind = 4 THEN CAST(id AS VARCHAR)
-      ELSE 'i' || id END AS id
-  FROM numbered WHERE kind NOT IN (0, 1, 5))
+    CASE WHEN kind IN (2, 3) THEN printf('item%06d', line_no) WHEN kind = 4 THEN id ELSE 'i' || id END AS id
+  FROM numbered WHERE kind NOT IN (0, 5) AND NOT no_target)
 """
 
 
@@ -148,12 +150,12 @@ SQL["sft_items_three_tasks"] = f"""WITH {ITEM_LINES}
 SELECT prompt, target, id FROM valid WHERE prompt <> '' AND target <> '' AND task IN ({tasks("three_tasks")})"""
 SQL["sft_items_rejects"] = f"""WITH {ITEM_LINES}
 SELECT line_no, CASE WHEN kind = 5 THEN 'invalid JSON' ELSE 'missing ''prompt'' or ''target'' field' END AS reason
-FROM numbered WHERE kind IN (1, 5)"""
-SQL["prompt_completion"] = f"WITH {PAIRS} SELECT id, 'user=' || prompt AS prompt, 'assistant=' || target AS completion FROM pairs"
-SQL["messages"] = f"WITH {PAIRS} SELECT id, 'user=' || prompt || chr(1) || 'assistant=' || target AS messages FROM pairs"
+FROM numbered WHERE kind = 5 OR no_target"""
+SQL["prompt_completion"] = f"WITH {PAIRS} SELECT id, 'user=' || prompt AS prompt, 'assistant=' || answer AS completion FROM answers"
+SQL["messages"] = f"WITH {PAIRS} SELECT id, 'user=' || prompt || chr(1) || 'assistant=' || answer AS messages FROM answers"
 SQL["format_dispatch"] = f"""WITH {PAIRS}
-SELECT id, 'messages' AS shape, 'user=' || prompt || chr(1) || 'assistant=' || target AS content FROM pairs
-UNION ALL SELECT id, 'pair' AS shape, 'assistant=' || target AS content FROM pairs"""
+SELECT id, 'messages' AS shape, 'user=' || prompt || chr(1) || 'assistant=' || answer AS content FROM answers
+UNION ALL SELECT id, 'pair' AS shape, 'assistant=' || answer AS content FROM answers"""
 
 # --- ordinals, slices and splits -----------------------------------------------------------
 
@@ -513,13 +515,14 @@ SELECT count(*) AS bins, (SELECT count(*) FROM packed) AS sequences, max(used)::
 
 EXAM = f"""
 questions AS (
-  SELECT exam_name, id, text AS question, w, substr('abcd', CAST(n % 4 + 1 AS INT), 1) AS correct_answer FROM (
-    SELECT *, string_split({collapse("text")}, ' ') AS w FROM (
-      SELECT 'corpus' AS exam_name, 'd' || doc_id AS id, doc_id AS n, text FROM documents
-      UNION ALL SELECT 'items', 'b' || item_id, item_id, text FROM benchmark)) WHERE len(w) >= 4)
+  SELECT exam_name, id, text AS question, substr('abcd', CAST(n % 4 + 1 AS INT), 1) AS correct_answer,
+    [concat(substr('abcd', i, 1), ') ', w[i]) for i in range(1, least(len(w), 4) + 1)] AS opts FROM (
+    SELECT *, [x for x in string_split({collapse("text")}, ' ') if x <> ''] AS w FROM (
+      SELECT 'corpus' AS exam_name, 'd' || doc_id AS id, doc_id AS n, coalesce(text, '') AS text FROM documents
+      UNION ALL SELECT 'items', 'b' || item_id, item_id, coalesce(text, '') FROM benchmark)))
 """
-PROMPT = """chr(10) || 'Question: ' || question || chr(10) || 'a) ' || w[1] || chr(10) || 'b) ' || w[2] || chr(10)
-  || 'c) ' || w[3] || chr(10) || 'd) ' || w[4] || chr(10) || 'Answer:'"""
+PROMPT = """chr(10) || 'Question: ' || question || chr(10)
+  || coalesce(array_to_string([concat(o, chr(10)) for o in opts], ''), '') || 'Answer:'"""
 RUNS = """
 runs AS (
   SELECT CASE WHEN k % 5 = 4 THEN 'old_sweep_' || source ELSE 'grid_sweep_lr' || CASE WHEN k % 2 = 0 THEN '1e-05' ELSE '5e-06' END
@@ -529,7 +532,7 @@ runs AS (
 PREDICTIONS = f"""
 {EXAM}, {RUNS},
 predictions AS (
-  SELECT run, exam_name, id, question, w, correct_answer, {pick("run || '|' || id", ANSWERS)} || ' rest ' AS raw,
+  SELECT run, exam_name, id, question, opts, correct_answer, {pick("run || '|' || id", ANSWERS)} || ' rest ' AS raw,
     {pick("'judge|' || run || '|' || id", VERDICTS)} AS verdict
   FROM runs CROSS JOIN questions WHERE NOT crashed),
 matched AS (
@@ -560,7 +563,7 @@ JUDGE = template(
     wording.JUDGE_USER.replace("{answer}", "\x02").replace("{options}", "\x03"), "none", "''"
 ).replace("\x02", "' || predicted_raw || '").replace(
     "\x03",
-    "' || 'a) ' || w[1] || chr(10) || 'b) ' || w[2] || chr(10) || 'c) ' || w[3] || chr(10) || 'd) ' || w[4] || '",
+    "' || coalesce(array_to_string(opts, chr(10)), '') || '",
 )
 SQL["judge_requests"] = f"""WITH {PREDICTIONS}
 SELECT run, exam_name, id, {q(wording.JUDGE_MODEL)} AS model, {q(wording.JUDGE_SYSTEM)} AS system, {JUDGE} AS "user" FROM matched"""

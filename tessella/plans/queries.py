@@ -343,20 +343,20 @@ def teacher_summary(spark, sf):
 
 @query
 def prompt_completion(spark, sf):
-    made = C.to_prompt_completion(V.item_pairs(spark, sf).select("id", "prompt", "target"))
+    made = C.to_prompt_completion(V.chat_pairs(spark, sf))
     return made.select("id", _json("prompt").alias("prompt"), _json("completion").alias("completion"))
 
 
 @query
 def messages(spark, sf):
-    made = C.to_messages(V.item_pairs(spark, sf).select("id", "prompt", "target"))
+    made = C.to_messages(V.chat_pairs(spark, sf))
     return made.select("id", _json("messages").alias("messages"))
 
 
 @query
 def format_dispatch(spark, sf):
     """A table with messages stays, one with prompt and target is turned into prompt/completion."""
-    pairs = V.item_pairs(spark, sf).select("id", "prompt", "target")
+    pairs = V.chat_pairs(spark, sf)
     kept = C.format_for_training(C.format_for_training(pairs, local=True))
     made = C.format_for_training(pairs)
     return kept.select("id", F.lit("messages").alias("shape"), _json("messages").alias("content")).unionByName(

@@ -16,7 +16,6 @@ from tessella.operators.paragraphs import explode_sentences, segment
 
 GREEK_TAIL = " λόγος τοῦ θεοῦ et ἀρχή."
 CHUNK_DOCUMENTS = 512
-LINES_PER_DOCUMENT = 1 << 24
 SWEEP_ROOT = "results"
 
 
@@ -36,8 +35,7 @@ def _lines(docs: DataFrame, extension: str, values: Column) -> DataFrame:
         "doc_id",
         F.posexplode("_values").alias("piece", "value"),
     )
-    pos = F.col("doc_id") * LINES_PER_DOCUMENT + F.col("piece")
-    return split.select("file", "chunk", pos.alias("pos"), "value")
+    return split.select("file", "chunk", F.struct("doc_id", "piece").alias("pos"), "value")
 
 
 def corpus_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,32 +173,43 @@ def tool_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def item_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """A user turn and the assistant turn right after it as prompt and target. The join key is
-    unique on both sides, so a long conversation is no hot key."""
+    """Every user turn as a prompt, with the assistant turn right after it as target; null if there
+    is none. The join key is unique on both sides, so a long conversation is no hot key."""
     turns = conversations(spark, folder)
     asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
     answered = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target")
     )
     names = F.array(*[F.lit(n) for n in TASK_CYCLE])
-    key = F.col("conv_id") * 100 + F.col("turn")
-    return asked.join(answered.hint("merge"), ["conv_id", "turn"]).select(
-        key.alias("id"), "conv_id", F.get(names, (key % len(TASK_CYCLE)).cast("int")).alias("task"), "prompt", "target"
+    n = F.col("conv_id") * 100 + F.col("turn")
+    return asked.join(answered.hint("merge"), ["conv_id", "turn"], "left").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"),
+        "conv_id",
+        "turn",
+        n.alias("n"),
+        F.get(names, (n % len(TASK_CYCLE)).cast("int")).alias("task"),
+        "prompt",
+        "target",
     )
 
 
+def chat_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """All prompts with their answers; a prompt without one has an empty answer."""
+    return item_pairs(spark, folder).select("id", "prompt", F.coalesce("target", F.lit("")).alias("target"))
+
+
 TASK_CYCLE = ("translate_idiomatic", "morphosyntax", "transform", "contrast_judge", "translate", "main_clause")
 
 
 def item_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Items as JSON lines, damaged in five ways by id."""
-    kind = F.col("id") % 23
+    """Items as JSON lines, damaged in five ways by number; unanswered prompts lack a target."""
+    kind = F.col("n") % 23
     whole = F.struct(F.concat(F.lit("i"), "id").alias("id"), "task", "prompt", "target")
     value = (
         F.when(kind == 0, "   ")
         .when(kind == 1, F.to_json(F.struct("id", "task", "prompt")))
         .when(kind == 2, F.concat(F.lit('{"task": "'), "task", F.lit('", "prompt": null, "target": "t"}')))
-        .when(kind == 3, F.to_json(F.struct("task", F.col("id").alias("prompt"), "target")))
+        .when(kind == 3, F.to_json(F.struct("task", F.col("n").alias("prompt"), "target")))
         .when(kind == 4, F.to_json(F.struct("id", "task", "prompt", F.lit("   ").alias("target"))))
         .when(kind == 5, F.concat(F.lit('{"id": 1, "prompt": "'), "task"))
         .otherwise(F.to_json(whole))
@@ -208,7 +217,7 @@ def item_lines(spark: SparkSession, folder: str) -> DataFrame:
     return item_pairs(spark, folder).select(
         F.lit("items.jsonl").alias("file"),
         F.floor(F.col("conv_id") / CHUNK_DOCUMENTS).cast("long").alias("chunk"),
-        F.col("id").alias("pos"),
+        F.struct("conv_id", "turn").alias("pos"),
         value.alias("value"),
     )
 
@@ -219,16 +228,17 @@ def split_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exam(spark: SparkSession, folder: str) -> DataFrame:
-    """Two exams: every document and every benchmark passage of at least four words, as a question
-    on the whole text."""
+    """Two exams: every document and every benchmark passage as a question on the whole text. Its first
+    words are the options, four unless the text is shorter."""
     docs = documents(spark, folder).select(
         F.lit("corpus").alias("exam_name"), F.concat(F.lit("d"), "doc_id").alias("id"), F.col("doc_id").alias("n"), "text"
     )
     items = table(spark, folder, "benchmark").select(
         F.lit("items").alias("exam_name"), F.concat(F.lit("b"), "item_id").alias("id"), F.col("item_id").alias("n"), "text"
     )
-    both = compute_once(docs.unionByName(items), "w", words(F.col("text"))).filter(F.size("w") >= 4)
-    options = F.map_from_arrays(F.array(*[F.lit(x) for x in "abcd"]), F.slice("w", 1, 4))
+    texts = docs.unionByName(items).withColumn("text", F.coalesce("text", F.lit("")))
+    both = compute_once(texts, "w", F.slice(words(F.col("text")), 1, 4))
+    options = F.map_from_arrays(F.slice(F.array(*[F.lit(x) for x in "abcd"]), F.lit(1), F.size("w")), F.col("w"))
     return both.select(
         "exam_name",
         "id",

@@ -22,7 +22,7 @@ NUMBERED = ["pre", "1. a", " b", "", "2.", "3.14 x", "1.c"]
 @pytest.mark.parametrize("chunk", [1, 2, 3, 100])
 def test_numbered_paragraphs(spark, chunk):
     found = P.numbered_paragraphs(line_table(spark, NUMBERED, chunk=chunk)).orderBy("ordinal").collect()
-    assert [(r.label, r.text) for r in found] == [(1, "a\n b"), (3, "14 x"), (1, "c")]
+    assert [(r.label, r.text) for r in found] == [("1", "a\n b"), ("3", "14 x"), ("1", "c")]
     assert [r.id for r in found] == ["rec0001", "rec0003", "rec0001"]
 
 
@@ -63,7 +63,7 @@ def by_hand(texts):
             if label is not None and "\n".join(body).strip():
                 out.append((label, "\n".join(body).strip()))
             if m:
-                label, body = int(m[1]), [m[2]]
+                label, body = str(int(m[1])), [m[2]]
         elif label is not None:
             body.append(t)
     return out

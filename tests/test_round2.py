@@ -125,3 +125,34 @@ def test_explicit_null_id_stays(spark):
     lines = ['{"id":null,"text":"x"}', '{"text":"y"}', '{"id":"k","text":"z"}']
     frame = spark.createDataFrame([("f", i, line) for i, line in enumerate(lines, 1)], "file string, line_no bigint, value string")
     assert [r.id for r in corpus.json_records(frame).orderBy("ordinal").collect()] == [None, "rec0002", "k"]
+
+
+def test_labels_of_any_script_and_length(spark):
+    from tessella.operators.paragraphs import numbered_paragraphs
+
+    rows = [("\u0663. a", "3"), ("99999999999999999999. b", "9" * 20), ("007. c", "7"), ("\U0001d7d8\U0001d7d9. d", "1"), ("000. e", "0")]
+    frame = spark.createDataFrame([("f", 0, i, line) for i, (line, _) in enumerate(rows)], "file string, chunk long, pos long, value string")
+    found = numbered_paragraphs(frame).orderBy("ordinal").collect()
+    assert [(r.label, r.id) for r in found] == [(n, "rec" + n.zfill(4)) for _, n in rows]
+
+
+def test_short_and_empty_texts_are_questions(spark, tmp_path):
+    from tessella.plans import views
+
+    spark.createDataFrame([(1, "one"), (2, ""), (3, None), (4, "a b c d e")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.id: r.user for r in exams.exam_prompts(views.exam(spark, str(tmp_path))).collect()}
+    assert found["d1"] == "\nQuestion: one\na) one\nAnswer:"
+    assert found["d2"] == found["d3"] == "\nQuestion: \nAnswer:"
+    assert found["b1"] == "\nQuestion: x y\na) x\nb) y\nAnswer:"
+    assert "d) d\nAnswer" in found["d4"] and len(found) == 5
+
+
+def test_long_conversations_keep_their_turns_apart(spark, tmp_path):
+    from tessella.plans import views
+
+    turns = [(1, t, "user" if t % 2 else "assistant", f"1.{t}") for t in range(150)] + [(2, 1, "user", "2.1"), (2, 3, "user", "2.3")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.id: (r.prompt, r.target) for r in views.item_pairs(spark, str(tmp_path)).collect()}
+    assert len(found) == 77 and found["1-101"] == ("1.101", "1.102") and found["1-149"] == ("1.149", None)
+    assert found["2-1"] == ("2.1", None) and found["2-3"] == ("2.3", None)
