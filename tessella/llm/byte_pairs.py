@@ -34,7 +34,7 @@ from .token_counts import byte_symbols
 
 LEAF = 2_048  # symbols that are encoded at once
 BLOCK = 65_536  # code points of a text that are one row
-MAX_PIECES = 400_000
+MAX_PIECES = 200_000
 # The split pattern of this byte-level vocabulary (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

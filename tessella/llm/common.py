@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 # Words and shingles use ASCII white space: tab, line feed, vertical tab, form feed, return, space.
 WORD = r"[^\x20\x09-\x0D]+"
+STEP = 1_000  # rows of an Arrow batch whose texts are Python strings at one time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,14 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, so that an idle worker does not keep what its last task took."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow whose tasks can import this package, wherever the driver found it."""
     context = df.sparkSession.sparkContext
@@ -50,7 +60,12 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
             for file in sorted(package.rglob("*.py")):
                 archive.write(file, file.relative_to(package.parent))
         context.addPyFile(str(target))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def map_texts(df: DataFrame, text: str, make: Callable[[], Callable], fields: str, keep: list[str] | None = None) -> DataFrame:
@@ -59,7 +74,7 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable], fields: st
     ``make`` runs once per task and returns that function, so models are loaded where they are
     used. Texts arrive as they are, None included. Only ``keep`` (default: all but the text) and
     the new columns come back. A batch holds at most spark.sql.execution.arrow.maxRecordsPerBatch
-    rows; functions that blow texts up work through a batch in smaller steps.
+    rows; the function gets ``STEP`` of them at a time.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), fields])
@@ -68,8 +83,9 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable], fields: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            if batch.num_rows:
-                new = compute(batch.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new.values()], [*keep, *new])
+            for first in range(0, batch.num_rows, STEP):
+                part = batch.slice(first, STEP)
+                new = compute(part.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new.values()], [*keep, *new])
 
     return arrow_map(narrow, run, schema)
