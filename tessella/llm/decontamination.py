@@ -227,10 +227,13 @@ def _regions(places: list[int], reach: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in regions]
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, block: int = ITEMS) -> DataFrame:
+def contaminated(
+    df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, block: int = ITEMS, into: tuple[str, str] = ("item_ids", "similarity")
+) -> DataFrame:
     """The columns ``keep`` (default: all) with item_ids (ascending) and similarity (of the closest item).
 
-    ``benchmark``: item_id, text. Texts without a match have no item ids and similarity 0.
+    ``benchmark``: item_id, text. Texts without a match have no item ids and similarity 0. ``into``
+    names the two columns.
     """
     items = benchmark.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     blocks = max(1, math.ceil(items.count() / block))
@@ -253,12 +256,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", keep:
             return compute
 
         last = number == blocks - 1
-        copy = free_name(df, "text_copy")
         wanted = list(dict.fromkeys([*keep, *names[:-1]] if last else [*df.columns]))
-        df = map_texts(df.withColumn(copy, F.col(text)), copy, make, f"`{name}` array<struct<id:bigint,similarity:double>>", wanted)
+        df = map_texts(df, text, make, f"`{name}` array<struct<id:bigint,similarity:double>>", wanted)
     every = F.flatten(F.array(*names))
     return df.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.array_sort(F.array_distinct(F.transform(every, lambda x: x["id"]))).alias("item_ids"),
-        F.coalesce(F.array_max(F.transform(every, lambda x: x["similarity"])), F.lit(0.0)).alias("similarity"),
+        F.array_sort(F.array_distinct(F.transform(every, lambda x: x["id"]))).alias(into[0]),
+        F.coalesce(F.array_max(F.transform(every, lambda x: x["similarity"])), F.lit(0.0)).alias(into[1]),
     )

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut_lineage
-from .common import arrow_map, map_texts
+from .common import arrow_map, free_name, map_texts
 from .components import components
 
 SHINGLE = 4
@@ -82,6 +82,10 @@ def with_fingerprints(df: DataFrame, text: str = "text", size: int = SHINGLE, in
     return map_texts(df, text, make, f"`{into}` bigint", keep)
 
 
+def row_hash(key: str, text: str) -> Column:
+    return F.xxhash64(key, text)
+
+
 def hex_digits(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
@@ -166,15 +170,26 @@ def links(prints: DataFrame, radius: int = RADIUS, small: int = SMALL, tile: int
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, small: int = SMALL, tile: int = TILE) -> DataFrame:
-    """(key, simhash, component): the smallest key that links reach, itself included.
+    """(key, row, simhash, component, root): the smallest key that links reach, itself included.
 
     Rows of one fingerprint are one node, so copies never make pairs. Null keys stay rows; they only
-    name a component that has no other key.
+    name a component that has no other key. ``root``, the component's smallest fingerprint, tells such
+    components apart; ``row`` (see ``row_hash``) tells rows of one key apart.
     """
-    prints = cut_lineage(with_fingerprints(df.select(key, text), text, size))
+    prints = cut_lineage(with_fingerprints(df.select(key, text, row_hash(key, text).alias("row")), text, size))
     nodes = prints.groupBy(F.col("simhash").alias("fp")).agg(F.min(key).alias("least"))
     roots = cut_lineage(components(links(nodes, radius, small, tile)))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    of_print = grouped.join(named, "root").select(F.col("fp").alias("simhash"), "component")
-    return prints.join(of_print, "simhash").select(key, "simhash", "component")
+    of_print = grouped.join(named, "root").select(F.col("fp").alias("simhash"), "component", "root")
+    return prints.join(of_print, "simhash").select(key, "row", "simhash", "component", "root")
+
+
+def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each component the row with the smallest key; equal rows, and other rows of that key, go too."""
+    groups = near_duplicates(df, key, text).filter(F.col(key).eqNullSafe(F.col("component")))
+    first = cut_lineage(groups.groupBy("root").agg(F.min("row").alias("first_row"), F.first("component").alias("first_key")))
+    row = free_name(df, "row")
+    hashed = df.withColumn(row, row_hash(key, text))
+    kept = hashed.join(first, F.col(f"`{key}`").eqNullSafe(F.col("first_key")) & (F.col(row) == F.col("first_row")), "left_semi")
+    return kept.dropDuplicates([key, row]).drop(row)

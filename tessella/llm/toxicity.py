@@ -240,8 +240,13 @@ def _spans(text: str, found: np.ndarray) -> list[dict]:
     return spans
 
 
-def score(df: DataFrame, field: Field | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """score, predicted (1 from REJECT on) and spans of each whole text, beside the columns ``keep``."""
+def score(
+    df: DataFrame, field: Field | None, text: str = "text", keep: list[str] | None = None, into: tuple[str, str, str] = ("score", "predicted", "spans")
+) -> DataFrame:
+    """score, predicted (1 from REJECT on) and spans of each whole text, beside the columns ``keep``.
+
+    ``into`` names the three columns.
+    """
     shared = df.sparkSession.sparkContext.broadcast(field)  # 2^BITS weights
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -260,8 +265,8 @@ def score(df: DataFrame, field: Field | None, text: str = "text", keep: list[str
                 found = model.marginals([np.array(list(map(emissions.__getitem__, TOKEN.findall(t))), np.float64) for t in part])
                 scores += [model.score(f) for f in found]
                 spans += [_spans(t, f) for t, f in zip(part, found)]
-            return {"score": pa.array(scores, pa.float64()), "predicted": pa.array([int(s >= REJECT) for s in scores], pa.int32()), "spans": pa.array(spans, pairs)}
+            return dict(zip(into, (pa.array(scores, pa.float64()), pa.array([int(s >= REJECT) for s in scores], pa.int32()), pa.array(spans, pairs))))
 
         return compute
 
-    return map_texts(df, text, make, "score double, predicted int, spans array<struct<start:bigint,end:bigint>>", keep)
+    return map_texts(df, text, make, f"`{into[0]}` double, `{into[1]}` int, `{into[2]}` array<struct<start:bigint,end:bigint>>", keep)
