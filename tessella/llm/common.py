@@ -73,19 +73,21 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable], fields: st
 
     ``make`` runs once per task and returns that function, so models are loaded where they are
     used. Texts arrive as they are, None included. Only ``keep`` (default: all but the text) and
-    the new columns come back. A batch holds at most spark.sql.execution.arrow.maxRecordsPerBatch
-    rows; the function gets ``STEP`` of them at a time.
+    the new columns come back; a text that is kept is sent to the worker once. A batch holds at most
+    spark.sql.execution.arrow.maxRecordsPerBatch rows; the function gets ``STEP`` of them at a time.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), fields])
-    narrow = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("\x01text"))
+    kept = text in keep
+    at = keep.index(text) if kept else len(keep)
+    narrow = df.select(*[F.col(f"`{c}`") for c in keep], *([] if kept else [F.col(f"`{text}`").alias("\x01text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
             for first in range(0, batch.num_rows, STEP):
                 part = batch.slice(first, STEP)
-                new = compute(part.column(len(keep)).to_pylist())
+                new = compute(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new.values()], [*keep, *new])
 
     return arrow_map(narrow, run, schema)

@@ -34,6 +34,7 @@ MIN_DOCS, MIN_RATIO = 5, 4.0
 REJECT = 0.7
 BITS = 18
 PIECE, CONTEXT = 256, 64
+ROWS = 1_024  # pieces whose messages run at the same time
 MAX_WORDS = 150_000
 TOKEN = re.compile(r"[^\W_]+")
 ROUNDS, BATCH, RATE, DECAY = 4, 256, 0.2, 1e-4
@@ -86,8 +87,8 @@ class Field:
         """For each list of emission scores, the probability of the toxic label at every token."""
         spans = [(i, at) for i, scores in enumerate(lists) for at in range(0, len(scores), PIECE)]
         out = [np.zeros(len(scores), np.float32) for scores in lists]
-        for first in range(0, len(spans), 2_048):
-            part = spans[first : first + 2_048]
+        for first in range(0, len(spans), ROWS):
+            part = spans[first : first + ROWS]
             width = PIECE + 2 * CONTEXT
             scores, real = np.zeros((len(part), width)), np.zeros((len(part), width), bool)
             for row, (i, at) in enumerate(part):
