@@ -188,8 +188,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component the row with the smallest key; equal rows, and other rows of that key, go too."""
     groups = near_duplicates(df, key, text).filter(F.col(key).eqNullSafe(F.col("component")))
-    first = cut_lineage(groups.groupBy("root").agg(F.min("row").alias("first_row"), F.first("component").alias("first_key")))
-    row = free_name(df, "row")
+    row, first_row, first_key = (free_name(df, name) for name in ("row", "first_row", "first_key"))
+    first = cut_lineage(groups.groupBy("root").agg(F.min("row").alias(first_row), F.first("component").alias(first_key))).drop("root")
     hashed = df.withColumn(row, row_hash(key, text))
-    kept = hashed.join(first, F.col(f"`{key}`").eqNullSafe(F.col("first_key")) & (F.col(row) == F.col("first_row")), "left_semi")
+    kept = hashed.join(first, F.col(f"`{key}`").eqNullSafe(F.col(first_key)) & (F.col(row) == F.col(first_row)), "left_semi")
     return kept.dropDuplicates([key, row]).drop(row)
