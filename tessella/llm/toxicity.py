@@ -5,7 +5,7 @@ texts of at most ``MAX_CHARS`` code points. Their labels mark documents; tokens
 token of a toxic document is toxic if one of its features (the word, its first 3 to 7 letters) is found
 in at least ``MIN_DOCS`` toxic documents and at least ``MIN_RATIO`` times as often as in clean ones. The
 field (two labels, weights of hashed features, transitions) is fitted to these token labels; a logistic
-curve over the expected number of toxic tokens and the text's length then gives the document's score,
+curve over the sum of squared marginals and the text's length then gives the document's score,
 at the rate of toxic rows among all labelled ones.
 
 Scoring reads the whole text. Forward and backward messages run over pieces of ``PIECE`` tokens with
@@ -38,6 +38,7 @@ ROWS = 1_024  # pieces whose messages run at the same time
 MAX_WORDS = 150_000
 TOKEN = re.compile(r"[^\W_]+")
 ROUNDS, BATCH, RATE, DECAY = 4, 256, 0.2, 1e-4
+STEPS = 100  # batches at least, so that a field of few rows is fitted too
 
 
 def features(word: str) -> list[int]:
@@ -106,7 +107,7 @@ class Field:
 
     def inputs(self, found: np.ndarray) -> np.ndarray:
         """What the document curve sees of a text's marginals."""
-        total = float(found.sum())
+        total = float(np.square(found).sum())  # so a long text's many small marginals weigh little
         seen = np.log1p(10 * total)
         return np.array([1.0, seen, total / np.sqrt(len(found) + 1.0), seen * np.log1p(len(found))])
 
@@ -141,9 +142,15 @@ def fit(texts: list[str], toxic: np.ndarray, rate: float) -> Field:
     for i, (w, y) in enumerate(rows):
         words[i, : len(w)], labels[i, : len(w)] = w, y
     field = Field()
+    # Transitions begin at the rates of the token labels, so that a word never seen is as likely toxic as they say.
+    inside = words < len(word_features)
+    pair = inside[:, :-1] & inside[:, 1:]
+    moved = np.array([[((labels[:, :-1] == i) & (labels[:, 1:] == j) & pair).sum() + 1.0 for j in (0, 1)] for i in (0, 1)])
+    field.moves = np.log(moved / moved.sum(axis=1, keepdims=True))
+    field.start = float(np.log((labels[:, 0].sum() + 1.0) / ((inside[:, 0] & ~labels[:, 0]).sum() + 1.0)))
     squares, move_squares, start_square = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6), 1e-6
     order = np.random.default_rng(0)
-    for _ in range(ROUNDS):
+    for _ in range(max(ROUNDS, STEPS // max(1, -(-len(rows) // BATCH)))):
         turn = order.permutation(len(rows))
         for first in range(0, len(turn), BATCH):
             at = turn[first : first + BATCH]
