@@ -23,6 +23,7 @@ word have fingerprint zero and are linked like any other. Rows may repeat.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -185,9 +186,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     return prints.join(of_print, "simhash").select(key, "row", "simhash", "component", "root")
 
 
-def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component the row with the smallest key; equal rows, and other rows of that key, go too."""
-    groups = near_duplicates(df, key, text).filter(F.col(key).eqNullSafe(F.col("component")))
+def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", group: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """Of each component of ``group`` the row with the smallest key; equal rows, and other rows of that key, go too."""
+    groups = group(df, key, text).filter(F.col(key).eqNullSafe(F.col("component")))
     row, first_row, first_key = (free_name(df, name) for name in ("row", "first_row", "first_key"))
     first = cut_lineage(groups.groupBy("root").agg(F.min("row").alias(first_row), F.first("component").alias(first_key))).drop("root")
     hashed = df.withColumn(row, row_hash(key, text))
