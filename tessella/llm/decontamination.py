@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, candidates by Hamming blocks, exact check.
 
-A benchmark item of n words is compared with the windows of n words of every document. Words are lower
-case, separated by white space and ASCII punctuation; shingles are five words. Similarity is the
-weighted Jaccard similarity of the shingles: sum of smaller counts over sum of larger counts; a
-document is contaminated by an item if a window reaches ``SIMILARITY``.
+A benchmark item of n words is compared with the windows of n words of every document, and with the
+whole document if that is shorter. Words are lower case, separated by white space and ASCII
+punctuation; shingles are five words. Similarity is the weighted Jaccard similarity of the shingles: sum
+of smaller counts over sum of larger counts; a document is contaminated by an item if a window reaches
+``SIMILARITY``.
 
 1. Every shingle of every text is hashed, and looked up among the items' shingles. A window without a
    common shingle has similarity 0, so only windows around common shingles go on; nothing else is
@@ -12,6 +13,8 @@ document is contaminated by an item if a window reaches ``SIMILARITY``.
    are items whose fingerprint is within ``RADIUS`` bits: the fingerprint is cut into RADIUS + 1 blocks,
    one of which must be equal, so looking all blocks up misses none.
 3. Candidates are verified by counting the shingles themselves, word by word.
+4. Items longer than the text need no fingerprints: those of whose shingles the text has a share of
+   ``SIMILARITY`` are verified against the whole text. With fewer, the similarity can't be reached.
 
 The benchmark is sent to the executors in blocks of at most ``ITEMS`` items; more items mean more passes
 over the texts. Items with equal words are one item, with the smallest id. Items of fewer than five
@@ -127,6 +130,8 @@ class Benchmark:
         self.items = [(item_id, list(words)) for words, item_id in sorted(by_words.items(), key=lambda x: x[1])]
         self.counts = [_counted(words) for _, words in self.items]
         parts = [shingles([b" ".join(words)], self.powers)[0] for _, words in self.items]
+        self.sizes = np.array([len(p) for p in parts], np.int64)  # shingles
+        self.longest = max((len(words) for _, words in self.items), default=0)
         self.prints = np.array([_prints(_running(p), len(p))[0] for p in parts], np.uint64)
         owners = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         hashes = np.concatenate([np.zeros(0, np.uint64), *parts])
@@ -162,6 +167,17 @@ class Benchmark:
                     pairs.update((int(w), i) for w in windows[np.bitwise_count(prints[windows] ^ self.prints[i]) <= RADIUS])
         return pairs
 
+    def longer(self, words: int, hashes: np.ndarray) -> list[int]:
+        """Items of more than ``words`` words that a text with the shingles ``hashes`` can be similar to."""
+        if words >= self.longest:
+            return []
+        hashes = np.unique(hashes)
+        low = np.searchsorted(self.hashes, hashes)
+        high = np.searchsorted(self.hashes, hashes, "right")
+        owners, common = np.unique(np.concatenate([self.owners[a:b] for a, b in zip(low, high)]), return_counts=True)
+        sizes = self.sizes[owners]
+        return owners[(sizes > words - SHINGLE + 1) & (common >= SIMILARITY * sizes - 1e-6)].tolist()
+
     def matches(self, text: bytes, hashes: np.ndarray, hits: np.ndarray) -> dict[int, float]:
         """Item id -> highest similarity, for a text whose shingles at ``hits`` are some item's."""
         words = text.split()
@@ -172,8 +188,13 @@ class Benchmark:
         for place, a, b in zip(hits.tolist(), low, high):
             for size in {len(self.items[i][1]) for i in self.owners[a:b]}:
                 near[size].append(place)
+        for item in self.longer(len(words), hashes[hits]):
+            value = similarity(_counted(words), self.counts[item])
+            if value >= SIMILARITY:
+                item_id = self.items[item][0]
+                best[item_id] = max(value, best.get(item_id, 0.0))
         for size, places in near.items():
-            if size > len(words):
+            if size > len(words):  # compared above
                 continue
             length = size - SHINGLE + 1
             for first, last in _regions(places, length):
