@@ -54,4 +54,90 @@ SELECT d.doc_id, c.text, coalesce(c.n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN cut c USING (doc_id)
 """
 
-SQL = {"op1_line_chunks": _LINES, "op4_reply_trees": _CHAT}
+_SEARCH = r"""
+WITH low AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE text IS NOT NULL
+),
+docs AS (SELECT row_number() OVER () AS doc, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM low WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+),
+words AS (SELECT doc, doc_id, n, unnest(terms) AS term FROM docs),
+counted AS (SELECT doc, doc_id, n, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+held AS (SELECT term, count(*) AS df FROM counted GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM held, totals),
+parts AS (
+    SELECT doc, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS part
+    FROM counted JOIN weights USING (term), totals
+),
+scored AS (
+    SELECT item_id, doc, any_value(doc_id) AS doc_id, CAST(sum(part) AS BIGINT) AS score
+    FROM asked JOIN parts USING (term) GROUP BY item_id, doc
+),
+ranked AS (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+    FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+_AUDIT = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+worded AS (
+    SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM texts
+),
+judged AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+    FROM labels GROUP BY doc_id
+),
+flags AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, {
+        'A': len(words) < 200,
+        'B': 100 * list_unique(words) < 50 * len(words),
+        'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t),
+        'D': regexp_matches(t, '[#$%&*|]'),
+        'E': coalesce(worded.doc_id > first_id, false)} AS f
+    FROM worded LEFT JOIN judged ON worded.doc_id = judged.doc_id
+),
+fails AS (
+    SELECT part, good, bad, CASE WHEN f.A THEN 'A' ELSE '' END || CASE WHEN f.B THEN 'B' ELSE '' END || CASE WHEN f.C THEN 'C' ELSE '' END
+           || CASE WHEN f.D THEN 'D' ELSE '' END || CASE WHEN f.E THEN 'E' ELSE '' END AS failed
+    FROM flags
+),
+sets AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM fails GROUP BY part, failed),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+lists AS (
+    SELECT a.c || b.c || d.c || e.c || f.c AS filter_order FROM letters a, letters b, letters d, letters e, letters f
+    WHERE list_unique([a.c, b.c, d.c, e.c, f.c]) = 5
+),
+steps AS (
+    SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, CAST(step AS INTEGER), 1) AS mine,
+           substr(filter_order, 1, CAST(step AS INTEGER) - 1) AS earlier
+    FROM lists, range(1, 6) r(step)
+),
+placed AS (
+    SELECT part, filter_order, step, mine, n, good, bad, failed, contains(failed, mine) AS fails_mine,
+           len(list_intersect(string_split(failed, ''), string_split(earlier, ''))) > 0 AND failed != '' AND earlier != '' AS gone
+    FROM sets, steps
+),
+summed AS (
+    SELECT part, filter_order, step, mine,
+           CAST(sum(CASE WHEN NOT fails_mine AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept,
+           CAST(sum(CASE WHEN fails_mine AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+           CAST(sum(CASE WHEN fails_mine AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+           CAST(sum(CASE WHEN failed = mine THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+           CAST(sum(CASE WHEN fails_mine AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+           CAST(sum(CASE WHEN fails_mine AND NOT gone THEN bad ELSE 0 END) AS BIGINT) AS toxic_lost
+    FROM placed GROUP BY part, filter_order, step, mine
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, mine) AS BIGINT) AS shapley
+FROM summed
+"""
+
+SQL = {"op1_line_chunks": _LINES, "op4_reply_trees": _CHAT, "op11_term_scan": _SEARCH, "op13_filter_audit": _AUDIT}

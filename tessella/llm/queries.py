@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut_lineage, new_folder
-from . import byte_pairs, chat, decontamination, languages, line_chunks, quality, sharding, simhash, token_counts, toxicity
+from . import byte_pairs, chat, decontamination, filter_audit, languages, line_chunks, quality, sharding, simhash, term_scan, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -94,6 +94,14 @@ def op10_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.learn_and_identify(docs, held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_line_chunks": op1_line_chunks,
     "op2_pivot_simhash": op2_pivot_simhash,
@@ -105,4 +113,6 @@ QUERIES = {
     "op8_virtual_slots": op8_virtual_slots,
     "op9_toxic_spans": op9_toxic_spans,
     "op10_context_trees": op10_context_trees,
+    "op11_term_scan": op11_term_scan,
+    "op13_filter_audit": op13_filter_audit,
 }
