@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut_lineage, new_folder
-from . import byte_pairs, chat, decontamination, filter_audit, languages, line_chunks, quality, sharding, simhash, term_scan, token_counts, toxicity
+from . import byte_pairs, chat, decontamination, filter_audit, languages, line_chunks, passage_quality, quality, sharding, simhash, term_scan, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -98,6 +98,13 @@ def op11_term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = passage_quality.learn(docs, table(spark, sf_dir, "labels"), ~held)
+    return passage_quality.score(docs, model).withColumn("held_out", held)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -114,5 +121,6 @@ QUERIES = {
     "op9_toxic_spans": op9_toxic_spans,
     "op10_context_trees": op10_context_trees,
     "op11_term_scan": op11_term_scan,
+    "op12_passage_quality": op12_passage_quality,
     "op13_filter_audit": op13_filter_audit,
 }
