@@ -10,19 +10,29 @@ from pyspark.sql import functions as F
 from tessella.functions import wording
 from tessella.functions.columns import compute_once
 from tessella.functions.text import fill, strip
-
-SEGMENTATION_SCHEMA = (
-    "orthography_policy STRING, normalized_paragraph STRING, sentences ARRAY<STRING>, "
-    "foreign_spans ARRAY<STRUCT<lang: STRING, text: STRING>>"
-)
-PACK_SCHEMA = (
-    "translation STRUCT<literal_en: STRING, idiomatic_en: STRING>, "
-    "morphosyntax ARRAY<STRUCT<form: STRING, lemma: STRING, upos: STRING, feats: STRING, head: INT, deprel: STRING>>, "
-    "transforms ARRAY<STRUCT<type: STRING, source_latin: STRING, target_latin: STRING>>, "
-    "main_clause STRUCT<clause: STRING>, "
-    "complement_info STRUCT<has_complements: BOOLEAN, complements: ARRAY<STRING>>"
-)
-CORRUPT = "_corrupt_record"
+from tessella.functions.validate import FLAG, TEXT, WHOLE, Field, ListOf, Record, first_fault, parse_body, typed_value
+
+SEGMENTATION = Record((
+    Field("orthography_policy", TEXT),
+    Field("normalized_paragraph", TEXT),
+    Field("sentences", ListOf(TEXT)),
+    Field("foreign_spans", ListOf(Record((Field("lang", TEXT), Field("text", TEXT)))), absent=True),
+))
+TOKEN = Record((
+    Field("form", TEXT),
+    Field("lemma", TEXT),
+    Field("upos", TEXT),
+    Field("feats", TEXT, absent=True, null=True),
+    Field("head", WHOLE),
+    Field("deprel", TEXT),
+))
+PACK = Record((
+    Field("translation", Record((Field("literal_en", TEXT), Field("idiomatic_en", TEXT)))),
+    Field("morphosyntax", ListOf(TOKEN)),
+    Field("transforms", ListOf(Record((Field("type", TEXT), Field("source_latin", TEXT), Field("target_latin", TEXT))))),
+    Field("main_clause", Record((Field("clause", TEXT),))),
+    Field("complement_info", Record((Field("has_complements", FLAG), Field("complements", ListOf(TEXT), absent=True)))),
+))
 
 # Task names of the items.
 TASKS = ("translate", "morphosyntax", "transform", "main_clause", "complement_identification")
@@ -47,54 +57,35 @@ def teacher_requests(sentences: DataFrame, model: str = wording.TEACHER_MODEL) -
     )
 
 
-def _all(items: Column, test) -> Column:
-    return F.coalesce(F.forall(items, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
-
-
-def _present(item: Column, *names: str) -> Column:
-    checks = [item[n].isNotNull() for n in names]
-    out = checks[0]
-    for check in checks[1:]:
-        out = out & check
-    return out
-
-
-def with_pack(df: DataFrame, schema: str) -> DataFrame:
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = F.from_json("body", f"{schema}, {CORRUPT} STRING", options)
-    return compute_once(df, "pack", parsed)
+def judge_bodies(df: DataFrame, kind: Record) -> DataFrame:
+    """Adds ``pack``, the body as its description has it, and ``fault`` (path, reason), null if there is none."""
+    parsed = compute_once(df, "_value", parse_body(F.col("body")))
+    typed = compute_once(parsed, "pack", typed_value(F.col("_value"), kind))
+    bare = lambda reason: F.struct(F.lit(None).cast("string").alias("path"), F.lit(reason).alias("reason"))
+    fault = (
+        F.when(F.col("body").isNull(), bare("no response"))
+        .when(F.col("_value").isNull(), bare("not one JSON value"))
+        .otherwise(first_fault(F.col("_value"), F.col("pack"), kind))
+    )
+    return compute_once(typed, "fault", fault).drop("_value", "body")
 
 
-def _parsed(requests: DataFrame, responses: DataFrame, keys: Sequence[str], schema: str) -> DataFrame:
+def _judged(requests: DataFrame, responses: DataFrame, keys: Sequence[str], kind: Record) -> tuple[DataFrame, DataFrame]:
     # Both sides grow with the corpus. Without the hint a small-looking estimate for the response
     # side (it is unnested text) could make the optimizer broadcast all bodies.
-    return with_pack(requests.join(responses.hint("merge"), list(keys), "left"), schema)
-
-
-def _split_valid(parsed: DataFrame, keys: Sequence[str], valid: Column) -> tuple[DataFrame, DataFrame]:
-    reason = (
-        F.when(F.col("body").isNull(), "no response")
-        .when(F.col("pack").isNull() | F.col(f"pack.{CORRUPT}").isNotNull(), "not valid JSON for the schema")
-        .when(~F.coalesce(valid, F.lit(False)), "required field missing")
-    )
-    judged = parsed.withColumn("reason", reason)
-    good = judged.filter(F.col("reason").isNull()).drop("reason", "body")
-    return good, judged.filter(F.col("reason").isNotNull()).select(*keys, "reason")
+    judged = judge_bodies(requests.join(responses.hint("merge"), list(keys), "left"), kind)
+    good = judged.filter(F.col("fault").isNull()).drop("fault")
+    return good, judged.filter(F.col("fault").isNotNull()).select(*keys, "fault.path", "fault.reason")
 
 
 def parse_segmentations(requests: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid segments and rejects. ``requests`` needs id, paragraph_index; ``responses`` a body.
 
-    A rejected paragraph is left out; its index stays used. ``foreign_spans`` may be missing.
+    A rejected paragraph is left out; its index stays used. ``foreign_spans`` may be missing, but not null.
+    Rejects have the path of the first fault (null if there is no JSON value) and the reason.
     """
-    parsed = _parsed(requests, responses, ["paragraph_index"], SEGMENTATION_SCHEMA)
+    good, rejects = _judged(requests, responses, ["paragraph_index"], SEGMENTATION)
     spans = F.coalesce("pack.foreign_spans", F.array().cast("array<struct<lang:string,text:string>>"))
-    valid = (
-        _present(F.col("pack"), "orthography_policy", "normalized_paragraph", "sentences")
-        & _all(F.col("pack.sentences"), lambda s: s.isNotNull())
-        & _all(spans, lambda s: _present(s, "lang", "text"))
-    )
-    good, rejects = _split_valid(parsed, ["paragraph_index"], valid)
     segments = good.select(
         "id",
         "paragraph_index",
@@ -106,25 +97,9 @@ def parse_segmentations(requests: DataFrame, responses: DataFrame) -> tuple[Data
     return segments, rejects
 
 
-def pack_is_valid(pack: Column) -> Column:
-    return (
-        _present(pack["translation"], "literal_en", "idiomatic_en")
-        & _all(pack["morphosyntax"], lambda t: _present(t, "form", "lemma", "upos", "head", "deprel"))
-        & _all(pack["transforms"], lambda t: _present(t, "type", "source_latin", "target_latin"))
-        & pack["main_clause"]["clause"].isNotNull()
-        & pack["complement_info"]["has_complements"].isNotNull()
-        & _all(
-            F.coalesce(pack["complement_info"]["complements"], F.array().cast("array<string>")),
-            lambda c: c.isNotNull(),
-        )
-    )
-
-
 def parse_teacher_packs(requests: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid packs and rejects, one row per sentence; a bad response costs only its sentence."""
-    keys = ["paragraph_index", "sentence_index"]
-    parsed = _parsed(requests, responses, keys, PACK_SCHEMA)
-    return _split_valid(parsed, keys, pack_is_valid(F.col("pack")))
+    return _judged(requests, responses, ["paragraph_index", "sentence_index"], PACK)
 
 
 def morph_table(tokens: Column) -> Column:

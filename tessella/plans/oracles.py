@@ -233,31 +233,46 @@ SELECT paragraph_index, {q(wording.TEACHER_MODEL)} AS model, {q(wording.SEGMENT_
 SQL["teacher_requests"] = f"""WITH {SENTENCES}
 SELECT paragraph_index, sentence_index, {q(wording.TEACHER_MODEL)} AS model, {q(wording.TEACH_SYSTEM)} AS system,
   {template(wording.TEACH_USER, "sentence", "sentence")} AS "user" FROM sentences"""
-SQL["segmentations_parsed"] = f"""WITH {SEGMENTS}
-SELECT id, paragraph_index, normalized_paragraph, sentences,
-  CASE WHEN paragraph_index % 2 = 0 THEN foreign_spans ELSE '' END AS foreign_spans
-FROM segments WHERE paragraph_index % 17 <> 0 AND paragraph_index % 19 <> 1 AND paragraph_index % 23 <> 2"""
-
 
-def reject_reason(x: str) -> str:
-    return f"""CASE WHEN {x} % 17 = 0 THEN 'not valid JSON for the schema' WHEN {x} % 19 = 1 THEN 'no response'
-  WHEN {x} % 23 = 2 THEN 'required field missing' END"""
+def rejects(x: str, missing: str, faults: list[tuple[int, str, str]]) -> str:
+    """Path and reason of the first fault, in the order of the description."""
+    listed = [(f"{x} % 23 = 2", q(missing), "missing") if n == 23 else (f"{x} % 97 = {n}", path, reason) for n, path, reason in faults]
+    bare = f"""WHEN {x} % 17 = 0 THEN {{cut}} WHEN {x} % 19 = 1 THEN {{none}} WHEN {x} % 97 IN (5, 7) THEN {{cut}}"""
+    paths = " ".join(f"WHEN {test} THEN {path}" for test, path, _ in listed)
+    reasons = " ".join(f"WHEN {test} THEN {q(reason)}" for test, _, reason in listed)
+    return f"""CASE {bare.format(cut="NULL", none="NULL")} {paths} END AS path,
+  CASE {bare.format(cut="'not one JSON value'", none="'no response'")} {reasons} END AS reason"""
 
 
 DAMAGE = "(paragraph_index * 31 + sentence_index)"
+SEGMENT_FAULTS = [
+    (23, "", ""), (3, "'$.orthography_policy'", "an integer, not text"), (13, "'$.normalized_paragraph'", "an object, not text"),
+    (11, "'$.sentences[1]'", "a boolean, not text"), (9, "'$.foreign_spans'", "null, not a list"),
+]
+PACK_FAULTS = [
+    (3, "'$.translation.literal_en'", "an integer, not text"), (11, "'$.morphosyntax[0].head'", "text, not an integer"),
+    (12, "'$.morphosyntax[0].head'", "a number, not an integer"), (13, "'$.transforms[' || (1 + sentence_index % 4) || ']'", "null, not an object"),
+    (23, "", ""), (19, "'$.complement_info.has_complements'", "text, not a boolean"), (9, "'$.complement_info.complements'", "null, not a list"),
+]
 SQL["segmentations_rejects"] = f"""WITH {PARAGRAPHS}
-SELECT * FROM (SELECT paragraph_index, {reject_reason("paragraph_index")} AS reason FROM paragraphs) WHERE reason IS NOT NULL"""
+SELECT * FROM (SELECT paragraph_index, {rejects("paragraph_index", "$.orthography_policy", SEGMENT_FAULTS)} FROM paragraphs) WHERE reason IS NOT NULL"""
 SQL["teacher_packs_rejects"] = f"""WITH {SENTENCES}
-SELECT * FROM (SELECT paragraph_index, sentence_index, {reject_reason(DAMAGE)} AS reason FROM sentences) WHERE reason IS NOT NULL"""
+SELECT * FROM (SELECT paragraph_index, sentence_index, {rejects(DAMAGE, "$.main_clause", PACK_FAULTS)} FROM sentences) WHERE reason IS NOT NULL"""
+SOUND_SEGMENT = "paragraph_index % 17 <> 0 AND paragraph_index % 19 <> 1 AND paragraph_index % 23 <> 2 AND paragraph_index % 97 NOT IN (3, 5, 7, 9, 11, 13)"
+SOUND_PACK = f"{DAMAGE} % 17 <> 0 AND {DAMAGE} % 19 <> 1 AND {DAMAGE} % 23 <> 2 AND {DAMAGE} % 97 NOT IN (3, 5, 7, 9, 11, 12, 13, 19)"
+SQL["segmentations_parsed"] = f"""WITH {SEGMENTS}
+SELECT id, paragraph_index, normalized_paragraph, sentences,
+  CASE WHEN paragraph_index % 2 = 0 THEN foreign_spans ELSE '' END AS foreign_spans
+FROM segments WHERE {SOUND_SEGMENT}"""
 PACKS = f"""
 {SENTENCES},
 packs AS (
   SELECT paragraph_index AS p, sentence_index AS s, sentence, string_split({collapse("sentence")}, ' ') AS w
-  FROM sentences WHERE {DAMAGE} % 17 <> 0 AND {DAMAGE} % 19 <> 1 AND {DAMAGE} % 23 <> 2),
+  FROM sentences WHERE {SOUND_PACK}),
 shaped AS (
   SELECT *, CASE WHEN s % 3 = 0 THEN [] ELSE w[2:3] END AS comps,
     array_to_string([concat(w[i], chr(9), lower(w[i]), chr(9), CASE WHEN length(w[i]) > 5 THEN 'NOUN' ELSE 'X' END, chr(9),
-      CASE WHEN i % 2 = 1 THEN '_' ELSE 'Case=Nom' END, chr(9), CASE WHEN i = 1 THEN '0' ELSE '1' END, chr(9),
+      CASE WHEN i % 2 = 1 OR (p * 31 + s) % 97 = 17 THEN '_' ELSE 'Case=Nom' END, chr(9), CASE WHEN i = 1 THEN '0' ELSE '1' END, chr(9),
       CASE WHEN i = 1 THEN 'root' ELSE 'dep' END) for i in range(1, len(w) + 1)], chr(10)) AS morph
   FROM packs)
 """

@@ -85,20 +85,41 @@ def sentences(spark: SparkSession, folder: str) -> DataFrame:
     return explode_sentences(segments(spark, folder))
 
 
+def _json(value: Column) -> Column:
+    """One value as JSON text."""
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _object(*entries: tuple[str, Column]) -> Column:
+    """A JSON object of the fields whose JSON text is not null."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{name}":'), value) for name, value in entries]), F.lit("}"))
+
+
+def _damaged(number: Column, body: Column, cut: str) -> Column:
+    """Every 17th body is cut off, every 19th call has none, some have text behind them or single quotes."""
+    return (
+        F.when(number % 17 == 0, F.lit(cut))
+        .when(number % 19 == 1, F.lit(None).cast("string"))
+        .when(number % 97 == 5, F.concat(body, F.lit(" done")))
+        .when(number % 97 == 7, F.replace(body, F.lit('"'), F.lit("'")))
+        .otherwise(body)
+    )
+
+
 def segment_responses(spark: SparkSession, folder: str) -> DataFrame:
-    """Segmentations as response bodies: every 17th cut off, every 19th call without a body, every
-    23rd without its policy, every second without foreign spans."""
+    """Segmentations as response bodies, every second without foreign spans. Every 23rd lacks its policy;
+    others have values of a wrong type, a null list, or a field too many, besides ``_damaged``."""
     p = F.col("paragraph_index")
-    body = F.to_json(
-        F.struct(
-            F.when(p % 23 != 2, F.col("orthography_policy")).alias("orthography_policy"),
-            "normalized_paragraph",
-            "sentences",
-            F.when(p % 2 == 0, F.col("foreign_spans")).alias("foreign_spans"),
-        )
+    spans = F.when(p % 97 == 9, F.lit("null")).when(p % 2 == 0, _json(F.col("foreign_spans")))
+    body = _object(
+        ("orthography_policy", F.when(p % 23 != 2, F.when(p % 97 == 3, F.lit("5")).otherwise(_json(F.col("orthography_policy"))))),
+        ("normalized_paragraph", F.when(p % 97 == 13, F.lit('{"x":1}')).otherwise(_json(F.col("normalized_paragraph")))),
+        ("sentences", F.when(p % 97 == 11, F.lit('["one",true]')).otherwise(F.to_json("sentences"))),
+        ("foreign_spans", spans),
+        ("note", F.when(p % 97 == 15, F.lit('[{"by":null}]'))),
     )
-    body = F.when(p % 17 == 0, '{"orthography_policy":').when(p % 19 != 1, body)
-    return segments(spark, folder).select("paragraph_index", body.alias("body"))
+    return segments(spark, folder).select("paragraph_index", _damaged(p, body, '{"orthography_policy":').alias("body"))
 
 
 def damage() -> Column:
@@ -106,8 +127,8 @@ def damage() -> Column:
 
 
 def with_teacher_bodies(sents: DataFrame) -> DataFrame:
-    """A teacher response for every sentence, derived from all its words; some are cut off, some lack
-    a field, some calls gave no body."""
+    """A teacher response for every sentence, derived from all its words. Every 23rd lacks its main clause;
+    others have values of a wrong type, nulls, or a field too many, besides ``_damaged``."""
     s, text = F.col("sentence_index"), F.col("sentence")
 
     def token(w: Column, i: Column) -> Column:
@@ -128,21 +149,34 @@ def with_teacher_bodies(sents: DataFrame) -> DataFrame:
         )
 
     prepared = compute_once(sents, "w", words(text))
-    empty = F.array().cast("array<string>")
-    pack = F.struct(
-        F.struct(
-            F.concat(F.lit("LIT: "), text).alias("literal_en"),
-            F.concat(F.lit(" EN: "), text, F.lit(" ")).alias("idiomatic_en"),
-        ).alias("translation"),
-        F.transform("w", token).alias("morphosyntax"),
-        F.transform(F.sequence(F.lit(1).cast("long"), 1 + s % 4), rewrite).alias("transforms"),
-        F.when(damage() % 23 != 2, F.struct(F.concat(F.lit(" "), text, F.lit(" ")).alias("clause"))).alias("main_clause"),
-        F.struct(
-            (s % 2 == 0).alias("has_complements"),
-            F.when(s % 3 == 0, empty).otherwise(F.slice("w", 2, 2)).alias("complements"),
-        ).alias("complement_info"),
+    d = damage()
+    tokens = F.to_json(F.transform("w", token))
+    flag = F.when(s % 2 == 0, "true").otherwise("false")
+    translation = F.to_json(
+        F.struct(F.concat(F.lit("LIT: "), text).alias("literal_en"), F.concat(F.lit(" EN: "), text, F.lit(" ")).alias("idiomatic_en"))
+    )
+    rewrites = F.to_json(F.transform(F.sequence(F.lit(1).cast("long"), 1 + s % 4), rewrite))
+    body = _object(
+        ("translation", F.when(d % 97 == 3, F.lit('{"literal_en":7,"idiomatic_en":null}')).otherwise(translation)),
+        (
+            "morphosyntax",
+            F.when(d % 97 == 11, F.replace(tokens, F.lit('"head":0'), F.lit('"head":"0"')))
+            .when(d % 97 == 12, F.replace(tokens, F.lit('"head":0'), F.lit('"head":0.5')))
+            .when(d % 97 == 17, F.replace(tokens, F.lit('"feats":"Case=Nom"'), F.lit('"feats":null')))
+            .otherwise(tokens),
+        ),
+        ("transforms", F.when(d % 97 == 13, F.regexp_replace(rewrites, r"\]$", ",null]")).otherwise(rewrites)),
+        ("main_clause", F.when(d % 23 != 2, _object(("clause", _json(F.concat(F.lit(" "), text, F.lit(" "))))))),
+        (
+            "complement_info",
+            _object(
+                ("has_complements", F.when(d % 97 == 19, F.lit('"yes"')).otherwise(flag)),
+                ("complements", F.when(d % 97 == 9, F.lit("null")).when(s % 3 == 0, F.lit("[]")).otherwise(F.to_json(F.slice("w", 2, 2)))),
+            ),
+        ),
+        ("model", F.when(d % 97 == 15, F.lit('"teacher"'))),
     )
-    body = F.when(damage() % 17 == 0, '{"translation":').when(damage() % 19 != 1, F.to_json(pack))
+    body = _damaged(d, body, '{"translation":')
     return prepared.select(*sents.columns, body.alias("body"))
 
 

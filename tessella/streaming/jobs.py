@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.teacher import CORRUPT, PACK_SCHEMA, fan_out_items, pack_is_valid, with_pack
+from tessella.operators.teacher import PACK, fan_out_items, judge_bodies
 
 DEFAULT_TAKE = 200
 RESPONSE_SCHEMA = "paragraph_index BIGINT, sentence_index BIGINT, sentence STRING, body STRING"
@@ -23,9 +23,7 @@ def response_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1
 
 def items_from_responses(responses: DataFrame, max_transforms: int = 3) -> DataFrame:
     """Stateless: the same parse, check and fan-out as the batch job, response by response."""
-    parsed = with_pack(responses, PACK_SCHEMA)
-    valid = F.col(f"pack.{CORRUPT}").isNull() & F.coalesce(pack_is_valid(F.col("pack")), F.lit(False))
-    return fan_out_items(parsed.filter(valid), max_transforms)
+    return fan_out_items(judge_bodies(responses, PACK).filter(F.col("fault").isNull()), max_transforms)
 
 
 def append_available(stream: DataFrame, path: str, checkpoint: str, fmt: str = "json") -> None:
