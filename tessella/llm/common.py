@@ -35,6 +35,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def refuse_taken(columns: list[str], into: tuple[str, ...], dropped: str | None = None) -> None:
+    """New columns must not have the name of one that is passed through, in any case of letters."""
+    taken = {c.lower() for c in columns if c != dropped}
+    if clash := [name for name in into if name.lower() in taken]:
+        raise ValueError(f"the table has columns {clash}; name the new ones with into=")
+
+
 def held_out(key: Column) -> Column:
     """The rows no model learns from: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -6,14 +6,22 @@ context n times costs -log2(n / (total + distinct)); otherwise an escape of -log
 distinct)) is paid and the context gets one byte shorter, down to a uniform code of 8 bits. The
 language with the shortest code wins (first in name order on ties).
 
+All counted entries are kept, as a Spark table. A language's code lengths need its own entries only, so
+languages are sent around in blocks: as many as fit in ``CELLS`` numbers (entries times languages). Each
+block has its own pass over the texts. A language of more entries is dealt out by the context of
+an entry to several passes, whose code lengths add up; each also has the shorter contexts, of which
+there are at most 2^24 a language.
+
 Texts start in a context of zero bytes. Null texts and texts without a letter are ``und`` with score 0,
 and so is everything when there is nothing to learn from. The score is the winner's share when the
-languages are weighed by 2^-(code length).
+languages are weighed by 2^-(code length). Rows may repeat; the names in ``into`` must be free in the table, a
+clash is an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +29,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import compute_once
 from ..storage import cut_lineage
-from .common import arrow_map, map_texts
+from .common import arrow_map, map_texts, refuse_taken
 
 ORDER = 3
-MAX_NODES = 400_000  # entries of all trees together that are kept, most frequent first: bounds what is sent around
+CELLS = 1 << 22  # entries times languages of what is sent around at once
+HELD = 1_600_000  # entries a counting task holds before it passes them on
+MIX = 2_654_435_761
 STEP = 1 << 21  # bytes that are worked on at once
 LETTER = regex.compile(r"\p{L}")
 
@@ -89,7 +100,7 @@ def count_contexts(df: DataFrame, label: str, text: str = "text") -> DataFrame:
             for name, texts in by.items():
                 for codes, _, _ in _codes(texts):
                     add(name, codes)
-            if sum(len(values) for values, _ in totals.values()) > 4 * MAX_NODES:  # pass on, and start anew
+            if sum(len(values) for values, _ in totals.values()) > HELD:  # pass on, and start anew
                 yield from rows()
                 totals.clear()
         yield from rows()
@@ -98,16 +109,27 @@ def count_contexts(df: DataFrame, label: str, text: str = "text") -> DataFrame:
     return arrow_map(learned, run, "label string, code bigint, n bigint").groupBy("label", "code").agg(F.sum("n").alias("n"))
 
 
+def part_of(contexts: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` passes has the entries of a context."""
+    return ((contexts.astype(np.int64) * MIX & 0xFFFFFFFF) >> 16) % parts
+
+
 class ContextTrees:
-    """Frozen trees of several languages, as tables that are looked up for many bytes at once."""
+    """Frozen trees of several languages, as tables that are looked up for many bytes at once.
 
-    def __init__(self, labels: list[str], label_ids: np.ndarray, codes: np.ndarray, counts: np.ndarray):
-        self.labels = labels
+    ``lower``: label ids, codes without the first byte of the context, and counts, where ``codes`` are
+    those of one part only. Bytes in contexts of other parts have length 0.
+    """
+
+    def __init__(self, labels: list[str], label_ids: np.ndarray, codes: np.ndarray, counts: np.ndarray, lower: tuple | None = None, part: int = 0, parts: int = 1):
+        self.labels, self.part, self.parts = labels, part, parts
         self.symbols: list[np.ndarray] = []  # per order: known (context, byte) codes
         self.costs: list[np.ndarray] = []  # and their code lengths in each language
         self.contexts: list[np.ndarray] = []  # per order: known contexts
         self.escapes: list[np.ndarray] = []  # and the code length of an escape from them
+        whole = label_ids, codes, counts
         for order in range(ORDER + 1):
+            label_ids, codes, counts = lower if lower is not None and order < ORDER else whole
             known, at = np.unique(codes & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
             table = np.zeros((len(known), len(labels)))
             np.add.at(table, (at, label_ids), counts)
@@ -129,61 +151,120 @@ class ContextTrees:
         if order < 0:
             return np.full((len(codes), len(self.labels)), 8, np.float32)
         at, known = self._find(self.symbols[order], codes)
-        out = self.costs[order][at]
+        out = self.costs[order][at] if len(self.costs[order]) else np.zeros((len(codes), len(self.labels)), np.float32)
         if not known.all():
             new = codes[~known]
             found, seen = self._find(self.contexts[order], new >> 8)
-            escape = np.where(seen[:, None], self.escapes[order][found], 0)
+            escape = np.where(seen[:, None], self.escapes[order][found], 0) if seen.any() else np.float32(0)
             out[~known] = escape + self.lengths(order - 1, new & ((1 << 8 * order) - 1))
         return out
 
     @staticmethod
     def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values = values.astype(np.uint32)
+        if not len(table):
+            return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
         at = np.minimum(np.searchsorted(table, values), len(table) - 1)
         return at, table[at] == values
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         total = np.zeros((len(texts), len(self.labels)))
         for codes, starts, rows in _codes(texts):
-            np.add.at(total, rows, np.add.reduceat(self.lengths(ORDER, codes), starts, axis=0, dtype=np.float64))
+            if self.parts == 1:
+                found = self.lengths(ORDER, codes)
+            else:
+                found = np.zeros((len(codes), len(self.labels)), np.float32)
+                mine = part_of(codes >> np.uint32(8), self.parts) == self.part
+                found[mine] = self.lengths(ORDER, codes[mine])
+            np.add.at(total, rows, np.add.reduceat(found, starts, axis=0, dtype=np.float64))
         return total
 
 
-def learn(df: DataFrame, label: str = "lang", text: str = "text", max_nodes: int = MAX_NODES) -> ContextTrees | None:
-    """Trees from all labelled texts; of the counted entries the ``max_nodes`` most frequent stay."""
-    # A table of its own first: collected directly, every task would send the driver as many rows.
-    kept = cut_lineage(count_contexts(df, label, text).orderBy(F.desc("n"), "label", "code").limit(max_nodes)).toPandas()
-    if not len(kept):
-        return None
-    labels = sorted(kept["label"].unique())
-    ids = np.searchsorted(np.array(labels, object), kept["label"].to_numpy(object))
-    return ContextTrees(labels, ids, kept["code"].to_numpy(np.int64), kept["n"].to_numpy(np.float64))
-
-
-def identify(df: DataFrame, trees: ContextTrees | None, text: str = "text") -> DataFrame:
-    """Every column but the text, with lang_pred and score of the whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(trees)  # at most MAX_NODES entries
-
-    def make():
-        model = shared.value
-
-        def compute(texts):
-            known = [t if t and LETTER.search(t) else "" for t in texts]
-            if model is None:
-                return {"lang_pred": pa.array(["und"] * len(texts)), "score": pa.array([0.0] * len(texts))}
-            bits = model.code_lengths(known)
-            best = bits.argmin(axis=1)
-            share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-            return {
-                "lang_pred": pa.array([model.labels[b] if t else "und" for t, b in zip(known, best)], pa.string()),
-                "score": pa.array([float(s) if t else 0.0 for t, s in zip(known, share)], pa.float64()),
-            }
-
-        return compute
-
-    keep = [c for c in df.columns if c not in (text, "lang_pred", "score")]
-    return map_texts(df, text, make, "lang_pred string, score double", keep)
+@dataclass
+class Learned:
+    """All counted entries, as a table, and which passes take which of them."""
+
+    counts: DataFrame
+    passes: list[tuple[list[str], int, int]]  # languages, part, parts
+
+    @property
+    def labels(self) -> list[str]:
+        return list(dict.fromkeys(label for labels, _, _ in self.passes for label in labels))
+
+    def trees(self, labels: list[str], part: int, parts: int) -> ContextTrees:
+        """The trees of one pass: at most ``CELLS`` numbers of the longest contexts."""
+        mine = self.counts.filter(F.col("label").isin(labels))
+        at = F.pmod(F.shiftright((F.shiftright("code", 8) * F.lit(MIX)).bitwiseAND(F.lit(0xFFFFFFFF)), 16), F.lit(parts))
+        top = self._rows(mine.filter(at == part), labels)
+        if parts == 1:
+            return ContextTrees(labels, *top)
+        short = mine.groupBy("label", F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("code")).agg(F.sum("n").alias("n"))
+        return ContextTrees(labels, *top, self._rows(cut_lineage(short), labels), part, parts)
+
+    @staticmethod
+    def _rows(entries: DataFrame, labels: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names = F.array(*[F.lit(x) for x in labels])
+        rows = entries.select((F.array_position(names, F.col("label")) - 1).cast("int").alias("i"), "code", "n").toPandas()
+        return rows["i"].to_numpy(np.int64), rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
+
+
+def learn(df: DataFrame, label: str = "lang", text: str = "text", cells: int | None = None) -> Learned | None:
+    """Counts of all labelled texts, and the passes that apply them; None if there are none."""
+    cells = CELLS if cells is None else cells
+    counts = cut_lineage(count_contexts(df, label, text))
+    passes: list[tuple[list[str], int, int]] = []
+    held: list[str] = []
+    entries = 0
+    for name, n in sorted(map(tuple, counts.groupBy("label").count().collect())):  # a row a language
+        if held and (entries + n) * (len(held) + 1) > cells:
+            passes.append((held, 0, 1))
+            held, entries = [], 0
+        if n > cells:
+            parts = -(-n // cells)
+            passes += [([name], part, parts) for part in range(parts)]
+        else:
+            held, entries = [*held, name], entries + n
+    if held:
+        passes.append((held, 0, 1))
+    return Learned(counts, passes) if passes else None
+
+
+def identify(df: DataFrame, learned: Learned | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Every column but the text, with the language and score of the whole text under the names ``into``."""
+    keep = [c for c in df.columns if c != text]
+    refuse_taken(keep, into)
+    if learned is None:
+        return df.select(*[F.col(f"`{c}`") for c in keep], F.lit("und").alias(into[0]), F.lit(0.0).alias(into[1]))
+    rows = df
+    columns: dict[str, list[str]] = {}
+    for number, (labels, part, parts) in enumerate(learned.passes):
+        shared = df.sparkSession.sparkContext.broadcast(learned.trees(labels, part, parts))  # bounded by CELLS
+
+        def make(shared=shared, out=f"\x01bits{number}"):
+            model = shared.value
+
+            def compute(texts):
+                known = [t if t and LETTER.search(t) else "" for t in texts]
+                bits = model.code_lengths(known)
+                return {out: pa.array([b.tolist() if t else None for t, b in zip(known, bits)], pa.list_(pa.float64()))}
+
+            return compute
+
+        columns.setdefault("\x00".join(labels), []).append(f"\x01bits{number}")
+        last = number == len(learned.passes) - 1
+        rows = map_texts(rows, text, make, f"`\x01bits{number}` array<double>", [c for c in rows.columns if c != text or not last])
+    # Parts of one language add up; then the languages stand in name order.
+    sums = []
+    for parts in columns.values():
+        total = F.col(f"`{parts[0]}`")
+        for name in parts[1:]:
+            total = F.zip_with(total, F.col(f"`{name}`"), lambda a, b: a + b)
+        sums.append(total)
+    bits = compute_once(rows.select(*[F.col(f"`{c}`") for c in keep], F.concat(*sums).alias("\x01bits")), "\x01bits", F.col("`\x01bits`"))
+    least = F.array_min("`\x01bits`")
+    share = 1 / F.aggregate("`\x01bits`", F.lit(0.0), lambda a, b: a + F.pow(F.lit(2.0), F.greatest(least - b, F.lit(-1000.0))))
+    best = F.get(F.array(*[F.lit(x) for x in learned.labels]), (F.array_position("`\x01bits`", least) - 1).cast("int"))
+    return bits.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(best, F.lit("und")).alias(into[0]), F.coalesce(share, F.lit(0.0)).alias(into[1]))
 
 
 def learn_and_identify(df: DataFrame, held: Column, label: str = "lang", text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, refuse_taken
 
 MAX_ROWS = 2_000
 MAX_CHARS = 20_000
@@ -267,9 +267,7 @@ def score(
     df: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, into: tuple[str, str, str, str] = ("score", "predicted", "n_passages", "top_passage")
 ) -> DataFrame:
     """Score, prediction (1 from GOOD on), number of passages and the one with most attention (from 0)."""
-    taken = {c.lower() for c in (df.columns if keep is None else keep) if keep is not None or c != text}
-    if clash := [name for name in into if name.lower() in taken]:
-        raise ValueError(f"the table has columns {clash}; name the new ones with into=")
+    refuse_taken(df.columns if keep is None else keep, into, text if keep is None else None)
     shared = df.sparkSession.sparkContext.broadcast(model)  # 2^BITS rows of WIDTH numbers
 
     def make():

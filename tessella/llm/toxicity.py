@@ -8,12 +8,14 @@ field (two labels, weights of hashed features, transitions) is fitted to these t
 curve over the sum of squared marginals and the text's length then gives the document's score,
 at the rate of toxic rows among all labelled ones.
 
-Scoring reads the whole text. Forward and backward messages run over pieces of ``PIECE`` tokens with
-``CONTEXT`` tokens on either side, as many as the chain remembers. Spans are runs of tokens whose
-marginal is at least one half, as code point ranges (start, end).
+Scoring reads the whole text, and its marginals are those of the whole chain. Messages run over pieces of
+``PIECE`` tokens at a time; the product of a piece's 2 x 2 transfer matrices carries them from one piece of
+a text to the next, in both directions. Spans are runs of tokens whose marginal is at least one half, as
+code point ranges (start, end).
 
 Null and empty texts have no token and get the score of a text without toxic tokens. Without rows of
-both classes every score is 0. Rows may repeat.
+both classes every score is 0. Rows may repeat. The names in ``into`` must be free in the table; a clash is
+an error.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, refuse_taken
 
 MAX_ROWS = 1_200
 MAX_CHARS = 100_000
 MIN_DOCS, MIN_RATIO = 5, 4.0
 REJECT = 0.7
 BITS = 18
-PIECE, CONTEXT = 256, 64
+PIECE = 256
 ROWS = 1_024  # pieces whose messages run at the same time
 MAX_WORDS = 150_000
 TOKEN = re.compile(r"[^\W_]+")
@@ -60,15 +62,18 @@ class Field:
     def emission(self, word: str) -> float:
         return float(self.weights[features(word)].sum())
 
-    def messages(self, scores: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def messages(self, scores: np.ndarray, real: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Odds of the toxic label from the left (own score included) and from the right, column by column.
 
-        ``scores``: rows of tokens; ``real`` is false where a row has no token.
+        ``scores``: rows of tokens; ``real`` is false where a row has no token. ``before``: odds from the left
+        at the token before each row, nan where a text begins; ``after``: odds from the right at its last.
         """
         m = np.exp(self.moves)
         own = np.exp(np.clip(scores, -30, 30))
         left, right = np.empty_like(own), np.ones_like(own)
         odds = np.full(len(own), np.exp(self.start))
+        if before is not None:
+            odds = np.where(np.isnan(before), odds, (m[0, 1] + m[1, 1] * before) / (m[0, 0] + m[1, 0] * before))
         for t in range(own.shape[1]):
             if t:
                 moved = (m[0, 1] + m[1, 1] * odds) / (m[0, 0] + m[1, 0] * odds)
@@ -76,7 +81,8 @@ class Field:
             odds = np.where(real[:, t], odds * own[:, t], odds)
             np.clip(odds, 1e-30, 1e30, odds)
             left[:, t] = odds
-        odds = np.ones(len(own))
+        odds = np.ones(len(own)) if after is None else after
+        right[:, -1:] = odds[:, None]
         for t in range(own.shape[1] - 2, -1, -1):
             ahead = odds * own[:, t + 1]
             moved = (m[1, 0] + m[1, 1] * ahead) / (m[0, 0] + m[0, 1] * ahead)
@@ -84,25 +90,73 @@ class Field:
             right[:, t] = odds
         return left, right
 
+    def transfers(self, scores: np.ndarray, real: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Each row's product of transfer matrices, up to a factor; ``first``: no transition leads into the row."""
+        m = np.exp(self.moves)
+        own = np.exp(np.clip(scores, -30, 30))
+        out = np.tile(np.eye(2), (len(own), 1, 1))
+        for t in range(own.shape[1]):
+            step = out @ m
+            if t == 0:
+                step[first] = out[first]
+            step[:, :, 1] *= own[:, t, None]
+            out = np.where(real[:, t, None, None], step, out)
+            if t % 16 == 15:
+                out /= out.max(axis=(1, 2), keepdims=True)
+        return out / out.max(axis=(1, 2), keepdims=True)
+
+    def borders(self, spans: list[tuple[int, int]], rows) -> tuple[np.ndarray, np.ndarray]:
+        """``before`` and ``after`` of ``messages`` for all pieces, those of one text side by side."""
+        before, after = np.full(len(spans), np.nan), np.ones(len(spans))
+        texts = np.array([i for i, _ in spans])
+        follows = np.append(texts[1:] == texts[:-1], False) if len(spans) else np.zeros(0, bool)
+        parts = np.flatnonzero(follows | np.append(False, follows[:-1])) if len(spans) else np.zeros(0, int)
+        matrices = {}
+        for at in range(0, len(parts), ROWS):
+            some = parts[at : at + ROWS]
+            scores, real = rows(some)
+            matrices.update(zip(some.tolist(), self.transfers(scores, real, np.array([spans[x][1] == 0 for x in some]))))
+        carried = np.zeros(2)
+        for x in parts.tolist():
+            if spans[x][1] == 0:
+                carried = np.array([1.0, np.exp(self.start)])
+            else:
+                before[x] = np.clip(carried[1] / max(carried[0], 1e-300), 1e-30, 1e30)
+            carried = carried @ matrices[x]
+            carried /= carried.max()
+        for x in reversed(parts.tolist()):
+            if follows[x]:
+                carried = matrices[x + 1] @ carried
+                carried /= carried.max()
+                after[x] = np.clip(carried[1] / max(carried[0], 1e-300), 1e-30, 1e30)
+            else:
+                carried = np.ones(2)
+        return before, after
+
     def marginals(self, lists: list[np.ndarray]) -> list[np.ndarray]:
         """For each list of emission scores, the probability of the toxic label at every token."""
         spans = [(i, at) for i, scores in enumerate(lists) for at in range(0, len(scores), PIECE)]
         out = [np.zeros(len(scores), np.float32) for scores in lists]
+
+        def rows(chosen) -> tuple[np.ndarray, np.ndarray]:
+            parts = [lists[spans[x][0]][spans[x][1] :][:PIECE] for x in chosen]
+            width = max(map(len, parts))
+            scores, real = np.zeros((len(parts), width)), np.zeros((len(parts), width), bool)
+            for row, part in enumerate(parts):
+                scores[row, : len(part)], real[row, : len(part)] = part, True
+            return scores, real
+
+        before, after = self.borders(spans, rows)
         for first in range(0, len(spans), ROWS):
-            part = spans[first : first + ROWS]
-            width = PIECE + 2 * CONTEXT
-            scores, real = np.zeros((len(part), width)), np.zeros((len(part), width), bool)
-            for row, (i, at) in enumerate(part):
-                low, high = max(0, at - CONTEXT), min(len(lists[i]), at + PIECE + CONTEXT)
-                scores[row, : high - low], real[row, : high - low] = lists[i][low:high], True
-            scores, real = scores[:, : real.any(axis=0).sum()], real[:, : real.any(axis=0).sum()]
-            left, right = self.messages(scores, real)
+            chosen = range(first, min(first + ROWS, len(spans)))
+            scores, real = rows(chosen)
+            left, right = self.messages(scores, real, before[chosen.start : chosen.stop], after[chosen.start : chosen.stop])
             odds = left * right
             share = odds / (1 + odds)
-            for row, (i, at) in enumerate(part):
-                begin = min(at, CONTEXT)
+            for row, x in enumerate(chosen):
+                i, at = spans[x]
                 n = min(PIECE, len(lists[i]) - at)
-                out[i][at : at + n] = share[row, begin : begin + n]
+                out[i][at : at + n] = share[row, :n]
         return out
 
     def inputs(self, found: np.ndarray) -> np.ndarray:
@@ -255,6 +309,7 @@ def score(
 
     ``into`` names the three columns.
     """
+    refuse_taken(df.columns if keep is None else keep, into, text if keep is None else None)
     shared = df.sparkSession.sparkContext.broadcast(field)  # 2^BITS weights
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

@@ -331,10 +331,22 @@ def test_field_marginals_are_exact():
     for scores, got in zip(lists, field.marginals(lists)):
         if len(scores):
             np.testing.assert_allclose(got, chain_marginals(field, scores), rtol=1e-5)
-    long = np.random.default_rng(9).normal(size=1_000)
-    pieces = field.marginals([long])[0]
-    left, right = field.messages(long[None], np.ones((1, 1_000), bool))
-    np.testing.assert_allclose(pieces, (left * right / (1 + left * right))[0], rtol=1e-4)
+
+
+@pytest.mark.parametrize("stay", [0.0, 4.0, 12.0])
+def test_long_texts_have_the_marginals_of_the_whole_chain(stay):
+    """Labels that stick for thousands of tokens, lengths around the limits of pieces, several texts at once."""
+    field = toxicity.Field()
+    field.moves, field.start = np.array([[stay, -stay], [-stay, stay]]) / 2, 0.3
+    lists = [np.random.default_rng(n).normal(size=n) * 0.2 for n in (5_000, 255, 256, 257, 0, 512, 513, 1, 769)]
+    lists[0][2_000:] = 0.0
+    lists[0][0], lists[0][-1] = 5.0, -20.0
+    for scores, got in zip(lists, field.marginals(lists)):
+        if len(scores):
+            left, right = field.messages(scores[None], np.ones((1, len(scores)), bool))
+            np.testing.assert_allclose(got, (left * right / (1 + left * right))[0], rtol=1e-4, atol=1e-7)
+    extreme = np.tile([500.0, -500.0], 600)
+    assert np.isfinite(field.marginals([extreme])[0]).all()
 
 
 def test_toxicity_learns_and_scores(spark):
@@ -374,6 +386,28 @@ def test_languages(spark):
     assert languages.identify(empty(spark), trees).count() == 0
 
 
+@pytest.mark.parametrize("cells", [None, 900, 60])
+def test_no_entry_is_left_out(spark, cells):
+    """A rare language beside a hot one is kept; blocks and parts of languages give the same result."""
+    hot = [(i, f"{PROSE} {i}") for i in range(300)]
+    frame = rows(spark, hot).unionByName(rows(spark, [(1_000, "seltsam über die Maßen")], "de")).unionByName(rows(spark, [(1_001, "ciónñ ñezco llue")], "es"))
+    learned = languages.learn(frame, "lang", cells=cells)
+    assert learned.labels == ["de", "en", "es"] and (len(learned.passes) > 3) == (cells == 60)
+    whole = languages.learn(frame, "lang", cells=1 << 40)
+    asked = rows(spark, [(1, "über die Maßen seltsam"), (2, "by the river"), (3, "ñezco ciónñ"), (4, None), (5, "?"), (6, PROSE * 50), (6, PROSE * 50)])
+    got, wanted = ({(r.doc_id, r.lang_pred, round(r.score, 6)) for r in languages.identify(asked, x).collect()} for x in (learned, whole))
+    assert got == wanted and {(i, p) for i, p, _ in got} == {(1, "de"), (2, "en"), (3, "es"), (4, "und"), (5, "und"), (6, "en")}
+
+
+def test_new_columns_refuse_taken_names(spark):
+    docs = rows(spark, [(1, "a")]).withColumn("SCORE", F.lit("mine"))
+    for apply in (lambda **k: languages.identify(docs, None, **k), lambda **k: toxicity.score(docs, None, **k)):
+        with pytest.raises(ValueError, match="score"):
+            apply()
+    assert languages.identify(docs, None, into=("l", "s")).first().SCORE == "mine"
+    assert toxicity.score(docs, None, into=("x", "y", "z")).first().SCORE == "mine"
+
+
 def test_code_lengths_are_exact():
     """Against a walk down one tree, byte by byte."""
     data = b"abracadabra abracad"
