@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,32 @@ def collapse(text: Column) -> Column:
     return F.array_join(words(text), " ")
 
 
+@dataclass(frozen=True)
+class Tokenizer:
+    """Tokens are the matches of a pattern; nothing else of a text belongs to one.
+
+    ``additive``: in a rendered conversation no token spans the border of two segments, so counts
+    of segments may be added up. Without it, whole texts are read and tokens are placed by offset.
+    """
+
+    pattern: str
+    additive: bool = False
+
+    def tokens(self, text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(f"({self.pattern})"), F.lit(1))
+
+    def count(self, text: Column) -> Column:
+        return F.size(self.tokens(text)).cast("long")
+
+    def gaps(self, text: Column) -> Column:
+        """What stands before, between and after the tokens: one more than there are tokens."""
+        return F.split(text, self.pattern, -1)
+
+
+DEFAULT_TOKENIZER = Tokenizer(TOKEN_PATTERN, additive=True)
+WORD_TOKENIZER = Tokenizer(f"[^{WHITESPACE_CLASS}]+")
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 

@@ -14,9 +14,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import compute_once
+
 FAULT = "struct<path:string,reason:string>"
 END = "␀end"  # closes the list a body is parsed in; no body may contain it
 
@@ -152,15 +154,17 @@ class Record:
         return F.when(first.isNull(), _none()).when(~is_object, _wrong(value, at, "an object")).otherwise(first)
 
 
-def parse_body(body: Column) -> Column:
-    """The one JSON value of a body as VARIANT; null if there is none or anything beside it.
+def with_body(df: DataFrame, body: str, out: str) -> DataFrame:
+    """Adds the one JSON value of a body as VARIANT; null if there is none or anything beside it.
 
-    It is parsed as the first of two items of a list. A body that ended early would close the list
+    It is parsed, once, as the first of two items of a list. A body that ended early would close the list
     before the second item.
     """
-    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{END}"]'))), "$", "array<variant>")
-    whole = (F.size(listed) == 2) & ~F.contains(body, F.lit(END)) & (F.get(listed, F.lit(1)).cast("string") == END)
-    return F.when(whole, F.get(listed, F.lit(0)))
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col(body), F.lit(f',"{END}"]'))), "$", "array<variant>")
+    parsed = compute_once(df, "_listed", listed)
+    pair = F.col("_listed")
+    whole = (F.size(pair) == 2) & ~F.contains(body, F.lit(END)) & (F.get(pair, F.lit(1)).cast("string") == END)
+    return parsed.withColumn(out, F.when(whole, F.get(pair, F.lit(0)))).drop("_listed")
 
 
 def typed_value(value: Column, kind: Record) -> Column:

@@ -34,9 +34,24 @@ def token_blocks(texts: DataFrame, length: int) -> DataFrame:
     )
     if not is_dense(texts, "key"):
         counted = rank_rows(counted, ["key", "body"], "_ord").drop("key").withColumnRenamed("_ord", "key")
+    return _cut(counted, F.split("body", " "), length).withColumnRenamed("values", "tokens")
+
+
+def id_blocks(encoded: DataFrame, length: int) -> DataFrame:
+    """Blocks of ``length`` ids over all id lists (``key``, ``ids``) in key order, with their mask; the
+    same cut as ``token_blocks``, so block by block the ids of its tokens."""
+    counted = encoded.select("key", F.size("ids").cast("long").alias("n"), "ids")
+    if not is_dense(encoded, "key"):
+        counted = rank_rows(counted, ["key", "ids"], "_ord").drop("key").withColumnRenamed("_ord", "key")
+    cut = _cut(counted, F.col("ids"), length)
+    return with_attention_mask(cut.select("block_id", F.col("values").cast("array<int>").alias("input_ids")), length)
+
+
+def _cut(counted: DataFrame, values: Column, length: int) -> DataFrame:
+    """Blocks of ``values``, arrays of ``n`` entries in the order of the dense integer ``key``."""
     placed = before_by_integer(counted, "key", "n", "start").filter(F.col("n") > 0)
     start, end = F.col("start"), F.col("start") + F.col("n")
-    listed = compute_once(placed.select(start.alias("start"), end.alias("end"), "body"), "words", F.split("body", " "))
+    listed = compute_once(placed.select(start.alias("start"), end.alias("end"), values.alias("words")), "words", F.col("words"))
     size = F.lit(length).cast("long")
 
     def piece(block: Column) -> Column:
@@ -54,7 +69,7 @@ def token_blocks(texts: DataFrame, length: int) -> DataFrame:
     pieces = cut.select(F.explode("_pieces").alias("p")).select("p.*")
     joined = pieces.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("low", "part"))).alias("_parts"))
     tokens = F.flatten(F.transform("_parts", lambda x: x["part"]))
-    return joined.select("block_id", tokens.alias("tokens")).filter(F.size("tokens") == length)
+    return joined.select("block_id", tokens.alias("values")).filter(F.size("values") == length)
 
 
 def require_blocks(blocks: DataFrame) -> DataFrame:
@@ -67,15 +82,27 @@ def with_attention_mask(blocks: DataFrame, length: int) -> DataFrame:
     return blocks.withColumn("attention_mask", F.array_repeat(F.lit(1), length))
 
 
+def _shown(text: Column, max_chars: int) -> Column:
+    return F.when(F.length(text) > max_chars, F.concat(right_strip(F.substring(text, 1, max_chars)), F.lit(" …"))).otherwise(text)
+
+
 def preview_blocks(blocks: DataFrame, n: int = 3, max_chars: int = 400, show_ids: bool = False) -> DataFrame:
-    """The first blocks as text without special tokens; long ones are cut and marked."""
+    """The first blocks as text without special tokens; long ones are cut and marked.
+
+    ``show_ids`` adds the tokens; ``preview_id_blocks`` shows blocks of ids.
+    """
     text = F.array_join(F.filter("tokens", lambda t: ~t.rlike(SPECIAL_TOKEN)), " ")
-    shown = F.when(
-        F.length("_text") > max_chars, F.concat(right_strip(F.substring("_text", 1, max_chars)), F.lit(" …"))
-    ).otherwise(F.col("_text"))
     kept = blocks.filter(F.col("block_id") < n).withColumn("_text", text)
-    ids = [F.col("tokens")] if show_ids else []
-    return kept.select("block_id", shown.alias("preview"), *ids)
+    return kept.select("block_id", _shown(F.col("_text"), max_chars).alias("preview"), *([F.col("tokens")] if show_ids else []))
+
+
+def preview_id_blocks(blocks: DataFrame, vocabulary: DataFrame, n: int = 3, max_chars: int = 400, show_ids: bool = False) -> DataFrame:
+    """The same of blocks of ids, which are decoded; ``show_ids`` adds the ids themselves."""
+    kept = blocks.filter(F.col("block_id") < n).select(F.col("block_id").alias("key"), F.col("input_ids").cast("array<bigint>").alias("ids"))
+    texts = decode(kept, vocabulary, skip_special=True).select(F.col("key").alias("block_id"), _shown(F.col("text"), max_chars).alias("preview"))
+    if not show_ids:
+        return texts
+    return texts.join(kept.select(F.col("key").alias("block_id"), "ids"), "block_id")
 
 
 def build_vocabulary(texts: DataFrame) -> DataFrame:
@@ -87,11 +114,11 @@ def build_vocabulary(texts: DataFrame) -> DataFrame:
 def encode(texts: DataFrame, vocabulary: DataFrame, unknown: int | None = None) -> DataFrame:
     """Texts as id lists, one row per text; an empty text has an empty list.
 
-    A token that the vocabulary lacks gets the id ``unknown``; without one it is an error. The
-    vocabulary is broadcast after its size was measured; a larger one is joined with salted keys,
-    because frequent tokens are hot.
+    A token that the vocabulary lacks gets the id ``unknown``; without one it is an error. Texts are dealt
+    out by key before they are cut, so with a vocabulary that can be broadcast (its size is measured) tokens
+    never leave their task. A larger one is joined with salted keys, because frequent tokens are hot.
     """
-    exploded = _listed_words(texts).select("key", F.posexplode_outer("words").alias("pos", "token"))
+    exploded = _listed_words(texts.repartition("key")).select("key", F.posexplode_outer("words").alias("pos", "token"))
     found = join_checked(exploded, vocabulary, ["token"], ["key", "pos"], "left")
     missing = F.raise_error(F.concat(F.lit("token not in the vocabulary: "), "token")).cast("long")
     coded = F.coalesce("id", F.lit(unknown).cast("long") if unknown is not None else missing)
@@ -106,13 +133,15 @@ def _gathered(found: DataFrame, by: list[str], value: Column, out: str) -> DataF
 
 
 def decode(ids: DataFrame, vocabulary: DataFrame, skip_special: bool = False, unknown: str | None = None) -> DataFrame:
-    """Id lists as stripped texts, one text per row; after ``as_rows`` one text per (key, row).
+    """Id lists as stripped texts: one text per row, or one per (key, row) where ``ids`` are lists of lists
+    or ``as_rows`` made rows of them. Other shapes are an error.
 
     An id that the vocabulary lacks becomes the token ``unknown``; without one it is an error. A row
-    without ids, or with special tokens only, is an empty text.
+    without ids, or with special tokens only, is an empty text. As in ``encode``, tokens stay in their task.
     """
-    by = [c for c in ("key", "row") if c in ids.columns]
-    exploded = compute_once(ids, "ids", F.col("ids")).select(*by, F.posexplode_outer("ids").alias("pos", "id"))
+    rows = as_rows(ids, "key", "ids") if _depth(ids, "ids") == 2 else ids
+    by = [c for c in ("key", "row") if c in rows.columns]
+    exploded = compute_once(rows.repartition("key"), "ids", F.col("ids")).select(*by, F.posexplode_outer("ids").alias("pos", "id"))
     found = join_checked(exploded, vocabulary, ["id"], [*by, "pos"], "left")
     missing = F.raise_error(F.concat(F.lit("id not in the vocabulary: "), F.col("id").cast("string"))).cast("string")
     token = F.coalesce("token", F.lit(unknown) if unknown is not None else missing)
@@ -121,15 +150,20 @@ def decode(ids: DataFrame, vocabulary: DataFrame, skip_special: bool = False, un
     return listed.select(*by, strip(F.array_join(shown, " ")).alias("text"))
 
 
+def _depth(df: DataFrame, ids: str) -> int:
+    kind = df.schema[ids].dataType.simpleString()
+    for depth, shapes in ((1, {"array<int>", "array<bigint>"}), (2, {"array<array<int>>", "array<array<bigint>>"})):
+        if kind in shapes:
+            return depth
+    raise ValueError(f"ids must be one or two dimensional, got {kind}")
+
+
 def as_rows(df: DataFrame, key: str, ids: str) -> DataFrame:
     """One row per id list, from a column of lists or of lists of lists; other shapes are an error."""
-    kind = df.schema[ids].dataType.simpleString()
-    if kind in {"array<int>", "array<bigint>"}:
+    if _depth(df, ids) == 1:
         return df.select(key, F.lit(0).alias("row"), F.col(ids).cast("array<bigint>").alias("ids"))
-    if kind in {"array<array<int>>", "array<array<bigint>>"}:
-        nested = df.select(key, F.posexplode(ids).alias("row", "ids"))
-        return nested.withColumn("ids", F.col("ids").cast("array<bigint>"))
-    raise ValueError(f"ids must be one or two dimensional, got {kind}")
+    nested = df.select(key, F.posexplode(ids).alias("row", "ids"))
+    return nested.withColumn("ids", F.col("ids").cast("array<bigint>"))
 
 
 def pack_sequences(lengths: DataFrame, max_length: int, shards: int = 1) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import render
+from tessella.functions.arrays import count_below, with_running_sums
 from tessella.functions.columns import compute_once
-from tessella.functions.text import count_tokens, is_blank, strip
+from tessella.functions.text import DEFAULT_TOKENIZER, Tokenizer, count_tokens, is_blank, strip
 
 
 def _message(role: str, content: str) -> Column:
@@ -79,11 +80,44 @@ def generation_requests(conversations: DataFrame, style: str = "llama") -> DataF
     return rendered(conversations, make(F.col("messages"), add_generation_prompt=True)).drop("segments")
 
 
-def loss_mask(df: DataFrame, mode: str = "assistant") -> DataFrame:
+def _mask_by_offsets(df: DataFrame, mode: str, tokenizer: Tokenizer) -> DataFrame:
+    """Tokens of the whole text against the limits of the segments, both as offsets.
+
+    A token counts if any of it lies in a segment that counts, so one that begins before a border counts too.
+    """
+    i = F.transform("segments", lambda s, i: F.when(s["train"] & (s["text"] != ""), i).otherwise(F.lit(-1)))
+    counts = {
+        "assistant": F.transform("segments", lambda s: s["train"]),
+        "completion": F.transform("segments", lambda s, j: j == F.col("_last")),
+        "all": F.transform("segments", lambda s: F.lit(True)),
+    }
+    if mode not in counts:
+        raise ValueError(f"unknown loss mode: {mode}")
+    sizes = F.transform(tokenizer.tokens(F.col("text")), lambda t: F.length(t).cast("long"))
+    gaps = F.transform(tokenizer.gaps(F.col("text")), lambda g: F.length(g).cast("long"))
+    sized = compute_once(compute_once(df, "_last", F.array_max(i)), "_t", F.struct(sizes.alias("n"), gaps.alias("gap")))
+    # The end of each token: all tokens up to it and all gaps before them.
+    placed = with_running_sums(sized, "_ends", F.zip_with(F.col("_t.n"), F.slice(F.col("_t.gap"), F.lit(1), F.size("_t.n")), lambda a, b: a + b))
+    limits = with_running_sums(placed, "_limits", F.transform("segments", lambda s: F.length(s["text"]).cast("long")))
+    held = compute_once(limits, "_counts", counts[mode])
+
+    def flag(end: Column, size: Column) -> Column:
+        first = count_below(F.col("_limits"), end - size + 1)  # the segment of the first character
+        last = count_below(F.col("_limits"), end)
+        return F.exists(F.slice("_counts", first + 1, last - first + 1), lambda c: c).cast("int")
+
+    return held.withColumn("mask", F.zip_with("_ends", "_t.n", flag)).drop("_t", "_ends", "_limits", "_counts", "_last")
+
+
+def loss_mask(df: DataFrame, mode: str = "assistant", tokenizer: Tokenizer = DEFAULT_TOKENIZER) -> DataFrame:
     """A 0/1 flag per token of each rendered row.
 
     ``assistant`` takes the marked segments, ``completion`` only the last of them, ``all`` every token.
+    With a tokenizer that is not additive, tokens that cross a border of segments are placed by offset.
     """
+    if not tokenizer.additive:
+        return _mask_by_offsets(df, mode, tokenizer)
+    count_tokens = tokenizer.count
     sized = F.transform(
         "segments", lambda s: F.struct(count_tokens(s["text"]).cast("int").alias("n"), s["train"].alias("train"))
     )

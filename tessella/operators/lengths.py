@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import render
-from tessella.functions.text import count_tokens, strip
+from tessella.functions.text import DEFAULT_TOKENIZER, Tokenizer, count_tokens, strip
 from tessella.operators.conversations import usable_turns
 from tessella.operators.ordering import ordinals
 from tessella.storage import cut_lineage
@@ -50,9 +50,9 @@ def fallback_token_counts(turns: DataFrame) -> DataFrame:
     return usable_turns(turns).groupBy("conv_id").agg(F.sum(block).cast("long").alias("num_tokens"))
 
 
-def rendered_token_counts(rendered: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Token counts of conversations rendered in any format."""
-    return rendered.select(key, count_tokens(F.col("text")).alias("num_tokens"))
+def rendered_token_counts(rendered: DataFrame, key: str = "conv_id", tokenizer: Tokenizer = DEFAULT_TOKENIZER) -> DataFrame:
+    """Token counts of conversations rendered in any format, by any tokenizer."""
+    return rendered.select(key, tokenizer.count(F.col("text")).alias("num_tokens"))
 
 
 def length_table(counts: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -42,9 +42,54 @@ def run_hyperparams(runs: DataFrame) -> DataFrame:
     )
 
 
-def sweep_summary(runs: DataFrame, accuracy: DataFrame, error: str = "no predictions") -> DataFrame:
-    """Every run once per exam it answered; a run without any answers is a failed run."""
+def run_results(accuracy: DataFrame, configs: DataFrame, artifacts: DataFrame, base: str, timestamp: str) -> DataFrame:
+    """One row per run and exam: its figures, how it was asked, which artefact answered and when.
+
+    A run whose artefact is not known has no model path.
+    """
+    asked = configs.select("run", "exam_name", "max_new_tokens", "temperature", F.col("preprompt"))
+    path = F.concat(F.lit(f"{base}/"), "run", F.lit("/"), "artifact")
+    return (
+        accuracy.join(asked, ["run", "exam_name"], "left")
+        .join(artifacts.select("run", path.alias("model_path")), "run", "left")
+        .select(
+            "run", "exam_name", F.col("run").alias("model"), "accuracy", "correct", "total", "max_new_tokens", "temperature", "preprompt", "model_path",
+            F.lit(timestamp).alias("benchmark_timestamp"),
+        )
+    )
+
+
+def run_errors(configs: DataFrame, answered: DataFrame, sizes: DataFrame, crashes: DataFrame) -> DataFrame:
+    """What went wrong, one row per run, exam and reason: (run, exam_name, stage, error).
+
+    ``configs`` has the runs and their exams, ``answered`` the number of answers (``n``) per run and exam, ``sizes``
+    the questions (``n``) per exam, ``crashes`` the error texts of runs, for one exam or, where ``exam_name``
+    is null, for all that the run was set up for. An exam without a crash that has no answers, or
+    too few, is an error of its own; one without questions is not.
+    """
+    asked = configs.select("run", "exam_name").distinct()
+    told = crashes.select("run", F.col("exam_name").alias("_exam"), "stage", "error")
+    crashed = asked.join(told, "run").filter(F.col("_exam").isNull() | (F.col("_exam") == F.col("exam_name"))).drop("_exam")
+    silent = asked.join(crashed.select("run", "exam_name").distinct(), ["run", "exam_name"], "left_anti")
+    counted = silent.join(answered.select("run", "exam_name", F.col("n").alias("_n")), ["run", "exam_name"], "left").join(
+        sizes.select("exam_name", F.col("n").alias("_all")), "exam_name"
+    )
+    n = F.coalesce("_n", F.lit(0))
+    text = F.when(n == 0, "no answers").otherwise(F.format_string("%d of %d questions unanswered", F.col("_all") - n, F.col("_all")))
+    partial = counted.filter(n < F.col("_all")).select("run", "exam_name", F.lit("answer").alias("stage"), text.alias("error"))
+    return crashed.select("run", "exam_name", "stage", "error").unionByName(partial)
+
+
+def sweep_summary(runs: DataFrame, accuracy: DataFrame, error: str = "no predictions", errors: DataFrame | None = None) -> DataFrame:
+    """Every run once per exam it answered; a run without any answers is a failed run.
+
+    With ``errors`` (``run_errors``) a failed run has its own texts, in order; else the text ``error``.
+    """
     joined = runs.join(accuracy, "run", "left")
+    text = F.lit(error)
+    if errors is not None:
+        told = errors.groupBy("run").agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("_told"))
+        joined, text = joined.join(told, "run", "left"), F.coalesce("_told", F.lit(error))
     ok = F.col("total").isNotNull()
     return joined.select(
         "run",
@@ -53,7 +98,7 @@ def sweep_summary(runs: DataFrame, accuracy: DataFrame, error: str = "no predict
         "correct",
         "total",
         ok.alias("success"),
-        F.when(~ok, F.lit(error)).alias("error"),
+        F.when(~ok, text).alias("error"),
     )
 
 

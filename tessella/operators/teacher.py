@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import wording
 from tessella.functions.columns import compute_once
 from tessella.functions.text import fill, strip
-from tessella.functions.validate import FLAG, TEXT, WHOLE, Field, ListOf, Record, first_fault, parse_body, typed_value
+from tessella.functions.validate import FLAG, TEXT, WHOLE, Field, ListOf, Record, first_fault, typed_value, with_body
 
 SEGMENTATION = Record((
     Field("orthography_policy", TEXT),
@@ -59,15 +59,15 @@ def teacher_requests(sentences: DataFrame, model: str = wording.TEACHER_MODEL) -
 
 def judge_bodies(df: DataFrame, kind: Record) -> DataFrame:
     """Adds ``pack``, the body as its description has it, and ``fault`` (path, reason), null if there is none."""
-    parsed = compute_once(df, "_value", parse_body(F.col("body")))
-    typed = compute_once(parsed, "pack", typed_value(F.col("_value"), kind))
+    silent = with_body(df.withColumn("_silent", F.col("body").isNull()), "body", "_value").drop("body")
+    typed = compute_once(silent, "pack", typed_value(F.col("_value"), kind))
     bare = lambda reason: F.struct(F.lit(None).cast("string").alias("path"), F.lit(reason).alias("reason"))
     fault = (
-        F.when(F.col("body").isNull(), bare("no response"))
+        F.when(F.col("_silent"), bare("no response"))
         .when(F.col("_value").isNull(), bare("not one JSON value"))
         .otherwise(first_fault(F.col("_value"), F.col("pack"), kind))
     )
-    return compute_once(typed, "fault", fault).drop("_value", "body")
+    return compute_once(typed, "fault", fault).drop("_value", "_silent")
 
 
 def _judged(requests: DataFrame, responses: DataFrame, keys: Sequence[str], kind: Record) -> tuple[DataFrame, DataFrame]:

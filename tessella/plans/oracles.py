@@ -406,6 +406,19 @@ SELECT conv_id, string_agg(repeat(CASE WHEN rn = answer THEN '1' ELSE '0' END, {
 FROM pieces JOIN last_answer USING (conv_id) GROUP BY conv_id"""
 SQL["loss_mask_all"] = f"""WITH {INST}
 SELECT conv_id, string_agg(repeat('1', {toks("piece")}), '' ORDER BY rn) AS mask FROM pieces GROUP BY conv_id"""
+SQL["loss_mask_words"] = f"""WITH {LLAMA},
+limits AS (
+  SELECT conv_id, train, sum(length(piece)) OVER (PARTITION BY conv_id ORDER BY rn) AS upto, length(piece) AS n FROM pieces WHERE piece <> ''),
+parts AS (
+  SELECT conv_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (
+    SELECT conv_id, string_split(translate(text, {q(WHITESPACE)}, {q(" " * len(WHITESPACE))}), ' ') AS l FROM rendered)),
+words AS (
+  SELECT conv_id, i, word, sum(length(word) + 1) OVER (PARTITION BY conv_id ORDER BY i) - 1 AS upto FROM parts),
+flags AS (
+  SELECT w.conv_id, w.i, bool_or(s.train) AS train FROM words w JOIN limits s
+    ON s.conv_id = w.conv_id AND s.upto - s.n < w.upto AND w.upto - length(w.word) < s.upto
+  WHERE w.word <> '' GROUP BY w.conv_id, w.i)
+SELECT conv_id, string_agg(CASE WHEN train THEN '1' ELSE '0' END, '' ORDER BY i) AS mask FROM flags GROUP BY conv_id"""
 SQL["loss_mask_stats"] = f"""WITH {LLAMA}
 SELECT sum(CASE WHEN train THEN {toks("piece")} ELSE 0 END)::BIGINT AS assistant_tokens, sum({toks("piece")})::BIGINT AS total_tokens,
   round(sum(CASE WHEN train THEN {toks("piece")} ELSE 0 END) / sum({toks("piece")}), 6) AS ratio FROM pieces"""
@@ -420,6 +433,8 @@ counts AS (SELECT conv_id, {toks("text")}::BIGINT AS num_tokens FROM rendered)
 SQL["token_counts"] = f"WITH {COUNTS} SELECT conv_id, num_tokens, assistant_tokens FROM counts JOIN mine USING (conv_id)"
 SQL["token_counts_fallback"] = f"WITH {FALLBACK} SELECT conv_id, {toks('text')}::BIGINT AS num_tokens FROM rendered"
 SQL["token_counts_chatml"] = f"WITH {CHATML} SELECT conv_id, {toks('text')}::BIGINT AS num_tokens FROM rendered"
+SQL["token_counts_words"] = f"""WITH {LLAMA}
+SELECT conv_id, len(string_split({collapse("text")}, ' '))::BIGINT AS num_tokens FROM rendered"""
 ITEM_CHATS = f"""
 {ITEM_LINES},
 chats AS (
@@ -508,6 +523,21 @@ SELECT block_id, CASE WHEN length(t) > 400 THEN rtrim(substr(t, 1, 400)) || ' 
 SQL["vocabulary"] = f"WITH {VOCAB} SELECT id, token FROM vocab"
 SQL["ids_encoded"] = f"WITH {VOCAB} SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY i) AS ids FROM tok JOIN vocab USING (token) GROUP BY doc_id"
 SQL["ids_decoded"] = f"WITH {TOKENS} SELECT doc_id, string_agg(token, ' ' ORDER BY i) AS text FROM tok GROUP BY doc_id"
+SQL["ids_decoded_2d"] = f"""WITH {TOKENS}
+SELECT doc_id, (i - 1) // 64 AS row, string_agg(token, ' ' ORDER BY i) AS text FROM tok GROUP BY 1, 2"""
+ID_BLOCKS = f"""
+{VOCAB},
+coded AS (SELECT token, id, row_number() OVER (ORDER BY doc_id, i) - 1 AS g FROM tok JOIN vocab USING (token)),
+id_blocks AS (
+  SELECT g // {BLOCK_LENGTH} AS block_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY g) AS input_ids, string_agg(token, ' ' ORDER BY g) AS tokens,
+    count(*) AS attended FROM coded GROUP BY 1 HAVING count(*) = {BLOCK_LENGTH})
+"""
+SQL["token_blocks_ids"] = f"WITH {ID_BLOCKS} SELECT block_id, input_ids, attended FROM id_blocks"
+SQL["block_preview_ids"] = f"""WITH {ID_BLOCKS},
+plain AS (
+  SELECT block_id, input_ids, array_to_string([x for x in string_split(tokens, ' ') if NOT regexp_matches(x, '^<\\|[a-z_]+\\|>$')], ' ') AS t
+  FROM id_blocks WHERE block_id < 3)
+SELECT block_id, CASE WHEN length(t) > 400 THEN rtrim(substr(t, 1, 400)) || ' …' ELSE t END AS preview, input_ids AS ids FROM plain"""
 PACKED = f"""
 {DOC_LENGTHS},
 ordered AS (
@@ -593,6 +623,33 @@ SQL["sweep_summary"] = f"WITH {PREDICTIONS} SELECT run, exam_name, round(accurac
 SQL["sweep_counts"] = f"""WITH {PREDICTIONS}
 SELECT count(DISTINCT run) AS total_models, count(DISTINCT CASE WHEN success THEN run END) AS successful,
   count(DISTINCT CASE WHEN NOT success THEN run END) AS failed FROM summary"""
+SQL["stream_rejects"] = SQL["teacher_packs_rejects"]
+SOURCE = "CAST(regexp_extract(run, 'src([0-9]+)$', 1) AS BIGINT)"
+ERRORS = f"""
+{PREDICTIONS},
+exams AS (SELECT exam_name, count(*) AS n FROM questions GROUP BY exam_name),
+setups AS (SELECT run, crashed, exam_name, n FROM runs CROSS JOIN exams),
+given AS (
+  SELECT run, exam_name, count(*) AS given FROM predictions
+  WHERE NOT ({SOURCE} % 5 = 1 AND (exam_name = 'items' OR id LIKE '%7')) GROUP BY run, exam_name),
+errors AS (
+  SELECT run, exam_name, 'load' AS stage, 'out of memory: ' || run AS error FROM setups WHERE crashed
+  UNION ALL SELECT run, exam_name, 'answer', 'timed out: ' || run FROM setups WHERE {SOURCE} = 1 AND NOT crashed AND exam_name = 'items'
+  UNION ALL SELECT run, exam_name, 'answer', CASE WHEN given IS NULL THEN 'no answers' ELSE (n - given) || ' of ' || n || ' questions unanswered' END
+  FROM setups LEFT JOIN given USING (run, exam_name)
+  WHERE NOT crashed AND NOT ({SOURCE} = 1 AND exam_name = 'items') AND coalesce(given, 0) < n)
+"""
+SQL["sweep_errors"] = f"WITH {ERRORS} SELECT run, exam_name, stage, error FROM errors"
+SQL["sweep_summary_errors"] = f"""WITH {ERRORS},
+told AS (SELECT run, string_agg(DISTINCT error, '; ' ORDER BY error) AS told FROM errors GROUP BY run)
+SELECT run, exam_name, round(accuracy, 6) AS accuracy, correct, total, success, CASE WHEN NOT success THEN told END AS error FROM summary LEFT JOIN told USING (run)"""
+SQL["sweep_results"] = f"""WITH {PREDICTIONS},
+named AS (SELECT *, CASE WHEN run LIKE 'grid%' THEN 'grid' ELSE 'old' END AS sweep FROM summary),
+manifest AS (
+  SELECT sweep, count(DISTINCT run) AS total_models, count(DISTINCT CASE WHEN success THEN run END) AS successful,
+    count(DISTINCT CASE WHEN NOT success THEN run END) AS failed, CASE sweep WHEN 'grid' THEN 't3' ELSE 't2' END AS timestamp FROM named GROUP BY sweep)
+SELECT run, exam_name, round(accuracy, 6) AS accuracy, correct, total, success, error, sweep, total_models, successful, failed, timestamp
+FROM named JOIN manifest USING (sweep)"""
 RANK = "row_number() OVER (ORDER BY accuracy DESC NULLS LAST, run, exam_name NULLS LAST)"
 SQL["leaderboard"] = f"""WITH {PREDICTIONS}
 SELECT {RANK} AS rank, run, exam_name, round(accuracy, 6) AS accuracy, correct, total, success, error FROM summary"""
@@ -613,6 +670,14 @@ WITH paths AS (
 SELECT run, CASE WHEN count(*) > count(step) THEN 'final_model' ELSE 'checkpoint-' || max(step) END AS artifact
 FROM paths WHERE '{SWEEP_ROOT}/' || run LIKE '%sweep%' GROUP BY run"""
 
+SQL["run_results"] = f"""WITH {PREDICTIONS},
+artifacts AS ({SQL["best_artifact"]})
+SELECT run, exam_name, run AS model, round(accuracy, 6) AS accuracy, correct, total,
+  CASE exam_name WHEN 'corpus' THEN 20 ELSE 50 END::BIGINT AS max_new_tokens, CASE exam_name WHEN 'corpus' THEN 0.0 ELSE 0.2 END::DOUBLE AS temperature,
+  CASE exam_name WHEN 'corpus' THEN ' Answer with one letter. ' ELSE 'Choose. ' END AS preprompt, '{SWEEP_ROOT}/' || run || '/' || artifact AS model_path,
+  CASE WHEN run LIKE '%ep2%' THEN '2024-07-27T00:00:00' ELSE '2024-07-26T00:00:00' END AS benchmark_timestamp
+FROM accuracy LEFT JOIN artifacts USING (run)"""
+
 # --- training logs -------------------------------------------------------------------------
 
 SERIES = """

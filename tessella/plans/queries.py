@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import render
-from tessella.functions.text import collapse, count_tokens, drop_bad_bytes
+from tessella.functions.text import WORD_TOKENIZER, collapse, count_tokens, drop_bad_bytes
 from tessella.operators import blocks as B
 from tessella.operators import conversations as C
 from tessella.operators import exams as E
@@ -162,6 +162,30 @@ def results_roundtrip(spark, sf):
     return E.exam_accuracy(spark.read.schema(schema).json(folder)).select("run", "exam_name", "correct", "total")
 
 
+@query
+def run_results(spark, sf):
+    """Results with metadata, written for all runs and again for some: only these are replaced."""
+    folder = new_folder(spark, "run-results")
+    made = W.run_results(_accuracy(spark, sf), V.eval_configs(spark, sf), best_artifact(spark, sf), V.SWEEP_ROOT, "2024-07-26T00:00:00")
+    files.write_run_results(made, folder)
+    again = made.filter(F.col("run").contains("ep2")).withColumn("benchmark_timestamp", F.lit("2024-07-27T00:00:00"))
+    files.write_run_results(again, folder)
+    return spark.read.schema(files.RUN_RESULT_SCHEMA).json(folder).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query
+def sweep_results(spark, sf):
+    """Two sweeps in one folder, the first written twice: rows with the manifest of their sweep."""
+    folder = new_folder(spark, "sweeps")
+    summary = _summary(spark, sf)
+    parts = {"grid": summary.filter(F.col("run").startswith("grid")), "old": summary.filter(F.col("run").startswith("old"))}
+    for sweep, stamp in (("grid", "t1"), ("old", "t2"), ("grid", "t3")):
+        files.write_sweep(parts[sweep], W.sweep_counts(parts[sweep]), folder, sweep, stamp)
+    rows = spark.read.schema(files.SWEEP_RESULT_SCHEMA).json(f"{folder}/results")
+    manifest = spark.read.schema(files.MANIFEST_SCHEMA).json(f"{folder}/manifest")
+    return rows.join(manifest, "sweep").withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query
 def lengths_csv(spark, sf):
     folder = new_folder(spark, "lengths")
@@ -450,6 +474,13 @@ def loss_mask_all(spark, sf):
     return _mask(spark, sf, render.inst(F.col("messages"), AS_OF), "all")
 
 
+@query
+def loss_mask_words(spark, sf):
+    """By white-space words, which know nothing of segments: words across a border are placed by offset."""
+    masked = C.loss_mask(C.rendered(_assembled(spark, sf), render.llama(F.col("messages"))), "assistant", WORD_TOKENIZER)
+    return masked.select("conv_id", F.array_join("mask", "").alias("mask"))
+
+
 @query
 def loss_mask_stats(spark, sf):
     return C.loss_mask_stats(V.conversations(spark, sf))
@@ -483,6 +514,12 @@ def token_counts_chatml(spark, sf):
     return K.rendered_token_counts(C.rendered(_assembled(spark, sf), render.chatml(F.col("messages"))))
 
 
+@query
+def token_counts_words(spark, sf):
+    rendered = C.rendered(_assembled(spark, sf), render.llama(F.col("messages")))
+    return K.rendered_token_counts(rendered, tokenizer=WORD_TOKENIZER)
+
+
 @query
 def length_table(spark, sf):
     return K.length_table(token_counts(spark, sf))
@@ -602,6 +639,36 @@ def ids_decoded(spark, sf):
     return B.decode(B.encode(texts, vocab), vocab).select(F.col("key").alias("doc_id"), "text")
 
 
+ID_ROW = 64
+
+
+@query
+def ids_decoded_2d(spark, sf):
+    """Every document as rows of 64 ids, the last one shorter, decoded row by row."""
+    texts = _texts(spark, sf)
+    vocab = B.build_vocabulary(texts)
+    last = F.floor((F.size("ids") - 1) / ID_ROW).cast("int")
+    nested = F.transform(F.sequence(F.lit(0), last), lambda r: F.slice("ids", r * ID_ROW + 1, F.lit(ID_ROW)))
+    batch = B.encode(texts, vocab).select("key", F.when(F.size("ids") > 0, nested).alias("ids"))
+    return B.decode(batch, vocab).select(F.col("key").alias("doc_id"), F.col("row").cast("long").alias("row"), "text")
+
+
+@query
+def token_blocks_ids(spark, sf):
+    texts = _texts(spark, sf)
+    made = B.id_blocks(B.encode(texts, B.build_vocabulary(texts)), BLOCK_LENGTH)
+    attended = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("attended")
+    return made.select("block_id", F.array_join("input_ids", " ").alias("input_ids"), attended)
+
+
+@query
+def block_preview_ids(spark, sf):
+    texts = _texts(spark, sf)
+    vocab = B.build_vocabulary(texts)
+    made = B.preview_id_blocks(B.id_blocks(B.encode(texts, vocab), BLOCK_LENGTH), vocab, show_ids=True)
+    return made.select("block_id", "preview", F.array_join("ids", " ").alias("ids"))
+
+
 @query
 def packed_sequences(spark, sf):
     return B.pack_sequences(_document_lengths(spark, sf), PACK_LENGTH)
@@ -670,6 +737,24 @@ def sweep_summary(spark, sf):
     return _summary(spark, sf).withColumn("accuracy", F.round("accuracy", 6))
 
 
+def _errors(spark, sf):
+    answered = V.partial_predictions(spark, sf).groupBy("run", "exam_name").agg(F.count("*").alias("n"))
+    sizes = V.exam(spark, sf).groupBy("exam_name").agg(F.count("*").alias("n"))
+    return W.run_errors(V.eval_configs(spark, sf), answered, sizes, V.crashes(spark, sf))
+
+
+@query
+def sweep_errors(spark, sf):
+    return _errors(spark, sf)
+
+
+@query
+def sweep_summary_errors(spark, sf):
+    """The summary with each failed run's own error text."""
+    made = W.sweep_summary(V.runs(spark, sf).select("run"), _accuracy(spark, sf), errors=_errors(spark, sf))
+    return made.withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query
 def sweep_counts(spark, sf):
     return W.sweep_counts(_summary(spark, sf))
@@ -747,6 +832,20 @@ def stream_items(spark, sf):
     return _flat_items(spark.read.schema(files.ITEM_SCHEMA).json(f"{folder}/out"))
 
 
+def _judged_stream(spark, sf):
+    folder = new_folder(spark, "judged")
+    V.with_teacher_bodies(V.sentences(spark, sf)).drop("id").write.json(f"{folder}/in")
+    jobs.append_judged(jobs.response_stream(spark, f"{folder}/in", 3), f"{folder}/out", f"{folder}/state")
+    return f"{folder}/out"
+
+
+@query
+def stream_rejects(spark, sf):
+    """Responses arriving in several batches; what was rejected, with path and reason."""
+    schema = "paragraph_index BIGINT, sentence_index BIGINT, path STRING, reason STRING"
+    return spark.read.schema(schema).json(f"{_judged_stream(spark, sf)}/rejects").select("paragraph_index", "sentence_index", "path", "reason")
+
+
 @query
 def stream_take(spark, sf):
     """The first 200 rows of a document stream; every eleventh row has no text."""

@@ -18,7 +18,13 @@ ITEM_SCHEMA = (
     "id STRING, task STRING, prompt STRING, target STRING, "
     "meta STRUCT<source: STRUCT<paragraph_index: BIGINT, sentence_index: BIGINT>, transform: STRING>"
 )
-
+# Ids of runs and sweeps are text, whatever they look like in a folder's name.
+RUN_RESULT_SCHEMA = (
+    "model STRING, accuracy DOUBLE, correct BIGINT, total BIGINT, max_new_tokens BIGINT, temperature DOUBLE, preprompt STRING, "
+    "model_path STRING, benchmark_timestamp STRING, run STRING, exam_name STRING"
+)
+SWEEP_RESULT_SCHEMA = "run STRING, exam_name STRING, accuracy DOUBLE, correct BIGINT, total BIGINT, success BOOLEAN, error STRING, sweep STRING"
+MANIFEST_SCHEMA = "total_models BIGINT, successful BIGINT, failed BIGINT, timestamp STRING, sweep STRING"
 
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
@@ -47,9 +53,29 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _replace_own(df: DataFrame, path: str, *parts: str) -> None:
+    """Replaces only the folders that ``df`` has rows for; what other writes left stays."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).json(path)
+
+
 def write_results(scored: DataFrame, path: str) -> None:
-    """Detail rows below one folder per run and exam, so that no run overwrites another."""
-    scored.write.mode("overwrite").partitionBy("run", "exam_name").json(path)
+    """Detail rows below one folder per run and exam. A rerun replaces itself and nothing else."""
+    _replace_own(scored, path, "run", "exam_name")
+
+
+def write_run_results(results: DataFrame, path: str) -> None:
+    """One row per run and exam, with metadata (``sweeps.run_results``); a rerun replaces itself."""
+    _replace_own(results, path, "run", "exam_name")
+
+
+def write_sweep(summary: DataFrame, counts: DataFrame, path: str, sweep: str, timestamp: str) -> None:
+    """A sweep's rows and, when they are complete, its one-row manifest; another sweep's stay.
+
+    Rows of one sweep go to files of the cluster's choice, so that the list of runs never is one value.
+    """
+    named = F.lit(sweep).alias("sweep")
+    _replace_own(summary.select("*", named), f"{path}/results", "sweep")
+    _replace_own(counts.select("*", F.lit(timestamp).alias("timestamp"), named), f"{path}/manifest", "sweep")
 
 
 def write_lengths(lengths: DataFrame, path: str) -> None:

@@ -36,3 +36,23 @@ def append_available(stream: DataFrame, path: str, checkpoint: str, fmt: str = "
         .start(path)
     )
     query.awaitTermination()
+
+
+def append_judged(responses: DataFrame, path: str, checkpoint: str, max_transforms: int = 3, written=lambda name, batch: None) -> None:
+    """Items and rejects of all responses that have arrived, below ``items`` and ``rejects``.
+
+    Both sinks get a folder per batch, which a batch that is run again after a stop replaces, so neither
+    has a row twice. Each response is judged once. ``written`` is told of each sink's batch when it is done.
+    """
+    keys = ["paragraph_index", "sentence_index"]
+
+    def each(batch: DataFrame, number: int) -> None:
+        judged = judge_bodies(batch, PACK).persist()
+        rejects = judged.filter(F.col("fault").isNotNull()).select(*keys, "fault.path", "fault.reason")
+        for name, rows in (("items", fan_out_items(judged.filter(F.col("fault").isNull()), max_transforms)), ("rejects", rejects)):
+            rows.write.mode("overwrite").json(f"{path}/{name}/batch={number}")
+            written(name, number)
+        judged.unpersist()
+
+    query = responses.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
