@@ -60,12 +60,12 @@ def test_pack_rejects(spark):
     null_item = {**PACK, "transforms": [None]}
     good, rejects = packs(spark, PACK, wrong_type, no_clause, '{"translation":', None, null_item)
     assert [r.sentence_index for r in good.collect()] == [1]
-    assert {r.sentence_index: r.reason for r in rejects.collect()} == {
-        2: "not valid JSON for the schema",
-        3: "required field missing",
-        4: "not valid JSON for the schema",
-        5: "no response",
-        6: "required field missing",
+    assert {r.sentence_index: (r.path, r.reason) for r in rejects.collect()} == {
+        2: ("$.morphosyntax[0].head", "text, not an integer"),
+        3: ("$.main_clause", "missing"),
+        4: (None, "not one JSON value"),
+        5: (None, "no response"),
+        6: ("$.transforms[0]", "null, not an object"),
     }
 
 
