@@ -122,6 +122,59 @@ def _tool_calls(calls: Column, content: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(calls, one), ""), F.lit(""))
 
 
+# In compact JSON, all up to the next separator that stands outside of strings. Possessive, so that no
+# length of text makes the matcher recurse.
+_TO_SEPARATOR = r'\G((?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^",:]++)*+)([,:])'
+_LETTERED_CONTROLS = [f"{code:04x}" for code in range(32) if not f"{code:04x}".isdigit()]
+_SURROGATES = r"\\uD[89AB][0-9A-F]{2}\\uD[C-F][0-9A-F]{2}"
+_CALL = "name STRING, arguments STRING, function STRING"
+
+
+def _as_characters(text: Column) -> Column:
+    """Pairs of escapes, which Spark's writer makes of characters beyond 16 bits, as these characters."""
+
+    def joined(piece: Column, pair: Column) -> Column:
+        character = F.from_json(F.concat(F.lit('["'), pair, F.lit('"]')), "array<string>")[0]
+        return F.concat(piece, F.coalesce(character, F.lit("")))
+
+    pieces = F.split(text, _SURROGATES)  # one more than there are pairs
+    return F.array_join(F.zip_with(pieces, F.regexp_extract_all(text, F.lit(_SURROGATES), F.lit(0)), joined), "")
+
+
+def json_layout(compact: Column) -> Column:
+    """Compact JSON with a blank after each separator, all characters but controls as they are, and
+    controls in small hex digits."""
+    spaced = F.regexp_replace(compact, _TO_SEPARATOR, "$1$2 ")
+    small = spaced
+    for code in _LETTERED_CONTROLS:
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*+)\\u{code.upper()}", rf"$1\\u{code}")
+    plain = F.when(F.contains(spaced, F.lit("\\u00")), small).otherwise(spaced)
+    return F.when(F.contains(spaced, F.lit("\\uD")), _as_characters(plain)).otherwise(plain)
+
+
+def json_calls(calls: Column) -> Column:
+    """Tool calls as JSON texts, as the (name, arguments) that ``chatml`` writes.
+
+    A call may lie in ``function``; an empty ``function`` counts as none. Arguments that are a text are
+    written as they are, all others as JSON: names in their order, to any depth. A missing or null name
+    is empty. A call that is no object, repeats a name or lacks arguments is an error.
+    """
+
+    def one(call: Column) -> Column:
+        function = F.from_json(call, _CALL)["function"]
+        own = F.when(function.isNull() | function.isin("", "{}", "[]", "false", "0"), call).otherwise(function)
+        said = F.from_json(own, _CALL)
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(own), "$.arguments", "variant"))
+        arguments = (
+            F.when(kind == "STRING", said["arguments"])
+            .when(kind.isNotNull(), json_layout(F.coalesce(said["arguments"], F.lit("null"))))
+            .otherwise(F.raise_error(F.concat(F.lit("not a tool call with arguments: "), F.coalesce(call, F.lit("null")))).cast("string"))
+        )
+        return F.struct(F.coalesce(said["name"], F.lit("")).alias("name"), arguments.alias("arguments"))
+
+    return F.transform(calls, one)
+
+
 def chatml(
     messages: Column,
     tools: Sequence[str] = (),

@@ -11,6 +11,46 @@ from tessella.operators.ordering import rank_rows
 
 BLOCK_ROWS = 65_536
 
+# What the JSON reader makes of the bare words for numbers that JSON lacks.
+BARE_NUMBERS = ("NaN", "Infinity", "-Infinity")
+EVAL_LOSS = r"^eval_(?:.+_)?loss$"
+
+
+def _is_number(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    bare = (kind == "STRING") & F.try_variant_get(value, "$", "string").isin(*BARE_NUMBERS)
+    return kind.isin("BIGINT", "FLOAT", "DOUBLE") | kind.startswith("DECIMAL") | bare
+
+
+def record_number(value: Column) -> Column:
+    """Whole or not, as a double; anything else, null and text included, is missing."""
+    return F.when(_is_number(value), F.try_variant_get(value, "$", "double"))
+
+
+def record_step(record: Column) -> Column:
+    """The step of a record; one that is no whole number is missing."""
+    step = record_number(F.try_variant_get(record, "$.step", "variant"))
+    return F.when(step == F.floor(step), F.try_variant_get(record, "$.step", "bigint"))
+
+
+def log_losses(records: DataFrame) -> DataFrame:
+    """``step``, ``loss`` and ``eval_loss`` of records (run, pos, record), each where it is a number."""
+    named = [record_number(F.try_variant_get("record", f"$.{name}", "variant")).alias(name) for name in ("loss", "eval_loss")]
+    return records.select("run", "pos", record_step(F.col("record")).alias("step"), *named)
+
+
+def log_metrics(records: DataFrame) -> DataFrame:
+    """Every number of every record that has a step, under its key: (run, pos, step, metric, value)."""
+    values = F.try_variant_get("record", "$", "map<string,variant>")
+    found = records.select("run", "pos", record_step(F.col("record")).alias("step"), F.explode(values).alias("metric", "_value"))
+    numbers = found.filter(F.col("step").isNotNull() & (F.col("metric") != "step")).withColumn("value", record_number(F.col("_value")))
+    return numbers.filter(F.col("value").isNotNull()).drop("_value")
+
+
+def eval_losses(metrics: DataFrame) -> DataFrame:
+    """The evaluation losses among ``log_metrics``; with several evaluation sets each has a key of its own."""
+    return metrics.filter(F.col("metric").rlike(EVAL_LOSS))
+
 
 def loss_series(log: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
     """Records with a step and a loss, an evaluation loss, or both, as one row per series."""

@@ -6,7 +6,7 @@ from tessella.functions import render, wording
 from tessella.functions.text import TOKEN_PATTERN, WHITESPACE, WHITESPACE_CLASS
 from tessella.operators.splits import SPLIT_PRESETS
 from tessella.plans.queries import AS_OF, BLOCK_LENGTH, MODEL_LIMIT, PACK_LENGTH, TOOLS
-from tessella.plans.views import ANSWERS, GREEK_TAIL, SWEEP_ROOT, TASK_CYCLE, VERDICTS
+from tessella.plans.views import ANSWERS, GREEK_TAIL, LOG_RECORDS, LOG_RUNS, SWEEP_ROOT, TASK_CYCLE, VERDICTS
 from tessella.sources.items import ITEM_PRESETS
 
 
@@ -383,10 +383,20 @@ pieces AS (
   FROM turns WHERE NOT (rn = 1 AND role = 'system')),
 rendered AS (SELECT conv_id, string_agg(piece, '' ORDER BY rn) AS text FROM pieces GROUP BY conv_id)
 """
+CALL = """'{"name": "lookup", "arguments": {"turn": ' || turn || '}}'"""
+SPOKEN_CALL = """'{"name": "lookup", "arguments": {"turn": ' || turn || CASE WHEN conv_id // 4 % 4 < 2
+  THEN ', "said": ' || CAST(to_json(said) AS VARCHAR) || ', "path": ["a, b", {"k: x": []}]' ELSE '' END || '}}'"""
+assert TOOL_TURNS.count(CALL) == 1
+TOOL_TEXTS = (
+    TOOL_TURNS.replace(CALL, SPOKEN_CALL)
+    .replace("  SELECT conv_id, turn, CASE WHEN conv_id % 4", "  SELECT conv_id, turn, text AS said, CASE WHEN conv_id % 4")
+    .replace("SELECT conv_id, turn, role, calls, CASE", "SELECT conv_id, turn, said, role, calls, CASE")
+)
 for name, cte in {
     "render_llama": LLAMA,
     "render_chatml": CHATML,
     "render_chatml_tools": TOOL_TURNS,
+    "render_chatml_calls": TOOL_TEXTS,
     "render_inst": INST,
     "render_fallback": FALLBACK,
 }.items():
@@ -697,3 +707,29 @@ SELECT run, series, step, value, round(CASE series
 FROM series"""
 SQL["perplexity"] = f"""WITH {SERIES}
 SELECT step, round(exp(eval_loss / 100), 6) AS perplexity, eval_loss * 4 > 709.782712893384 AS overflow FROM log"""
+FILE_LOGS = f"""
+logged AS (
+  SELECT 'u' || user_id % {LOG_RUNS} || '-' || event_id // {LOG_RECORDS} AS run, ts, event_id, event_type AS kind, value,
+    CASE WHEN event_id % 13 <> 0 THEN event_id * 20 END AS step, event_type = 'signup' AND event_id % 5 = 0 AS held FROM events),
+records AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY run ORDER BY ts, event_id) - 1 AS INTEGER) AS pos,
+    CASE WHEN kind IN ('view', 'click', 'purchase') THEN CASE WHEN event_id % 7 = 0 THEN floor(value) ELSE value END END AS loss,
+    CASE WHEN kind IN ('signup', 'purchase') AND NOT held THEN value END AS eval_loss FROM logged)
+"""
+SQL["training_log_files"] = f"""WITH {FILE_LOGS},
+series AS (
+  SELECT run, 'train' AS series, pos, step, loss AS value FROM records WHERE step IS NOT NULL AND loss IS NOT NULL
+  UNION ALL SELECT run, 'eval', pos, step, eval_loss FROM records WHERE step IS NOT NULL AND eval_loss IS NOT NULL)
+SELECT run, series, pos, step, value, round(CASE series
+  WHEN 'train' THEN avg(value) OVER (PARTITION BY run, series ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+  ELSE avg(value) OVER (PARTITION BY run, series ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END, 4) AS smoothed
+FROM series"""
+SQL["log_metrics"] = f"""WITH {FILE_LOGS},
+metrics AS (
+  SELECT run, 'loss' AS metric, pos, step, loss AS value, false AS is_eval FROM records
+  UNION ALL SELECT run, 'eval_loss', pos, step, eval_loss, true FROM records
+  UNION ALL SELECT run, 'eval_held_loss', pos, step, CASE WHEN held THEN value END, true FROM records
+  UNION ALL SELECT run, 'epoch', pos, step, event_id / 1000, false FROM records)
+SELECT * FROM metrics WHERE step IS NOT NULL AND value IS NOT NULL"""
+SQL["stream_take_all"] = "SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 0 AND text IS NOT NULL"
+SQL["stream_take_counts"] = "SELECT count(*) // 2 AS taken, true AS each_known_once, true AS within FROM documents"

@@ -439,6 +439,14 @@ def render_chatml_tools(spark, sf):
     return C.rendered(made, shaped).select("conv_id", "text")
 
 
+@query
+def render_chatml_calls(spark, sf):
+    """Calls given as JSON: plain or wrapped, arguments as texts or as objects of any depth."""
+    turns = V.tool_texts(spark, sf).withColumn("tool_calls", render.json_calls(F.col("tool_calls")))
+    shaped = render.chatml(F.col("messages"), TOOLS, has_tool_calls=True)
+    return C.rendered(C.assemble(turns, extra=("tool_calls",)), shaped).select("conv_id", "text")
+
+
 @query
 def render_inst(spark, sf):
     return C.rendered(_assembled(spark, sf), render.inst(F.col("messages"), AS_OF)).select("conv_id", "text")
@@ -818,6 +826,30 @@ def perplexity(spark, sf):
     )
 
 
+def _log_files(spark, sf):
+    folder = new_folder(spark, "logs")
+    V.training_log_bodies(spark, sf).write.partitionBy("log").text(folder)
+    return folder
+
+
+def _named_logs(df: DataFrame) -> DataFrame:
+    return df.withColumn("run", F.regexp_extract("run", "^log=(.*)$", 1))
+
+
+@query
+def training_log_files(spark, sf):
+    """Logs written as files whose records vary in their keys, read back, and smoothed in list order."""
+    series = L.loss_series(_named_logs(files.read_training_logs(spark, _log_files(spark, sf))))
+    return L.moving_average(series, 5).select("run", "series", "pos", "step", "value", F.round("smoothed", 4).alias("smoothed"))
+
+
+@query
+def log_metrics(spark, sf):
+    """All numbers of the same files by their keys, and which of them are evaluation losses."""
+    metrics = _named_logs(L.log_metrics(files.read_log_records(spark, _log_files(spark, sf))))
+    return metrics.withColumn("is_eval", F.col("metric").rlike(L.EVAL_LOSS)).select("run", "metric", "pos", "step", "value", "is_eval")
+
+
 # --- streaming -----------------------------------------------------------------------------
 
 
@@ -855,3 +887,38 @@ def stream_take(spark, sf):
     stream = spark.readStream.schema("doc_id BIGINT, text STRING").json(f"{folder}/in")
     jobs.append_available(jobs.stream_take(stream), f"{folder}/out", f"{folder}/state")
     return spark.read.schema("doc_id BIGINT, text STRING").json(f"{folder}/out")
+
+
+def _taken(spark, sf, take):
+    folder = new_folder(spark, "taken")
+    text = F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("text")
+    V.documents(spark, sf).select("doc_id", text).write.json(f"{folder}/in")
+    stream = spark.readStream.schema("doc_id BIGINT, text STRING").option("maxFilesPerTrigger", 3).json(f"{folder}/in")
+    jobs.take_available(stream, f"{folder}/out", f"{folder}/state", take)
+    return f"{folder}/out"
+
+
+@query
+def stream_take_all(spark, sf):
+    """More than there is: every document with a text, in several batches."""
+    return spark.read.schema("doc_id BIGINT, text STRING").json(f"{_taken(spark, sf, 2**62)}/rows").select("doc_id", "text")
+
+
+@query
+def stream_take_counts(spark, sf):
+    """Half of the documents, whichever arrive first: how many rows were taken, with and without a text, and whether
+    those kept are documents, each once."""
+    docs = V.documents(spark, sf)
+    folder = _taken(spark, sf, docs.count() // 2)
+    taken = spark.read.schema("n BIGINT").json(f"{folder}/taken").agg(F.sum("n").alias("taken"))
+    kept = spark.read.schema("doc_id BIGINT, text STRING").json(f"{folder}/rows")
+    same = kept.join(docs.select("doc_id", "text").hint("merge"), ["doc_id", "text"], "left_semi")
+    figures = kept.agg(F.count("*").alias("kept"), F.countDistinct("doc_id").alias("ids"))
+    parts = taken.unionByName(figures, True).unionByName(same.agg(F.count("*").alias("known")), True)
+    # Only one document in eleven has no text, so this bounds how many can have been kept.
+    least = F.col("taken") - F.lit(docs.filter("doc_id % 11 = 0 OR text IS NULL").count())
+    return parts.agg(*[F.max(c).alias(c) for c in ("taken", "kept", "ids", "known")]).select(
+        "taken",
+        ((F.col("kept") == F.col("ids")) & (F.col("kept") == F.col("known"))).alias("each_known_once"),
+        F.col("kept").between(least, F.col("taken")).alias("within"),
+    )

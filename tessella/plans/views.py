@@ -206,6 +206,27 @@ def tool_turns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tool_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same turns with their calls as JSON texts in four forms: arguments as an object or as a text, plain
+    or below ``function``. Arguments of objects hold the whole text of the turn and nested lists."""
+    said = conversations(spark, folder).select("conv_id", "turn", F.substring(F.to_json(F.array("text")), 2, 2**31 - 1).alias("_said"))
+    turns = tool_turns(spark, folder).join(said.hint("merge"), ["conv_id", "turn"])
+    inside = F.concat(
+        F.lit('{"turn":  '), "turn", F.lit(' , "said":'), F.substring("_said", F.lit(1), F.length("_said") - 1), F.lit(',"path": ["a, b",{"k: x":[ ]}]\n}')
+    )
+    text = F.to_json(F.struct(F.get("tool_calls", 0)["name"].alias("name"), F.get("tool_calls", 0)["arguments"].alias("arguments")))
+    form = F.floor(F.col("conv_id") / 4) % 4
+    first = (
+        F.when(form == 0, F.concat(F.lit('{"type":"function","function": {"name":"lookup", "arguments":'), inside, F.lit("} }")))
+        .when(form == 1, F.concat(F.lit('{"arguments": '), inside, F.lit(',"name":"lookup"}')))
+        .when(form == 2, F.concat(F.lit('{"function":'), text, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"function": {},'), F.substring(text, F.lit(2), F.length(text))))
+    )
+    second = F.lit('{"name": "count", "arguments": { }}')
+    calls = F.when(F.size("tool_calls") == 2, F.array(first, second)).when(F.size("tool_calls") == 1, F.array(first))
+    return turns.withColumn("tool_calls", calls).drop("_said")
+
+
 def item_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every user turn as a prompt, with the assistant turn right after it as target; null if there
     is none. The join key is unique on both sides, so a long conversation is no hot key."""
@@ -382,3 +403,31 @@ def training_log(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind.isin("view", "click", "purchase"), F.col("value")).alias("loss"),
         F.when(kind.isin("signup", "purchase"), F.col("value")).alias("eval_loss"),
     )
+
+
+LOG_RUNS = 40
+LOG_RECORDS = 65_536
+
+
+def training_log_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as the texts of log files, of at most ``LOG_RECORDS`` records each. The keys of records vary: some have no step, some
+    losses are whole numbers, some evaluations have a set of their own, and there are texts and nested objects."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    train, held = kind.isin("view", "click", "purchase"), (kind == "signup") & (i % 5 == 0)
+    record = F.to_json(
+        F.struct(
+            F.when(i % 13 != 0, i * 20).alias("step"),
+            F.when(train & (i % 7 != 0), F.col("value")).alias("loss"),
+            F.when(kind.isin("signup", "purchase") & ~held, F.col("value")).alias("eval_loss"),
+            F.when(held, F.col("value")).alias("eval_held_loss"),
+            (i / 1000).alias("epoch"),
+            kind.alias("note"),
+            F.struct(F.col("value").alias("norm")).alias("grad"),
+        )
+    )
+    whole = F.concat(F.lit('{"loss": '), F.floor("value").cast("string"), F.lit(", "), F.substring(record, F.lit(2), F.length(record)))
+    log = F.concat(F.lit("u"), (F.col("user_id") % LOG_RUNS).cast("string"), F.lit("-"), F.floor(i / LOG_RECORDS).cast("string"))
+    records = table(spark, folder, "events").select(log.alias("log"), "ts", "event_id", F.when(train & (i % 7 == 0), whole).otherwise(record).alias("record"))
+    listed = records.groupBy("log").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "record"))).alias("r"))
+    history = F.array_join(F.transform("r", lambda r: r["record"]), ",\n")
+    return listed.select("log", F.concat(F.lit('{"epoch": 1.0, "log_history": ['), history, F.lit("]}")).alias("value"))

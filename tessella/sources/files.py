@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.logs import log_losses
+
 EXAM_SCHEMA = "id STRING, question STRING, options MAP<STRING,STRING>, correct_answer STRING"
-LOG_SCHEMA = "log_history ARRAY<STRUCT<step: BIGINT, loss: DOUBLE, eval_loss: DOUBLE>>"
+LOG_SCHEMA = "log_history ARRAY<VARIANT>"  # the keys of records vary
 CONFIG_SCHEMA = (
     "benchmarks ARRAY<STRUCT<exam_path: STRING, preprompt_file: STRING, max_new_tokens: INT, temperature: DOUBLE>>"
 )
@@ -41,11 +43,20 @@ def read_exam_configs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("b.exam_path", STEM, 1).alias("exam_name"), "b.*")
 
 
-def read_training_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log records in list order, one log per file named by its folder; no history gives no rows."""
-    rows = spark.read.schema(LOG_SCHEMA).json(path, multiLine=True)
+def read_log_records(spark: SparkSession, path: str) -> DataFrame:
+    """Log records with whatever keys they have, in list order: (run, pos, record).
+
+    One log per file, named by its folder. No history, or an empty one, gives no rows; a file that is
+    not JSON is an error.
+    """
+    rows = spark.read.schema(LOG_SCHEMA).json(path, multiLine=True, mode="FAILFAST")
     run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    return rows.select(run.alias("run"), F.posexplode("log_history").alias("pos", "_r")).select("run", "pos", "_r.*")
+    return rows.select(run.alias("run"), F.posexplode("log_history").alias("pos", "record"))
+
+
+def read_training_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The steps and losses of ``read_log_records``."""
+    return log_losses(read_log_records(spark, path))
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

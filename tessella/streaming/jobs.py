@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.teacher import PACK, fan_out_items, judge_bodies
+from tessella.storage import cut_lineage
 
 DEFAULT_TAKE = 200
 RESPONSE_SCHEMA = "paragraph_index BIGINT, sentence_index BIGINT, sentence STRING, body STRING"
@@ -16,6 +17,49 @@ def stream_take(stream: DataFrame, take: int | None = None) -> DataFrame:
     return stream.limit(DEFAULT_TAKE if take is None else take).filter(F.col("text").isNotNull())
 
 
+def _first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows in partition order, without a task that sees them all.
+
+    The rows are kept before they are numbered for good, so that both readings see the same order.
+    """
+    at = cut_lineage(rows.withColumn("_at", F.monotonically_increasing_id()))
+    part, index = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))  # one row per partition
+    joined = at.join(F.broadcast(starts), part == F.col("_part"))
+    return joined.filter(F.col("_before") + index < n).drop("_at", "_part", "_before")
+
+
+def take_available(stream: DataFrame, path: str, checkpoint: str, take: int | None = None) -> None:
+    """``stream_take`` for any ``take``, with files of its own for every batch.
+
+    Rows with a text go below ``rows``; below ``taken`` each batch says how many rows it took, with those
+    without a text. A batch counts on from the batches before it and replaces what it left itself, so
+    a stopped run goes on where it was, in whatever batches the rest arrives. No task sees all rows.
+    """
+    spark = stream.sparkSession
+    most = DEFAULT_TAKE if take is None else take
+    # Before the first batch: nothing taken, and both folders are there to be read.
+    spark.createDataFrame([(0,)], "n long").write.mode("overwrite").json(f"{path}/taken/batch=-1")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").json(f"{path}/rows/batch=-1")
+
+    def each(batch: DataFrame, number: int) -> None:
+        earlier = spark.read.schema("n long, batch long").json(f"{path}/taken").filter(F.col("batch") < number)
+        left = most - earlier.agg(F.sum("n")).first()[0]
+        if left <= 0:
+            return
+        rows = cut_lineage(batch)
+        arrived = rows.count()
+        taken = rows if arrived <= left else _first_rows(rows, left)
+        taken.filter(F.col("text").isNotNull()).write.mode("overwrite").json(f"{path}/rows/batch={number}")
+        # Last, so that a batch that counts is whole.
+        spark.createDataFrame([(min(arrived, left),)], "n long").write.mode("overwrite").json(f"{path}/taken/batch={number}")
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def response_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     reader = spark.readStream.schema(RESPONSE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(folder)
