@@ -37,6 +37,27 @@ def eval_requests(prompts: DataFrame, configs: DataFrame) -> DataFrame:
     return join_checked(prompts, asked, ["exam_name"], ["id"])
 
 
+def configured(configs: DataFrame, preprompts: DataFrame, exams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of configurations with their preprompt, ready for ``eval_requests``, and the faulty entries.
+
+    ``configs`` has (exam_name, preprompt_file, ...), ``preprompts`` (name, preprompt), named like the file
+    without folders and extension, ``exams`` at least exam_name. An entry whose exam or preprompt file is
+    missing or not named is a fault (exam_name, preprompt_file, reason); the others go on. An empty file is
+    like a missing one. Repeated entries stay, files of one name must be one.
+    """
+    stem = F.regexp_extract("preprompt_file", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    known = exams.select("exam_name").distinct().withColumn("_exam", F.lit(True))
+    texts = preprompts.groupBy(F.col("name").alias("_stem")).agg(
+        F.when(F.count("*") == 1, F.first("preprompt")).otherwise(F.raise_error(F.concat(F.lit("several preprompt files named "), F.col("_stem")))).alias("preprompt")
+    )
+    found = configs.withColumn("_stem", stem).join(texts, "_stem", "left").join(known, "exam_name", "left")
+    reason = F.when(F.col("_exam").isNull(), "no exam file").when(F.col("preprompt").isNull(), "no preprompt file, or an empty one")
+    judged = found.withColumn("reason", reason).drop("_stem", "_exam")
+    return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull()).select(
+        "exam_name", "preprompt_file", "reason"
+    )
+
+
 def first_char(raw: Column) -> Column:
     letter = F.substring(strip(raw), 1, 1)
     return F.when(letter.isin(*LABELS), letter).otherwise(F.lit(NO_MATCH))

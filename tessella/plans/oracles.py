@@ -6,7 +6,7 @@ from tessella.functions import render, wording
 from tessella.functions.text import TOKEN_PATTERN, WHITESPACE, WHITESPACE_CLASS
 from tessella.operators.splits import SPLIT_PRESETS
 from tessella.plans.queries import AS_OF, BLOCK_LENGTH, MODEL_LIMIT, PACK_LENGTH, TOOLS
-from tessella.plans.views import ANSWERS, GREEK_TAIL, LOG_RECORDS, LOG_RUNS, SWEEP_ROOT, TASK_CYCLE, VERDICTS
+from tessella.plans.views import ANSWERS, CHUNK_DOCUMENTS, GREEK_TAIL, LOG_RECORDS, LOG_RUNS, SWEEP_ROOT, TASK_CYCLE, VERDICTS
 from tessella.sources.items import ITEM_PRESETS
 
 
@@ -612,6 +612,19 @@ SQL["eval_requests"] = f"""WITH {EXAM}, {RUNS}
 SELECT run, exam_name, id, {PROMPT} AS "user", CASE exam_name WHEN 'corpus' THEN 'Answer with one letter.' ELSE 'Choose.' END AS system,
   CASE exam_name WHEN 'corpus' THEN 20 ELSE 50 END::BIGINT AS max_new_tokens, CASE exam_name WHEN 'corpus' THEN 0.0 ELSE 0.2 END::DOUBLE AS temperature
 FROM questions CROSS JOIN runs"""
+EXAM_PARTS = f"""
+{EXAM},
+parts AS (SELECT *, CAST(substr(id, 2) AS BIGINT) // {CHUNK_DOCUMENTS} AS part, exam_name AS kind FROM questions)
+"""
+SQL["exam_files"] = f"""WITH {EXAM_PARTS}
+SELECT kind || '-' || part AS exam_name, id, question, coalesce(array_to_string(opts, chr(10)), '') AS options, correct_answer FROM parts"""
+SQL["exam_config_requests"] = f"""WITH {EXAM_PARTS}
+SELECT 'local' AS run, kind || '-' || part AS exam_name, id, {PROMPT} AS "user", CASE kind WHEN 'corpus' THEN 'Answer with one letter.' ELSE 'Choose.' END AS system,
+  CASE kind WHEN 'corpus' THEN 20 ELSE 50 END AS max_new_tokens, CASE kind WHEN 'corpus' THEN 0.0 ELSE 0.2 END::DOUBLE AS temperature
+FROM parts WHERE part % 7 <> 1"""
+SQL["exam_config_faults"] = f"""WITH {EXAM_PARTS}
+SELECT DISTINCT kind || '-' || part AS exam_name, 'texts/absent.v1.txt' AS preprompt_file, 'no preprompt file, or an empty one' AS reason FROM parts WHERE part % 7 = 1
+UNION ALL SELECT DISTINCT 'gone-' || kind || '-' || part // 64, 'texts/corpus.v1.txt', 'no exam file' FROM parts"""
 SQL["match_first_char"] = f"WITH {PREDICTIONS} SELECT run, exam_name, id, predicted_raw, predicted_answer FROM matched"
 SQL["judge_verdicts"] = f"WITH {PREDICTIONS} SELECT run, exam_name, id, predicted_raw, judged_answer AS predicted_answer FROM matched"
 JUDGE = template(

@@ -700,6 +700,43 @@ def eval_requests(spark, sf):
     return E.eval_requests(E.exam_prompts(V.exam(spark, sf)), V.eval_configs(spark, sf))
 
 
+def _exam_folder(spark, sf):
+    """Exams, configurations and preprompts as files."""
+    folder = new_folder(spark, "exams")
+    parts = V.exam_parts(spark, sf)
+    V.exam_bodies(parts).write.partitionBy("exam").text(f"{folder}/exams")
+    V.config_bodies(parts).repartition(4).write.option("maxRecordsPerFile", 1).text(f"{folder}/configs")
+    texts = spark.createDataFrame([("corpus.v1", " Answer with one letter.\n"), ("items.v1", "Choose.\n\n")], "name string, value string")
+    texts.write.partitionBy("name").text(f"{folder}/texts")
+    return folder
+
+
+@query
+def exam_files(spark, sf):
+    """Exams written as JSON array files and read again, options in their order."""
+    read = files.read_exams(spark, f"{_exam_folder(spark, sf)}/exams", "folder")
+    return read.withColumn("options", F.array_join(E.option_lines(F.col("options")), "\n"))
+
+
+def _configured(spark, sf):
+    folder = _exam_folder(spark, sf)
+    exams = files.read_exams(spark, f"{folder}/exams", "folder")
+    texts = files.read_preprompts(spark, f"{folder}/texts", "folder")
+    return exams, *E.configured(files.read_exam_configs(spark, f"{folder}/configs"), texts, exams)
+
+
+@query
+def exam_config_requests(spark, sf):
+    """Requests of one model for all exams of configuration files, with the preprompts of their files."""
+    exams, usable, _ = _configured(spark, sf)
+    return E.eval_requests(E.exam_prompts(exams), usable.withColumn("run", F.lit("local")))
+
+
+@query
+def exam_config_faults(spark, sf):
+    return _configured(spark, sf)[2]
+
+
 @query
 def match_first_char(spark, sf):
     return E.match_answers(V.predictions(spark, sf))

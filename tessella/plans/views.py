@@ -303,6 +303,37 @@ def exam(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def exam_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The questions of ``exam`` dealt out to exams of at most ``CHUNK_DOCUMENTS`` questions."""
+    part = F.floor(F.substring("id", 2, 20).cast("long") / CHUNK_DOCUMENTS)
+    return exam(spark, folder).withColumn("part", part).withColumn("exam_name", F.concat("exam_name", F.lit("-"), F.col("part").cast("string")))
+
+
+def exam_bodies(parts: DataFrame) -> DataFrame:
+    """Each exam as the text of a JSON array file: (exam, value)."""
+    asked = F.to_json(F.struct("id", "question", "options", "correct_answer"))
+    listed = parts.groupBy(F.col("exam_name").alias("exam")).agg(F.sort_array(F.collect_list(F.struct("id", asked.alias("q")))).alias("l"))
+    return listed.select("exam", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["q"]), ",\n"), F.lit("]")).alias("value"))
+
+
+def config_bodies(parts: DataFrame) -> DataFrame:
+    """Configurations of 64 exams each as file texts. Every seventh exam names a preprompt that is not there, and
+    every configuration an exam that is not."""
+    kind = F.substring_index("exam_name", "-", 1)
+    entry = F.struct(
+        F.concat(F.lit("exams/"), "exam_name", F.lit(".json")).alias("exam_path"),
+        F.concat(F.lit("texts/"), F.when(F.col("part") % 7 == 1, "absent").otherwise(kind), F.lit(".v1.txt")).alias("preprompt_file"),
+        F.when(kind == "corpus", 20).otherwise(50).alias("max_new_tokens"),
+        F.when(kind == "corpus", 0.0).otherwise(0.2).alias("temperature"),
+    )
+    listed = parts.select("exam_name", "part").distinct().groupBy(kind.alias("kind"), F.floor(F.col("part") / 64).alias("n")).agg(F.collect_list(entry).alias("e"))
+    gone = F.struct(
+        F.concat(F.lit("exams/gone-"), "kind", F.lit("-"), F.col("n").cast("string"), F.lit(".json")).alias("exam_path"),
+        F.lit("texts/corpus.v1.txt").alias("preprompt_file"), F.lit(20).alias("max_new_tokens"), F.lit(0.0).alias("temperature"),
+    )
+    return listed.select(F.to_json(F.struct(F.concat("e", F.array(gone)).alias("benchmarks"))).alias("value"))
+
+
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     """One model run per document source; some have no parameters in their name, some crashed."""
     found = documents(spark, folder).select("source").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.logs import log_losses
@@ -29,13 +29,18 @@ SWEEP_RESULT_SCHEMA = "run STRING, exam_name STRING, accuracy DOUBLE, correct BI
 MANIFEST_SCHEMA = "total_models BIGINT, successful BIGINT, failed BIGINT, timestamp STRING, sweep STRING"
 
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
+# What a file is named by: its own name without the extension, or, where Spark named it, its folder.
+NAMED_BY = {"stem": STEM, "folder": r"(?:[^/=]+=)?([^/]+)/[^/]+$"}
 
 
-def read_exams(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of JSON array files; the exam is named by the file stem, options keep their order."""
+def _name(named_by: str) -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), NAMED_BY[named_by], 1)
+
+
+def read_exams(spark: SparkSession, path: str, named_by: str = "stem") -> DataFrame:
+    """Questions of JSON array files; the exam is named by the file, options keep their order."""
     rows = spark.read.schema(EXAM_SCHEMA).json(path, multiLine=True)
-    name = F.regexp_extract(F.col("_metadata.file_name"), STEM, 1)
-    return rows.select(name.alias("exam_name"), *rows.columns)
+    return rows.select(_name(named_by).alias("exam_name"), "id", "question", "options", "correct_answer")
 
 
 def read_exam_configs(spark: SparkSession, path: str) -> DataFrame:
@@ -43,6 +48,12 @@ def read_exam_configs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("b.exam_path", STEM, 1).alias("exam_name"), "b.*")
 
 
+def read_preprompts(spark: SparkSession, path: str, named_by: str = "stem") -> DataFrame:
+    """Whole text files as (name, preprompt). Spark's scans leave out files of no bytes."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(_name(named_by).alias("name"), F.col("value").alias("preprompt"))
+
+
 def read_log_records(spark: SparkSession, path: str) -> DataFrame:
     """Log records with whatever keys they have, in list order: (run, pos, record).
 

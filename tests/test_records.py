@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import render
+from tessella.operators import exams as E
 from tessella.operators import logs as L
 from tessella.sources import files
 from tessella.streaming import jobs
@@ -71,6 +72,41 @@ def test_a_broken_log_is_an_error(spark, tmp_path):
         files.read_training_logs(spark, f"{tmp_path}/*").collect()
 
 
+# Exams, configurations and preprompts
+
+
+def test_configured_exams(spark, tmp_path):
+    for name, text in (("one.txt", " a\n"), ("two.v2.txt", "b"), ("empty.txt", ""), ("other.txt", "o")):
+        (tmp_path / name).write_text(text)
+    texts = files.read_preprompts(spark, f"{tmp_path}/*.txt")
+    assert sorted(map(tuple, texts.collect())) == [("one", " a\n"), ("other", "o"), ("two.v2", "b")]
+    entries = [("e", "x/one.txt"), ("e", "one.txt"), ("e", "two.v2.txt"), ("f", "x/none.txt"), ("f", "empty.txt"), ("f", None), ("gone", "one.txt"), ("gone", "none.txt"), (None, "one.txt")]
+    configs = spark.createDataFrame(entries, "exam_name string, preprompt_file string").withColumn("max_new_tokens", F.lit(5))
+    exams = spark.createDataFrame([("e",), ("e",), ("f",), ("unused",)], "exam_name string")
+    usable, faults = E.configured(configs, texts, exams)
+    got = sorted((r.exam_name, r.preprompt_file, r.preprompt, r.max_new_tokens) for r in usable.collect())
+    assert got == [("e", "one.txt", " a\n", 5), ("e", "two.v2.txt", "b", 5), ("e", "x/one.txt", " a\n", 5)]
+    assert sorted(map(tuple, faults.collect()), key=str) == sorted(
+        [("f", f, "no preprompt file, or an empty one") for f in ("x/none.txt", "empty.txt", None)] + [("gone", "one.txt", "no exam file"), ("gone", "none.txt", "no exam file"), (None, "one.txt", "no exam file")],
+        key=str,
+    )
+
+
+def test_two_preprompt_files_of_one_name_are_an_error(spark):
+    texts = spark.createDataFrame([("one", "a"), ("one", "b"), ("two", "c")], "name string, preprompt string")
+    configs = spark.createDataFrame([("e", "one.txt")], "exam_name string, preprompt_file string")
+    with pytest.raises(Exception, match="several preprompt files named one"):
+        E.configured(configs, texts, configs)[0].collect()
+
+
+def test_exams_named_by_folder(spark, tmp_path):
+    for folder in ("exam=a-1", "plain.b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part-0.json").write_text(json.dumps([{"id": "1", "question": "q", "options": {"b": "x", "a": "y"}, "correct_answer": "a"}]))
+    read = files.read_exams(spark, f"{tmp_path}/*", "folder").withColumn("options", F.map_keys("options"))
+    assert sorted(map(tuple, read.collect())) == [(n, "1", "q", ["b", "a"], "a") for n in ("a-1", "plain.b")]
+
+
 # Tool calls
 
 
