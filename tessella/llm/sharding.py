@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import free_name, refuse_taken
+
 SLOTS = 4096
 
 
@@ -86,20 +88,24 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Da
     return versions.filter(F.col("version") == version)
 
 
-def place(records: DataFrame, slot_map: DataFrame, sizes: DataFrame, order: list[str]) -> DataFrame:
-    """Records with their shard and their gapless position in it, from 0.
+def place(records: DataFrame, slot_map: DataFrame, sizes: DataFrame, order: list[str], into: tuple[str, str, str] = ("shard", "version", "slot")) -> DataFrame:
+    """Records with their shard, the map's version and their gapless position in the shard, from 0.
 
     The position is the rows of the shard's earlier slots plus the rank within the slot, so no
-    window holds more than one slot.
+    window holds more than one slot. ``into`` names the three new columns; a name that the records
+    have already is an error. Other columns of the records are passed through, whatever their names.
     """
+    refuse_taken(records.columns, into)
+    shard, version, slot = into
+    rows_before, in_slot = free_name(records, "rows_before"), free_name(records, "in_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slot_map.join(F.broadcast(sizes), "virtual_slot").select(
-        "virtual_slot", "shard", "version", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before")
+        "virtual_slot", F.col("shard").alias(shard), F.col("version").alias(version), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(rows_before)
     )
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(*order))
     return (
-        records.withColumn("in_slot", rank)
+        records.withColumn(in_slot, rank)
         .join(F.broadcast(offsets), "virtual_slot")
-        .withColumn("slot", (F.col("rows_before") + F.col("in_slot") - 1).cast("bigint"))
-        .drop("rows_before", "in_slot")
+        .withColumn(slot, (F.col(rows_before) + F.col(in_slot) - 1).cast("bigint"))
+        .drop(rows_before, in_slot)
     )
