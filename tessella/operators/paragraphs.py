@@ -38,11 +38,11 @@ def label_number(label: Column) -> Column:
     return F.regexp_replace(F.translate(label, DIGITS, "0123456789" * (len(DIGITS) // 10)), "^0+(?=[0-9])", "")
 
 
-def _chunk_facts(lines: DataFrame, numbered: bool | None) -> DataFrame:
+def _chunk_facts(lines: DataFrame, numbered: Column) -> DataFrame:
     """One narrow row per file and chunk: how its file is cut and how many paragraphs came before.
 
-    ``numbered`` fixes the way of cutting; None settles it per file: by numbers if there is a label
-    with text after it, in its own line or in a later line that is no label.
+    ``numbered`` fixes the way of cutting by the name of the file; null settles it per file: by numbers
+    if there is a label with text after it, in its own line or in a later line that is no label.
     """
     opened, filled = F.col("value").rlike(LABEL), ~is_blank(F.col("value"))
     tail = F.when(opened, F.regexp_extract("value", LABEL, 2))
@@ -62,9 +62,7 @@ def _chunk_facts(lines: DataFrame, numbered: bool | None) -> DataFrame:
     whole = Window.partitionBy("file")
     earlier = whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     follows = F.max(F.col("body_at")).over(whole) > F.min(F.col("label_at")).over(whole)
-    by_number = (
-        F.coalesce(F.bool_or("inline").over(whole) | follows, F.lit(False)) if numbered is None else F.lit(numbered)
-    )
+    by_number = F.coalesce(numbered, F.bool_or("inline").over(whole) | follows, F.lit(False))
     # A chunk that begins in the middle of a paragraph does not start a new one.
     running_on = (F.col("first_filled") & F.lag("last_filled").over(whole.orderBy("chunk"))).cast("long")
     merged = facts.withColumn("merged", F.coalesce(running_on, F.lit(0)))
@@ -76,7 +74,7 @@ def _chunk_facts(lines: DataFrame, numbered: bool | None) -> DataFrame:
     )
 
 
-def _paragraphs(lines: DataFrame, numbered: bool | None) -> DataFrame:
+def _paragraphs(lines: DataFrame, numbered: Column) -> DataFrame:
     """``file, ordinal, label, id, text``: one scan for the chunk facts, one for the texts.
 
     The lines are shuffled and sorted once by file and chunk, which serves the window, the join and
@@ -122,17 +120,21 @@ def numbered_paragraphs(lines: DataFrame) -> DataFrame:
 
     Labels may repeat, so the key is (file, ordinal) and the id repeats with the label.
     """
-    return _paragraphs(lines, True)
+    return _paragraphs(lines, F.lit(True))
 
 
 def blank_line_paragraphs(lines: DataFrame) -> DataFrame:
     """Paragraphs set apart by blank lines, numbered from 1 in each file."""
-    return _paragraphs(lines, False).drop("label")
+    return _paragraphs(lines, F.lit(False)).drop("label")
+
 
+def text_paragraphs(lines: DataFrame, numbered: Column | None = None) -> DataFrame:
+    """Numbered paragraphs; blank-line paragraphs for the files that have none of those.
 
-def text_paragraphs(lines: DataFrame) -> DataFrame:
-    """Numbered paragraphs; blank-line paragraphs for the files that have none of those."""
-    return _paragraphs(lines, None).drop("label")
+    A line that begins with an address or a decimal number looks like a label. ``numbered``, a condition on
+    ``file``, says for files whose form is known whether they have labels; where it is null the lines decide.
+    """
+    return _paragraphs(lines, F.lit(None).cast("boolean") if numbered is None else numbered).drop("label")
 
 
 def sentence_list(text: Column) -> Column:

@@ -47,10 +47,19 @@ def corpus_lines(spark: SparkSession, folder: str) -> DataFrame:
     return _lines(documents(spark, folder), ".txt", F.split(labelled, "\n"))
 
 
+BLANK_FILES = "_blank.TXT"
+
+
 def blank_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of files without labels: two blank lines after every document."""
+    """Lines of files without labels: two blank lines after every document. Their texts may have lines
+    that look like labels, such as those that begin with an address (see ``has_labels``)."""
     text = F.concat(F.col("text"), F.lit("\n \n"))
-    return _lines(documents(spark, folder), "_blank.TXT", F.split(text, "\n"))
+    return _lines(documents(spark, folder), BLANK_FILES, F.split(text, "\n"))
+
+
+def has_labels() -> Column:
+    """False for the files of ``blank_lines``; of all others the lines decide."""
+    return F.when(F.col("file").endswith(BLANK_FILES), F.lit(False))
 
 
 def json_lines(spark: SparkSession, folder: str) -> DataFrame:

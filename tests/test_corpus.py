@@ -52,6 +52,17 @@ def test_choice_per_file(spark, chunk):
     }
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 5])
+def test_known_form_of_a_file(spark, chunk):
+    """A line that begins with an address looks like a label; a file known to have none is cut by blank lines."""
+    texts = ["x", "", "10.0.0.1 y", "", "z"]
+    every = line_table(spark, texts, "plain.txt", chunk).unionByName(line_table(spark, texts, "open.txt", chunk))
+    known = F.when(F.col("file") == "plain.txt", F.lit(False))
+    found = {(r.file, r.id, r.text) for r in P.text_paragraphs(every, known).collect()}
+    blank = {("plain.txt", "rec0001", "x"), ("plain.txt", "rec0002", "10.0.0.1 y"), ("plain.txt", "rec0003", "z")}
+    assert found == blank | {("open.txt", "rec0010", "0.0.1 y\n\nz")}
+
+
 def by_hand(texts):
     """Numbered paragraphs by a plain loop."""
     import re
