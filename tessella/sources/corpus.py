@@ -70,14 +70,14 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
 
-def records_from_lines(lines: DataFrame) -> DataFrame:
-    """Each file by its extension: ``.jsonl`` as JSON lines, ``.txt`` as paragraphs."""
+def records_from_lines(lines: DataFrame, numbered: Column | None = None) -> DataFrame:
+    """Each file by its extension: ``.jsonl`` as JSON lines, ``.txt`` as paragraphs (``numbered`` as in ``text_paragraphs``)."""
     known = F.when(extension(F.col("file")).isin(".jsonl", ".txt"), F.col("file")).otherwise(
         F.raise_error(F.concat(F.lit("unsupported input format: "), F.col("file"))).cast("string")
     )
     checked = lines.withColumn("file", known)
     as_json = json_records(number_lines(checked.filter(extension(F.col("file")) == ".jsonl")))
-    as_text = text_paragraphs(checked.filter(extension(F.col("file")) == ".txt"))
+    as_text = text_paragraphs(checked.filter(extension(F.col("file")) == ".txt"), numbered)
     return as_json.unionByName(as_text)
 
 

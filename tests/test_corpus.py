@@ -61,6 +61,8 @@ def test_known_form_of_a_file(spark, chunk):
     found = {(r.file, r.id, r.text) for r in P.text_paragraphs(every, known).collect()}
     blank = {("plain.txt", "rec0001", "x"), ("plain.txt", "rec0002", "10.0.0.1 y"), ("plain.txt", "rec0003", "z")}
     assert found == blank | {("open.txt", "rec0010", "0.0.1 y\n\nz")}
+    mixed = every.unionByName(line_table(spark, ['{"id": "j", "text": "t"}'], "a.jsonl", chunk))
+    assert {(r.file, r.id, r.text) for r in corpus.records_from_lines(mixed, known).collect()} == found | {("a.jsonl", "j", "t")}
 
 
 def by_hand(texts):
