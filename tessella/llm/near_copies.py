@@ -1,10 +1,10 @@
 """Near copies by exact similarity: Jaccard similarity of the sets of five-word shingles, ``SIMILARITY`` or more.
 
-A copy at similarity 0.8 is about 8 of 64 fingerprint bits away, and blocks that miss no pair at such a
-radius are 3 or 4 bits wide, so nearly all pairs would be compared. Candidates come from min-hashes
-instead: ``BANDS`` keys of ``ROWS`` minima each; a pair at similarity s shares none of them with
-probability (1 - s^ROWS)^BANDS, which is 3 in a million at 0.8 and less above. Every link is then
-verified on the shingles themselves; no pair below ``SIMILARITY`` is linked.
+Fingerprints with pivot tables (``simhash.links``) name the pairs within four bits. A copy at similarity 0.8
+is about 8 of 64 bits away, and blocks that miss no pair at such a radius are 3 or 4 bits wide, so nearly all
+pairs would be compared. What four bits miss comes from min-hashes: ``BANDS`` keys of ``ROWS`` minima each; a
+pair at similarity s shares none of them with probability (1 - s^ROWS)^BANDS, which is 3 in a million at 0.8
+and less above. Every link of both is then verified on the shingles themselves; no pair below ``SIMILARITY`` is linked.
 
 Texts with the same shingles are one node, so copies never make pairs. Groups of one key are compared in
 pairs up to ``SMALL`` nodes. Beyond that every node is compared with the group's smallest; only groups
@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut_lineage
+from . import simhash
 from .common import map_texts
 from .components import components
-from .simhash import row_hash, shingle_hashes
+from .simhash import fingerprint_of, row_hash, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # a fraction, so that the test is exact
@@ -40,6 +41,18 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE)) if text else np.zeros(0, np.uint64)
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): nodes of equal fingerprints, each with the smallest, and the links between these within four bits.
+
+    A node's fingerprint is that of its set of shingles, so texts of one node have one."""
+    nodes = prints.select("node", "fp").distinct()
+    first = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.join(first, "fp").filter(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    linked = simhash.links(first).withColumnsRenamed({"a": "fp_a", "b": "fp_b"})
+    of = lambda end: first.select(F.col("fp").alias(f"fp_{end}"), F.col("first").alias(end))
+    return equal.unionByName(linked.join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b"))
+
+
 def node(hashes: np.ndarray) -> int:
     """One number for equal sets."""
     return xxhash.xxh64_intdigest(hashes.tobytes(), 1) if len(hashes) else 0
@@ -60,17 +73,18 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _with_bands(df: DataFrame, text: str) -> DataFrame:
-    """Add node and bands (none for a text without a word); the text goes."""
+    """Add node, fingerprint and bands (none for a text without a word); the text goes."""
 
     def make():
         def compute(texts):
             sets = [shingle_set(t) for t in texts]
             keys = [np.array(bands(s) if len(s) else [], np.uint64).view(np.int64) for s in sets]
-            return {"node": pa.array(np.array([node(s) for s in sets], np.uint64).view(np.int64)), "bands": pa.array(keys, pa.list_(pa.int64()))}
+            signed = lambda numbers: pa.array(np.array(numbers, np.uint64).view(np.int64))
+            return {"node": signed([node(s) for s in sets]), "fp": signed([fingerprint_of(s) for s in sets]), "bands": pa.array(keys, pa.list_(pa.int64()))}
 
         return compute
 
-    return map_texts(df, text, make, "node bigint, bands array<bigint>")
+    return map_texts(df, text, make, "node bigint, fp bigint, bands array<bigint>")
 
 
 def _with_sets(df: DataFrame, text: str) -> DataFrame:
@@ -136,8 +150,10 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", small: i
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter(F.col("n") > 1)
     shared = cut_lineage(keyed.join(sizes, "key"))
 
-    # One text of each node that shares a key.
-    wanted = prints.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    # One text of each node that has a candidate.
+    close = cut_lineage(fingerprint_pairs(prints))
+    met = shared.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node")))
+    wanted = prints.join(met.distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     chosen = texts.select("text", "row").join(wanted, "row").dropDuplicates(["node"])
     sets = cut_lineage(_with_sets(chosen.select("node", "text"), "text"))
 
@@ -145,7 +161,8 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", small: i
     other = few.select("key", F.col("a").alias("b"))
     many = shared.filter(F.col("n") > small)
     pairs = few.join(other, "key").filter(F.col("a") < F.col("b")).select("a", "b")
-    pairs = pairs.unionByName(many.filter(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct()
+    pairs = pairs.unionByName(many.filter(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    pairs = pairs.unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     linked = cut_lineage(_similar(pairs, sets))
     roots = cut_lineage(components(linked))
 
@@ -163,4 +180,4 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", small: i
 
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.drop("bands").join(grouped.join(named, "root").select("node", "component", "root"), "node").select(key, "row", "component", "root")
+    return prints.drop("bands", "fp").join(grouped.join(named, "root").select("node", "component", "root"), "node").select(key, "row", "component", "root")

@@ -61,7 +61,11 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """Each bit is 1 if more than half of the shingles' hashes have it."""
-    hashes = shingle_hashes(text, size) if text else ()
+    return fingerprint_of(shingle_hashes(text, size) if text else np.zeros(0, np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles given by their hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

@@ -67,6 +67,33 @@ def test_stage_takes_copies_that_four_bits_miss(spark):
     assert {r.doc_id for r in kept.collect()} == {1, 50}
 
 
+def groups_of(edges, members):
+    root = {m: m for m in members}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {m: find(m) for m in members}
+
+
+def test_stage_goes_by_fingerprints(spark, monkeypatch):
+    """The stage's candidates connect all nodes within four fingerprint bits."""
+    seen, plain = [], near_copies.fingerprint_pairs
+    monkeypatch.setattr(near_copies, "fingerprint_pairs", lambda prints: seen.append((prints, plain(prints))) or seen[0][1])
+    corpus_pipeline.near_duplicates(spark, rows(spark, corpus()), "").collect()
+    ((prints, pairs),) = seen
+    fps = {r.node: r.fp for r in prints.collect()}
+    close = [(a, b) for a in fps for b in fps if a < b and ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 4]
+    found = [(r.a, r.b) for r in pairs.collect()]
+    assert len(close) > 20 and set(map(tuple, map(sorted, found))) <= set(close)
+    assert groups_of(found, fps) == groups_of(close, fps)
+
+
 def test_awkward_rows(spark):
     got = near_copies.near_copies(awkward(spark)).collect()
     assert len(got) == 10
