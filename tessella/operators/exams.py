@@ -101,9 +101,13 @@ def score(exam: DataFrame, matched: DataFrame, carry: Sequence[str] = ("question
     """
     key = exam.select("exam_name", "id", F.col("correct_answer").alias("correct"), *carry)
     runs = matched.select("run", "exam_name").distinct()
-    asked = join_checked(key, runs, ["exam_name"], ["id"])
+    # What is carried is as long as a question and there is a row for every run: it joins last, so that it moves once.
+    asked = join_checked(key.select("exam_name", "id").distinct() if carry else key, runs, ["exam_name"], ["id"])
     answers = matched.select("run", "exam_name", "id", "predicted_raw", "predicted_answer").hint("merge")
     joined = asked.join(answers, ["run", "exam_name", "id"], "left")
+    if carry:
+        texts = key.withColumnsRenamed({"exam_name": "_exam", "id": "_id"}).hint("merge")
+        joined = joined.join(texts, (F.col("exam_name") == F.col("_exam")) & F.col("id").eqNullSafe(F.col("_id")))
     answer = F.coalesce("predicted_answer", F.lit(NO_MATCH))
     return joined.select(
         "run", "exam_name", "id", *carry, "predicted_raw", answer.alias("predicted_answer"), "correct",
