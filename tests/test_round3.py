@@ -188,3 +188,14 @@ def test_judged_stream_goes_on_after_a_stop(spark, tmp_path):
     assert sorted(map(tuple, items.collect())) == sorted(map(tuple, T.fan_out_items(good).select("id", "task").collect()))
     jobs.append_judged(stream, f"{tmp_path}/out", f"{tmp_path}/state")  # nothing new
     assert read(spark, schema, f"{tmp_path}/out/rejects").count() == 75
+
+
+def test_streams_write_compressed_files(spark, tmp_path):
+    body = json.dumps({"translation": 1})
+    spark.createDataFrame([(1, 1, "s", body)], jobs.RESPONSE_SCHEMA).write.json(f"{tmp_path}/in", compression=jobs.COMPRESSION)
+    jobs.append_judged(jobs.response_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
+    jobs.append_available(jobs.response_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/same", f"{tmp_path}/same-state")
+    for folder in ("out/rejects/batch=0", "same"):
+        parts = [p.name for p in (tmp_path / folder).glob("part-*")]
+        assert parts and all(name.endswith(".json.gz") for name in parts)
+    assert spark.read.json(f"{tmp_path}/out/rejects").count() == spark.read.json(f"{tmp_path}/same").count() == 1
