@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import compute_once
 from tessella.functions.text import SPECIAL_TOKEN, right_strip, strip, words
-from tessella.operators.ordering import before_by_integer, is_dense, join_checked, rank_rows
+from tessella.operators import ordering
+from tessella.operators.ordering import before_by_integer, is_dense, rank_rows
+from tessella.storage import kept
+
+BUCKET_BYTES = 1 << 24
 
 
 def read_texts(df: DataFrame, key: str) -> DataFrame:
@@ -40,11 +46,12 @@ def token_blocks(texts: DataFrame, length: int) -> DataFrame:
 def id_blocks(encoded: DataFrame, length: int) -> DataFrame:
     """Blocks of ``length`` ids over all id lists (``key``, ``ids``) in key order, with their mask; the
     same cut as ``token_blocks``, so block by block the ids of its tokens."""
-    counted = encoded.select("key", F.size("ids").cast("long").alias("n"), "ids")
-    if not is_dense(encoded, "key"):
+    # Read several times, for the keys, their chunks and the ids.
+    counted = kept(encoded.select("key", F.size("ids").cast("long").alias("n"), F.col("ids").cast("array<int>").alias("ids")), "ids")
+    if not is_dense(counted, "key"):
         counted = rank_rows(counted, ["key", "ids"], "_ord").drop("key").withColumnRenamed("_ord", "key")
     cut = _cut(counted, F.col("ids"), length)
-    return with_attention_mask(cut.select("block_id", F.col("values").cast("array<int>").alias("input_ids")), length)
+    return with_attention_mask(cut.select("block_id", F.col("values").alias("input_ids")), length)
 
 
 def _cut(counted: DataFrame, values: Column, length: int) -> DataFrame:
@@ -114,21 +121,51 @@ def build_vocabulary(texts: DataFrame) -> DataFrame:
 def encode(texts: DataFrame, vocabulary: DataFrame, unknown: int | None = None) -> DataFrame:
     """Texts as id lists, one row per text; an empty text has an empty list.
 
-    A token that the vocabulary lacks gets the id ``unknown``; without one it is an error. Texts are dealt
-    out by key before they are cut, so with a vocabulary that can be broadcast (its size is measured) tokens
-    never leave their task. A larger one is joined with salted keys, because frequent tokens are hot.
+    A token that the vocabulary lacks gets the id ``unknown``; without one it is an error.
     """
-    exploded = _listed_words(texts.repartition("key")).select("key", F.posexplode_outer("words").alias("pos", "token"))
-    found = join_checked(exploded, vocabulary, ["token"], ["key", "pos"], "left")
+    found = _look_up(texts.select("key", "text"), "text", words, "token", vocabulary, "id", F.octet_length("text"))
     missing = F.raise_error(F.concat(F.lit("token not in the vocabulary: "), "token")).cast("long")
     coded = F.coalesce("id", F.lit(unknown).cast("long") if unknown is not None else missing)
     return _gathered(found, ["key"], coded, "ids")
 
 
+def _look_up(rows: DataFrame, packed: str, items: Callable[[Column], Column], name: str, vocabulary: DataFrame, wanted: str, size: Column) -> DataFrame:
+    """Every item of every row with what the vocabulary has for it: the other columns, ``pos``, ``name``, ``wanted``.
+
+    ``items`` makes the list of a row from its column ``packed``. Rows are dealt out by key. With a vocabulary
+    that can be broadcast (its size is measured) items never leave their task. Beyond that, buckets of keys take
+    about ``BUCKET_BYTES`` of rows each, ``size`` being a row's bytes: only the different items of a bucket are
+    joined with the vocabulary, come back to their bucket as its dictionary, and meet the items there. So rows
+    move packed as they are, and no item moves once for each time it occurs.
+    """
+    by = [c for c in rows.columns if c != packed]
+    if ordering.table_bytes(vocabulary) <= ordering.BROADCAST_BYTES:
+        listed = compute_once(rows.repartition("key"), "_items", items(F.col(packed)))
+        exploded = listed.select(*by, F.posexplode_outer("_items").alias("pos", name))
+        return exploded.join(F.broadcast(vocabulary.select(name, wanted)), name, "left")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    buckets = max(cores, (rows.agg(F.sum(size)).first()[0] or 0) // BUCKET_BYTES + 1)
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    different = compute_once(dealt.repartition(buckets, "_bucket").select("_bucket", packed), "_items", F.array_distinct(items(F.col(packed))))
+    asked = different.select("_bucket", F.explode("_items").alias(name)).distinct()
+    entries = asked.join(vocabulary.select(name, wanted).hint("merge"), name)
+    types = {**dict(rows.dtypes), **dict(vocabulary.dtypes)}
+    none = lambda c: F.lit(None).cast(types[c]).alias(c)
+    both = dealt.select("_bucket", *by, packed, none(name), none(wanted), F.lit(False).alias("_entry")).unionByName(
+        entries.select("_bucket", *[none(c) for c in (*by, packed)], name, wanted, F.lit(True).alias("_entry"))
+    )
+    each = F.when(F.col("_entry"), F.array(name)).otherwise(items(F.col(packed)))
+    listed = compute_once(both.repartition(buckets, "_bucket"), "_items", each).drop(name)
+    exploded = listed.select("_bucket", *by, F.posexplode_outer("_items").alias("pos", name), wanted, "_entry")
+    same = Window.partitionBy("_bucket", name)
+    return exploded.withColumn(wanted, F.max(wanted).over(same)).filter(~F.col("_entry")).drop("_entry")
+
+
 def _gathered(found: DataFrame, by: list[str], value: Column, out: str) -> DataFrame:
     """The values of each group in order of ``pos``; a null ``pos`` stands for an empty list."""
     part = F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("value")))
-    grouped = found.groupBy(*by).agg(F.sort_array(F.collect_list(part)).alias("_parts"))
+    # The rows of a bucket lie together, so with it they are grouped where they are.
+    grouped = found.groupBy(*[c for c in ("_bucket",) if c in found.columns], *by).agg(F.sort_array(F.collect_list(part)).alias("_parts"))
     return grouped.select(*by, F.transform("_parts", lambda x: x["value"]).alias(out))
 
 
@@ -137,12 +174,14 @@ def decode(ids: DataFrame, vocabulary: DataFrame, skip_special: bool = False, un
     or ``as_rows`` made rows of them. Other shapes are an error.
 
     An id that the vocabulary lacks becomes the token ``unknown``; without one it is an error. A row
-    without ids, or with special tokens only, is an empty text. As in ``encode``, tokens stay in their task.
+    without ids, or with special tokens only, is an empty text. Tokens are looked up as in ``encode``.
     """
     rows = as_rows(ids, "key", "ids") if _depth(ids, "ids") == 2 else ids
     by = [c for c in ("key", "row") if c in rows.columns]
-    exploded = compute_once(rows.repartition("key"), "ids", F.col("ids")).select(*by, F.posexplode_outer("ids").alias("pos", "id"))
-    found = join_checked(exploded, vocabulary, ["id"], [*by, "pos"], "left")
+    listed = rows.select(*by, F.col("ids").cast("array<bigint>").alias("ids"))
+    if ordering.table_bytes(vocabulary) > ordering.BROADCAST_BYTES:
+        listed = kept(listed, "lists")  # read for its size, its dictionaries and its ids
+    found = _look_up(listed, "ids", lambda ids: ids, "id", vocabulary, "token", F.size("ids") * 8)
     missing = F.raise_error(F.concat(F.lit("id not in the vocabulary: "), F.col("id").cast("string"))).cast("string")
     token = F.coalesce("token", F.lit(unknown) if unknown is not None else missing)
     listed = _gathered(found, by, token, "_t")

@@ -62,6 +62,25 @@ def test_encode_and_decode(spark, limit, monkeypatch):
     assert plain[3] == ("the " * 40 + "x3")
 
 
+def test_large_vocabulary_is_looked_up_by_buckets(spark, monkeypatch):
+    """With a vocabulary beyond the broadcast: the same ids and texts."""
+    monkeypatch.setattr(O, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(B, "BUCKET_BYTES", 512)
+    rows = [(None, "the z"), (-5, ""), (-6, "   "), *[(i, "the " * 40 + f"x{i % 5} <|end|>") for i in range(50)]]
+    source = spark.createDataFrame(rows, "key long, text string")
+    vocab = B.build_vocabulary(source)
+    ids = {r.token: r.id for r in vocab.collect()}
+    coded = B.encode(source, vocab)
+    assert {r.key: r.ids for r in coded.collect()} == {k: [ids[w] for w in t.split()] for k, t in rows}
+    assert {r.key: r.text for r in B.decode(coded, vocab).collect()} == {k: " ".join(t.split()) for k, t in rows}
+    nested = coded.select("key", F.array("ids", F.slice("ids", 1, 1)).alias("ids"))
+    assert {(r.key, r.row): r.text for r in B.decode(nested, vocab).collect()} == {(k, n): " ".join(t.split()[: 1 if n else None]) for k, t in rows for n in (0, 1)}
+    few = vocab.filter("token <> 'the'")
+    assert {r.key: r.ids for r in B.encode(source, few, unknown=99).collect()} == {k: [99 if w == "the" else ids[w] for w in t.split()] for k, t in rows}
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        B.encode(source, few).collect()
+
+
 def test_id_shapes(spark):
     flat = spark.createDataFrame([(1, [3, 4])], "k long, ids array<int>")
     assert [(r.row, r.ids) for r in B.as_rows(flat, "k", "ids").collect()] == [(0, [3, 4])]
