@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,9 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     Nothing is copied through the explode of a one-element array, which costs next to nothing.
     """
     return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often ``use`` names it. For expressions inside
+    one another, where ``compute_once`` has no column to add."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,25 +57,42 @@ def teacher_requests(sentences: DataFrame, model: str = wording.TEACHER_MODEL) -
     )
 
 
+def _bare_fault(reason: str) -> Column:
+    return F.struct(F.lit(None).cast("string").alias("path"), F.lit(reason).alias("reason"))
+
+
 def judge_bodies(df: DataFrame, kind: Record) -> DataFrame:
     """Adds ``pack``, the body as its description has it, and ``fault`` (path, reason), null if there is none."""
     silent = with_body(df.withColumn("_silent", F.col("body").isNull()), "body", "_value").drop("body")
     typed = compute_once(silent, "pack", typed_value(F.col("_value"), kind))
-    bare = lambda reason: F.struct(F.lit(None).cast("string").alias("path"), F.lit(reason).alias("reason"))
     fault = (
-        F.when(F.col("_silent"), bare("no response"))
-        .when(F.col("_value").isNull(), bare("not one JSON value"))
+        F.when(F.col("_silent"), _bare_fault("no response"))
+        .when(F.col("_value").isNull(), _bare_fault("not one JSON value"))
         .otherwise(first_fault(F.col("_value"), F.col("pack"), kind))
     )
     return compute_once(typed, "fault", fault).drop("_value", "_silent")
 
 
-def _judged(requests: DataFrame, responses: DataFrame, keys: Sequence[str], kind: Record) -> tuple[DataFrame, DataFrame]:
+Wanted = Callable[[Column], Sequence[Column]]
+
+
+def _judged(
+    requests: DataFrame, responses: DataFrame, keys: Sequence[str], kind: Record, wanted: Wanted | None = None
+) -> tuple[DataFrame, DataFrame]:
+    # Bodies are judged where they are read, as they are many times the size of the requests. Only what a
+    # caller uses of the sound ones, or the faults, meets the requests.
     # Both sides grow with the corpus. Without the hint a small-looking estimate for the response
-    # side (it is unnested text) could make the optimizer broadcast all bodies.
-    judged = judge_bodies(requests.join(responses.hint("merge"), list(keys), "left"), kind)
-    good = judged.filter(F.col("fault").isNull()).drop("fault")
-    return good, judged.filter(F.col("fault").isNotNull()).select(*keys, "fault.path", "fault.reason")
+    # side (it is unnested text) could make the optimizer broadcast all packs.
+    judged = judge_bodies(responses, kind)
+    sound = judged.filter(F.col("fault").isNull()).drop("fault")
+    if wanted is not None:
+        sound = compute_once(sound, "_made", F.struct(*wanted(F.col("pack")))).select(*keys, "_made.*")
+    good = requests.join(sound.hint("merge"), list(keys))
+    faults = judged.select(*keys, F.lit(True).alias("_answered"), "fault")
+    met = requests.select(*keys).join(faults.hint("merge"), list(keys), "left")
+    fault = F.when(F.col("_answered").isNull(), _bare_fault("no response")).otherwise(F.col("fault"))
+    rejects = met.select(*keys, fault.alias("fault")).filter(F.col("fault").isNotNull())
+    return good, rejects.select(*keys, "fault.path", "fault.reason")
 
 
 def parse_segmentations(requests: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,9 +114,13 @@ def parse_segmentations(requests: DataFrame, responses: DataFrame) -> tuple[Data
     return segments, rejects
 
 
-def parse_teacher_packs(requests: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid packs and rejects, one row per sentence; a bad response costs only its sentence."""
-    return _judged(requests, responses, ["paragraph_index", "sentence_index"], PACK)
+def parse_teacher_packs(requests: DataFrame, responses: DataFrame, wanted: Wanted | None = None) -> tuple[DataFrame, DataFrame]:
+    """Valid packs and rejects, one row per sentence; a bad response costs only its sentence.
+
+    ``wanted`` makes columns from the column ``pack``. They stand in its place and are made before the requests
+    are joined: a pack is many times the size of its sentence, what is made of it often is not.
+    """
+    return _judged(requests, responses, ["paragraph_index", "sentence_index"], PACK, wanted)
 
 
 def morph_table(tokens: Column) -> Column:
@@ -112,19 +133,28 @@ def morph_table(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, line), "\n")
 
 
-def _item(suffix: Column, task: str, prompt: Column, target: Column, transform: Column | None = None) -> Column:
+# Prompts that hold the sentence; those of the rewrites come with the pack.
+SENTENCE_PROMPTS = {
+    "translate": wording.TRANSLATE_PROMPT,
+    "morphosyntax": wording.MORPH_PROMPT,
+    "main_clause": wording.CLAUSE_PROMPT,
+    "complement_identification": wording.COMPLEMENT_PROMPT,
+}
+
+
+def _item(suffix: Column, task: str, target: Column, prompt: Column | None = None, transform: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
     return F.struct(
         suffix.alias("suffix"),
         F.lit(task).alias("task"),
-        prompt.alias("prompt"),
+        (none if prompt is None else prompt).alias("prompt"),
         target.alias("target"),
-        (transform if transform is not None else F.lit(None).cast("string")).alias("transform"),
+        (none if transform is None else transform).alias("transform"),
     )
 
 
-def fan_out_items(packs: DataFrame, max_transforms: int = 3, tasks: Sequence[str] = TASKS) -> DataFrame:
-    """Four to ``4 + max_transforms`` items per pack, in a fixed order. Narrow: one explode."""
-    sentence, pack = F.col("sentence"), F.col("pack")
+def item_parts(pack: Column, max_transforms: int = 3, tasks: Sequence[str] = TASKS) -> Column:
+    """The items of a pack in a fixed order, as a list, without the prompts that hold the sentence."""
     info = pack["complement_info"]
     complements = F.when(
         info["has_complements"],
@@ -135,56 +165,47 @@ def fan_out_items(packs: DataFrame, max_transforms: int = 3, tasks: Sequence[str
         head, tail = wording.TRANSFORM_PROMPT.split("{type}")
         middle, end = tail.split("{source}")
         prompt = F.concat(F.lit(head), t["type"], F.lit(middle), t["source_latin"], F.lit(end))
-        return _item(F.format_string("x.%02d", i + 1), "transform", prompt, strip(t["target_latin"]), t["type"])
+        return _item(F.format_string("x.%02d", i + 1), "transform", strip(t["target_latin"]), prompt, t["type"])
+
+    def single(suffix: str, task: str, target: Column) -> Column:
+        return F.array(_item(F.lit(suffix), task, target))
 
     builders = {
-        "translate": lambda: F.array(
-            _item(
-                F.lit("t.translate"),
-                "translate",
-                fill(wording.TRANSLATE_PROMPT, "sentence", sentence),
-                strip(pack["translation"]["idiomatic_en"]),
-            )
-        ),
-        "morphosyntax": lambda: F.array(
-            _item(
-                F.lit("a.morphosyntax"),
-                "morphosyntax",
-                fill(wording.MORPH_PROMPT, "sentence", sentence),
-                morph_table(pack["morphosyntax"]),
-            )
-        ),
+        "translate": lambda: single("t.translate", "translate", strip(pack["translation"]["idiomatic_en"])),
+        "morphosyntax": lambda: single("a.morphosyntax", "morphosyntax", morph_table(pack["morphosyntax"])),
         "transform": lambda: F.transform(F.slice(pack["transforms"], 1, max_transforms), transform_item),
-        "main_clause": lambda: F.array(
-            _item(
-                F.lit("c.main_clause"),
-                "main_clause",
-                fill(wording.CLAUSE_PROMPT, "sentence", sentence),
-                strip(pack["main_clause"]["clause"]),
-            )
-        ),
-        "complement_identification": lambda: F.array(
-            _item(
-                F.lit("c.complements"),
-                "complement_identification",
-                fill(wording.COMPLEMENT_PROMPT, "sentence", sentence),
-                complements,
-            )
-        ),
+        "main_clause": lambda: single("c.main_clause", "main_clause", strip(pack["main_clause"]["clause"])),
+        "complement_identification": lambda: single("c.complements", "complement_identification", complements),
     }
-    wanted = [builders[t]() for t in TASKS if t in tasks]
-    built = compute_once(packs, "_items", F.concat(*wanted))
-    exploded = built.select("paragraph_index", "sentence_index", F.explode("_items").alias("item"))
+    return F.concat(*[builders[t]() for t in TASKS if t in tasks])
+
+
+def _explode_parts(parts: DataFrame) -> DataFrame:
+    exploded = parts.select("paragraph_index", "sentence_index", "sentence", F.explode("_items").alias("item"))
     stem = F.format_string("p%04d.s%02d.", F.col("paragraph_index").cast("long"), F.col("sentence_index").cast("long"))
+    prompt = F.when(F.col("item.task") == "transform", F.col("item.prompt"))
+    for task, template in SENTENCE_PROMPTS.items():
+        prompt = prompt.when(F.col("item.task") == task, fill(template, "sentence", F.col("sentence")))
     return exploded.select(
         F.concat(stem, F.col("item.suffix")).alias("id"),
         "item.task",
-        "item.prompt",
+        prompt.alias("prompt"),
         "item.target",
         F.struct(F.struct("paragraph_index", "sentence_index").alias("source"), F.col("item.transform")).alias("meta"),
     )
 
 
+def fan_out_items(packs: DataFrame, max_transforms: int = 3, tasks: Sequence[str] = TASKS) -> DataFrame:
+    """Four to ``4 + max_transforms`` items per pack, in a fixed order. Narrow: one explode."""
+    return _explode_parts(compute_once(packs, "_items", item_parts(F.col("pack"), max_transforms, tasks)))
+
+
+def teacher_items(requests: DataFrame, responses: DataFrame, max_transforms: int = 3, tasks: Sequence[str] = TASKS) -> DataFrame:
+    """The items of ``fan_out_items`` from requests and responses. Targets meet the sentences, not whole packs."""
+    parts = lambda pack: [item_parts(pack, max_transforms, tasks).alias("_items")]
+    return _explode_parts(parse_teacher_packs(requests, responses, parts)[0])
+
+
 def teacher_summary(paragraphs: DataFrame, sentences: DataFrame, items: DataFrame) -> DataFrame:
     """Paragraphs taken and sentences tried (failures included), and items made, as one row."""
     names = ["paragraphs", "sentences", "items"]

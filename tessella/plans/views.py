@@ -190,7 +190,11 @@ def with_teacher_bodies(sents: DataFrame) -> DataFrame:
 
 
 def teacher_responses(spark: SparkSession, folder: str) -> DataFrame:
-    return with_teacher_bodies(sentences(spark, folder)).select("paragraph_index", "sentence_index", "body")
+    """Sentences are dealt out by key before bodies, many times their size, are made of them: a long document is
+    many tasks' work, and a join by the same keys need not move what is made of the bodies."""
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = sentences(spark, folder).repartition(shares, "paragraph_index", "sentence_index")
+    return with_teacher_bodies(dealt).select("paragraph_index", "sentence_index", "body")
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
