@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.columns import compute_once
 from tessella.functions.text import drop_bad_bytes, is_blank
 from tessella.operators.paragraphs import record_id, text_paragraphs
-from tessella.sources.lines import number_lines, number_scanned, scan_lines
+from tessella.sources.lines import number_lines, number_scanned, scan_bundles, scan_lines
 
 JSON_OBJECT = "map<string,variant>"
 
@@ -85,17 +85,18 @@ def read_corpus_jsonl(spark: SparkSession, path: str, on_error: str = "fail") ->
     return json_records(number_scanned(scan_lines(spark, path)), on_error)
 
 
-def read_corpus_text(spark: SparkSession, path: str) -> DataFrame:
-    return text_paragraphs(scan_lines(spark, path))
+def read_corpus_text(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """Paragraphs of text files; ``bundled`` files lie in those of ``lines.write_bundles``."""
+    return text_paragraphs(scan_bundles(spark, path) if bundled else scan_lines(spark, path))
 
 
-def read_plain_text(spark: SparkSession, path: str) -> DataFrame:
+def read_plain_text(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
     """Text files as they are, for token blocks: one row per line, ``key`` running over all files.
 
     Bytes that cannot be decoded are left out. White space does not matter to the blocks, so lines
-    need not be joined again.
+    need not be joined again. ``bundled`` as in ``read_corpus_text``; the order is by the names of the files.
     """
-    numbered = number_scanned(scan_lines(spark, path), within=())
+    numbered = number_scanned(scan_bundles(spark, path) if bundled else scan_lines(spark, path), within=())
     return numbered.select((F.col("line_no") - 1).alias("key"), drop_bad_bytes(F.col("value")).alias("text"))
 
 
