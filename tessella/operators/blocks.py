@@ -38,9 +38,12 @@ def token_blocks(texts: DataFrame, length: int) -> DataFrame:
     counted = _listed_words(texts).select(
         "key", F.size("words").cast("long").alias("n"), F.array_join("words", " ").alias("body")
     )
-    if not is_dense(texts, "key"):
+    counted = kept(counted, "words")  # read for the keys, their chunks and the words
+    if not is_dense(counted, "key"):
         counted = rank_rows(counted, ["key", "body"], "_ord").drop("key").withColumnRenamed("_ord", "key")
-    return _cut(counted, F.split("body", " "), length).withColumnRenamed("values", "tokens")
+    # Pieces move as texts, which are half the size of lists of tokens.
+    pack, unpack = lambda part: F.array_join(part, " "), lambda parts: F.split(F.array_join(parts, " "), " ")
+    return _cut(counted, "body", F.split("body", " "), length, pack, unpack).withColumnRenamed("values", "tokens")
 
 
 def id_blocks(encoded: DataFrame, length: int) -> DataFrame:
@@ -50,24 +53,33 @@ def id_blocks(encoded: DataFrame, length: int) -> DataFrame:
     counted = kept(encoded.select("key", F.size("ids").cast("long").alias("n"), F.col("ids").cast("array<int>").alias("ids")), "ids")
     if not is_dense(counted, "key"):
         counted = rank_rows(counted, ["key", "ids"], "_ord").drop("key").withColumnRenamed("_ord", "key")
-    cut = _cut(counted, F.col("ids"), length)
+    cut = _cut(counted, "ids", F.col("ids"), length, lambda part: part, F.flatten)
     return with_attention_mask(cut.select("block_id", F.col("values").alias("input_ids")), length)
 
 
-def _cut(counted: DataFrame, values: Column, length: int) -> DataFrame:
-    """Blocks of ``values``, arrays of ``n`` entries in the order of the dense integer ``key``."""
+def _cut(
+    counted: DataFrame, packed: str, values: Column, length: int, pack: Callable[[Column], Column], unpack: Callable[[Column], Column]
+) -> DataFrame:
+    """Blocks of ``values``, arrays of ``n`` entries in the order of the dense integer ``key``.
+
+    Pieces of them move as ``pack`` makes them, and ``unpack`` makes one array of a list of these. The column
+    ``packed`` has whole rows in that form; rows that lie within one block move as they are and are not cut.
+    """
     placed = before_by_integer(counted, "key", "n", "start").filter(F.col("n") > 0)
     start, end = F.col("start"), F.col("start") + F.col("n")
-    listed = compute_once(placed.select(start.alias("start"), end.alias("end"), values.alias("words")), "words", F.col("words"))
     size = F.lit(length).cast("long")
+    first, last = F.floor(start / size).cast("long"), F.floor((end - 1) / size).cast("long")
+    cut_up = F.when(first < last, values)
+    listed = compute_once(placed.select(start.alias("start"), end.alias("end"), F.col(packed).alias("whole"), cut_up.alias("words")), "words", F.col("words"))
 
     def piece(block: Column) -> Column:
         low = F.greatest(block * size, F.col("start"))
         high = F.least((block + 1) * size, F.col("end"))
+        part = pack(F.slice("words", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")))
         return F.struct(
             block.alias("block_id"),
             low.alias("low"),
-            F.slice("words", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("part"),
+            F.when(F.col("words").isNull(), F.col("whole")).otherwise(part).alias("part"),
         )
 
     first = F.floor(F.col("start") / size).cast("long")
@@ -75,8 +87,8 @@ def _cut(counted: DataFrame, values: Column, length: int) -> DataFrame:
     cut = compute_once(listed, "_pieces", F.transform(F.sequence(first, last), piece))
     pieces = cut.select(F.explode("_pieces").alias("p")).select("p.*")
     joined = pieces.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("low", "part"))).alias("_parts"))
-    tokens = F.flatten(F.transform("_parts", lambda x: x["part"]))
-    return joined.select("block_id", tokens.alias("values")).filter(F.size("values") == length)
+    tokens = unpack(F.transform("_parts", lambda x: x["part"]))
+    return compute_once(joined, "values", tokens).select("block_id", "values").filter(F.size("values") == length)
 
 
 def require_blocks(blocks: DataFrame) -> DataFrame:

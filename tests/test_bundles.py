@@ -1,4 +1,4 @@
-"""Many small text files in few bundles."""
+"""Many small text files in few bundles, and token blocks that read their texts once."""
 
 import glob
 import os
@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.operators import blocks as B
 from tessella.operators import paragraphs as P
 from tessella.plans import queries as Q
 from tessella.plans import views as V
@@ -74,3 +75,17 @@ def test_files_of_odd_documents_equal_their_sql(spark, tmp_path):
         got = sorted(tuple(r) for r in Q.QUERIES[name](spark, str(tmp_path)).collect())
         assert got == sorted(db.sql(SQL[name]).fetchall()), name
         assert got
+
+
+def test_token_blocks_read_their_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    texts = spark.range(500).select(F.col("id").alias("key"), F.udf(count, "string")(F.concat(F.lit("a b c d "), "id")).alias("text"))
+    made = B.token_blocks(texts, 100).orderBy("block_id").collect()
+    assert [len(r.tokens) for r in made] == [100] * 25
+    assert made[0].tokens[:10] == ["a", "b", "c", "d", "0", "a", "b", "c", "d", "1"]
+    assert seen.value == 500
