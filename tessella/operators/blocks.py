@@ -38,12 +38,14 @@ def token_blocks(texts: DataFrame, length: int) -> DataFrame:
     counted = _listed_words(texts).select(
         "key", F.size("words").cast("long").alias("n"), F.array_join("words", " ").alias("body")
     )
-    counted = kept(counted, "words")  # read for the keys, their chunks and the words
-    if not is_dense(counted, "key"):
+    if is_dense(texts, "key"):
+        sizes = kept(counted.select("key", "n"), "sizes")  # narrow, and read for several levels of totals
+    else:
         counted = rank_rows(counted, ["key", "body"], "_ord").drop("key").withColumnRenamed("_ord", "key")
+        sizes = counted
     # Pieces move as texts, which are half the size of lists of tokens.
     pack, unpack = lambda part: F.array_join(part, " "), lambda parts: F.split(F.array_join(parts, " "), " ")
-    return _cut(counted, "body", F.split("body", " "), length, pack, unpack).withColumnRenamed("values", "tokens")
+    return _cut(counted, sizes, "body", F.split("body", " "), length, pack, unpack).withColumnRenamed("values", "tokens")
 
 
 def id_blocks(encoded: DataFrame, length: int) -> DataFrame:
@@ -53,19 +55,25 @@ def id_blocks(encoded: DataFrame, length: int) -> DataFrame:
     counted = kept(encoded.select("key", F.size("ids").cast("long").alias("n"), F.col("ids").cast("array<int>").alias("ids")), "ids")
     if not is_dense(counted, "key"):
         counted = rank_rows(counted, ["key", "ids"], "_ord").drop("key").withColumnRenamed("_ord", "key")
-    cut = _cut(counted, "ids", F.col("ids"), length, lambda part: part, F.flatten)
+    cut = _cut(counted, counted, "ids", F.col("ids"), length, lambda part: part, F.flatten)
     return with_attention_mask(cut.select("block_id", F.col("values").alias("input_ids")), length)
 
 
 def _cut(
-    counted: DataFrame, packed: str, values: Column, length: int, pack: Callable[[Column], Column], unpack: Callable[[Column], Column]
+    counted: DataFrame,
+    sizes: DataFrame,
+    packed: str,
+    values: Column,
+    length: int,
+    pack: Callable[[Column], Column],
+    unpack: Callable[[Column], Column],
 ) -> DataFrame:
-    """Blocks of ``values``, arrays of ``n`` entries in the order of the dense integer ``key``.
+    """Blocks of ``values``, arrays of ``n`` entries in the order of the dense integer ``key``; ``sizes`` has each ``key`` and ``n``.
 
     Pieces of them move as ``pack`` makes them, and ``unpack`` makes one array of a list of these. The column
     ``packed`` has whole rows in that form; rows that lie within one block move as they are and are not cut.
     """
-    placed = before_by_integer(counted, "key", "n", "start").filter(F.col("n") > 0)
+    placed = before_by_integer(counted, "key", "n", "start", weights=sizes).filter(F.col("n") > 0)
     start, end = F.col("start"), F.col("start") + F.col("n")
     size = F.lit(length).cast("long")
     first, last = F.floor(start / size).cast("long"), F.floor((end - 1) / size).cast("long")

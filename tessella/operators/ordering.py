@@ -61,20 +61,22 @@ def running_total(
 
 
 def before_by_integer(
-    df: DataFrame, key: str, weight: str, out: str, group: Sequence[str] = (), levels: int = 2
+    df: DataFrame, key: str, weight: str, out: str, group: Sequence[str] = (), levels: int = 2, weights: DataFrame | None = None
 ) -> DataFrame:
     """Sum of ``weight`` over all smaller keys of the group.
 
     ``key`` is a unique, non-negative and fairly dense integer (``rank_rows`` makes one from any
     other order). A chunk is 1,024 neighbouring keys, so it cannot hold more rows than that; the
-    chunk totals are chunked again, which leaves one row per million keys for the last window.
+    chunk totals are chunked again, which leaves one row per million keys for the last window. They
+    are taken from ``weights``, a table of the same keys and weights, if it is given.
     """
     if levels == 0:
         earlier = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(weight).over(earlier), F.lit(0)).cast("long"))
     chunk = f"_chunk{levels}"
-    chunked = df.withColumn(chunk, F.shiftright(F.col(key).cast("long"), CHUNK_BITS))
-    totals = chunked.groupBy(*group, chunk).agg(F.sum(weight).alias("_t"))
+    number = F.shiftright(F.col(key).cast("long"), CHUNK_BITS)
+    chunked = df.withColumn(chunk, number)
+    totals = (df if weights is None else weights).withColumn(chunk, number).groupBy(*group, chunk).agg(F.sum(weight).alias("_t"))
     carry = before_by_integer(totals, chunk, "_t", f"_carry{levels}", group, levels - 1).drop("_t")
     inner = Window.partitionBy(*group, chunk).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (

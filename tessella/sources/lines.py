@@ -40,11 +40,11 @@ def write_bundles(lines: DataFrame, path: str) -> None:
     """A line table of very many small files (``file``, ``chunk``, ``pos``, ``value``) as few text files.
 
     Each line begins with the name of its file (URL-encoded, so it holds no tab) and a tab. The lines of one file
-    lie together, in order, in one bundle. A file of its own is made, moved, listed and opened, each a
+    lie together, in order, in one bundle, which is compressed and so read by one task. A file of its own is made, moved, listed and opened, each a
     call or more to the file system, which for small files takes longer than their lines.
     """
     ordered = lines.repartition("file").sortWithinPartitions("file", "chunk", "pos")
-    ordered.select(F.concat(F.url_encode("file"), F.lit("\t"), "value")).write.text(path, lineSep="\n")
+    ordered.select(F.concat(F.url_encode("file"), F.lit("\t"), "value")).write.text(path, compression="gzip", lineSep="\n")
 
 
 def scan_bundles(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
