@@ -33,6 +33,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files a table is read from, as the planner knows it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def carried(totals: DataFrame, group: Sequence[str], chunk: str, total: str, out: str) -> DataFrame:
     """Sum of the chunks before each chunk. ``totals`` has one narrow row per chunk."""
     earlier = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)

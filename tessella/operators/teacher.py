@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import wording
 from tessella.functions.columns import compute_once
 from tessella.functions.text import fill, strip
-from tessella.functions.validate import FLAG, TEXT, WHOLE, Field, ListOf, Record, first_fault, typed_value, with_body
+from tessella.functions.validate import FLAG, TEXT, WHOLE, Field, ListOf, Record, bare_fault, judged_body
 
 SEGMENTATION = Record((
     Field("orthography_policy", TEXT),
@@ -57,23 +57,18 @@ def teacher_requests(sentences: DataFrame, model: str = wording.TEACHER_MODEL) -
     )
 
 
-def _bare_fault(reason: str) -> Column:
-    return F.struct(F.lit(None).cast("string").alias("path"), F.lit(reason).alias("reason"))
+Wanted = Callable[[Column], Sequence[Column]]
 
 
-def judge_bodies(df: DataFrame, kind: Record) -> DataFrame:
-    """Adds ``pack``, the body as its description has it, and ``fault`` (path, reason), null if there is none."""
-    silent = with_body(df.withColumn("_silent", F.col("body").isNull()), "body", "_value").drop("body")
-    typed = compute_once(silent, "pack", typed_value(F.col("_value"), kind))
-    fault = (
-        F.when(F.col("_silent"), _bare_fault("no response"))
-        .when(F.col("_value").isNull(), _bare_fault("not one JSON value"))
-        .otherwise(first_fault(F.col("_value"), F.col("pack"), kind))
-    )
-    return compute_once(typed, "fault", fault).drop("_value", "_silent")
+def judge_bodies(df: DataFrame, kind: Record, wanted: Wanted | None = None) -> DataFrame:
+    """Adds ``pack``, the body as its description has it, and ``fault`` (path, reason), null if there is none.
+    A faulty body has no pack. ``wanted`` makes a struct of columns from a pack, which stands in its place."""
+    make = (lambda pack: F.struct(*wanted(pack))) if wanted else lambda pack: pack
 
+    def both(fault: Column, typed: Column) -> Column:
+        return F.struct(F.when(fault.isNull(), make(typed)).alias("pack"), fault.alias("fault"))
 
-Wanted = Callable[[Column], Sequence[Column]]
+    return judged_body(df, "body", kind, both, "_judged").select(*[c for c in df.columns if c != "body"], "_judged.*")
 
 
 def _judged(
@@ -83,14 +78,13 @@ def _judged(
     # caller uses of the sound ones, or the faults, meets the requests.
     # Both sides grow with the corpus. Without the hint a small-looking estimate for the response
     # side (it is unnested text) could make the optimizer broadcast all packs.
-    judged = judge_bodies(responses, kind)
-    sound = judged.filter(F.col("fault").isNull()).drop("fault")
-    if wanted is not None:
-        sound = compute_once(sound, "_made", F.struct(*wanted(F.col("pack")))).select(*keys, "_made.*")
+    judged = judge_bodies(responses, kind, wanted)
+    sound = judged.filter(F.col("fault").isNull()).select(*keys, "pack" if wanted is None else "pack.*")
     good = requests.join(sound.hint("merge"), list(keys))
-    faults = judged.select(*keys, F.lit(True).alias("_answered"), "fault")
+    found = judged_body(responses, "body", kind, lambda fault, _: fault, "fault")
+    faults = found.select(*keys, F.lit(True).alias("_answered"), "fault")
     met = requests.select(*keys).join(faults.hint("merge"), list(keys), "left")
-    fault = F.when(F.col("_answered").isNull(), _bare_fault("no response")).otherwise(F.col("fault"))
+    fault = F.when(F.col("_answered").isNull(), bare_fault("no response")).otherwise(F.col("fault"))
     rejects = met.select(*keys, fault.alias("fault")).filter(F.col("fault").isNotNull())
     return good, rejects.select(*keys, "fault.path", "fault.reason")
 
@@ -153,6 +147,13 @@ def _item(suffix: Column, task: str, target: Column, prompt: Column | None = Non
     )
 
 
+def _padded(number: Column, width: int) -> Column:
+    """A whole number with zeros in front; the formatter is slow, so only odd ones go to it."""
+    digits = number.cast("string")
+    plain = F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+    return F.when(number >= 0, plain).otherwise(F.format_string(f"%0{width}d", number))
+
+
 def item_parts(pack: Column, max_transforms: int = 3, tasks: Sequence[str] = TASKS) -> Column:
     """The items of a pack in a fixed order, as a list, without the prompts that hold the sentence."""
     info = pack["complement_info"]
@@ -165,7 +166,7 @@ def item_parts(pack: Column, max_transforms: int = 3, tasks: Sequence[str] = TAS
         head, tail = wording.TRANSFORM_PROMPT.split("{type}")
         middle, end = tail.split("{source}")
         prompt = F.concat(F.lit(head), t["type"], F.lit(middle), t["source_latin"], F.lit(end))
-        return _item(F.format_string("x.%02d", i + 1), "transform", strip(t["target_latin"]), prompt, t["type"])
+        return _item(F.concat(F.lit("x."), _padded(i + 1, 2)), "transform", strip(t["target_latin"]), prompt, t["type"])
 
     def single(suffix: str, task: str, target: Column) -> Column:
         return F.array(_item(F.lit(suffix), task, target))
@@ -181,13 +182,14 @@ def item_parts(pack: Column, max_transforms: int = 3, tasks: Sequence[str] = TAS
 
 
 def _explode_parts(parts: DataFrame) -> DataFrame:
-    exploded = parts.select("paragraph_index", "sentence_index", "sentence", F.explode("_items").alias("item"))
-    stem = F.format_string("p%04d.s%02d.", F.col("paragraph_index").cast("long"), F.col("sentence_index").cast("long"))
+    paragraph, sentence = F.col("paragraph_index").cast("long"), F.col("sentence_index").cast("long")
+    stem = F.concat(F.lit("p"), _padded(paragraph, 4), F.lit(".s"), _padded(sentence, 2), F.lit("."))
+    exploded = parts.select("paragraph_index", "sentence_index", "sentence", stem.alias("_stem"), F.explode("_items").alias("item"))
     prompt = F.when(F.col("item.task") == "transform", F.col("item.prompt"))
     for task, template in SENTENCE_PROMPTS.items():
         prompt = prompt.when(F.col("item.task") == task, fill(template, "sentence", F.col("sentence")))
     return exploded.select(
-        F.concat(stem, F.col("item.suffix")).alias("id"),
+        F.concat("_stem", F.col("item.suffix")).alias("id"),
         "item.task",
         prompt.alias("prompt"),
         "item.target",

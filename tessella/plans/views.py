@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tessella.functions.columns import compute_once
 from tessella.functions.text import words
-from tessella.operators.ordering import spread
+from tessella.operators.ordering import input_bytes, spread
 from tessella.operators.exams import eval_requests, exam_prompts
 from tessella.operators.paragraphs import explode_sentences, segment
 
 GREEK_TAIL = " λόγος τοῦ θεοῦ et ἀρχή."
 CHUNK_DOCUMENTS = 512
+SHARE_BYTES = 1 << 22  # of stored documents; bodies are some forty times as many
 SWEEP_ROOT = "results"
 
 
@@ -191,8 +192,10 @@ def with_teacher_bodies(sents: DataFrame) -> DataFrame:
 
 def teacher_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences are dealt out by key before bodies, many times their size, are made of them: a long document is
-    many tasks' work, and a join by the same keys need not move what is made of the bodies."""
-    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    many tasks' work, and a join by the same keys need not move what is made of the bodies. Shares grow in number
+    with the documents, so that what a task sorts for the join fits its memory."""
+    fewest = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    shares = max(fewest, input_bytes(table(spark, folder, "documents")) // SHARE_BYTES)
     dealt = sentences(spark, folder).repartition(shares, "paragraph_index", "sentence_index")
     return with_teacher_bodies(dealt).select("paragraph_index", "sentence_index", "body")
 
