@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import compute_once
@@ -13,7 +13,7 @@ from tessella.operators import ordering
 from tessella.operators.ordering import before_by_integer, is_dense, rank_rows
 from tessella.storage import kept
 
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 22
 
 
 def read_texts(df: DataFrame, key: str) -> DataFrame:
@@ -164,8 +164,9 @@ def _look_up(rows: DataFrame, packed: str, items: Callable[[Column], Column], na
         exploded = listed.select(*by, F.posexplode_outer("_items").alias("pos", name))
         return exploded.join(F.broadcast(vocabulary.select(name, wanted)), name, "left")
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    buckets = max(cores, (rows.agg(F.sum(size)).first()[0] or 0) // BUCKET_BYTES + 1)
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    buckets = max(2 * cores, (rows.agg(F.sum(size)).first()[0] or 0) // BUCKET_BYTES + 1)
+    names = F.split(F.lit(",".join(map(str, _bucket_names(rows.sparkSession, buckets)))), ",").cast("array<bigint>")
+    dealt = rows.withColumn("_bucket", F.get(names, F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")))
     different = compute_once(dealt.repartition(buckets, "_bucket").select("_bucket", packed), "_items", F.array_distinct(items(F.col(packed))))
     asked = different.select("_bucket", F.explode("_items").alias(name)).distinct()
     entries = asked.join(vocabulary.select(name, wanted).hint("merge"), name)
@@ -181,6 +182,15 @@ def _look_up(rows: DataFrame, packed: str, items: Callable[[Column], Column], na
     return exploded.withColumn(wanted, F.max(wanted).over(same)).filter(~F.col("_entry")).drop("_entry")
 
 
+def _bucket_names(spark: SparkSession, buckets: int) -> list[int]:
+    """A number for each bucket, such that a shuffle by it into as many partitions gives every bucket its own. Numbers
+    in a row would leave a third of the partitions empty and put several buckets into others."""
+    part = F.pmod(F.hash("id"), F.lit(buckets))
+    found = spark.range(64 * buckets).groupBy(part.alias("part")).agg(F.min("id").alias("id")).orderBy("part")
+    names = {r["part"]: r["id"] for r in found.collect()}
+    return [names.get(part, 64 * buckets + part) for part in range(buckets)]
+
+
 def _gathered(found: DataFrame, by: list[str], value: Column, out: str) -> DataFrame:
     """The values of each group in order of ``pos``; a null ``pos`` stands for an empty list."""
     part = F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("value")))
